@@ -30,17 +30,23 @@ def list_model_outputs(spark: SparkSession, root: str, kind: str) -> DataFrame:
     suffix = f"_{kind}"
     path = F.regexp_replace(F.col("path"), r"/part-[^/]*$", "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(path.alias("path"))
+    output = _folder_value(F.split_part("path", F.lit("/"), F.lit(-1)))
     return (
         files.where(F.col("path").endswith(suffix))
         .distinct()
-        .select(F.split_part(F.split_part("path", F.lit("/"), F.lit(-1)), F.lit(suffix), F.lit(1)).alias("model"), "path")
+        .select(F.split_part(output, F.lit(suffix), F.lit(1)).alias("model"), "path")
     )
 
 
+def _folder_value(name):
+    """Folder name without the ``column=`` of a partitioned table."""
+    return F.regexp_replace(name, r"^[^=]*=", "")
+
+
 def with_model_from_path(df: DataFrame, column: str = "attribute_model") -> DataFrame:
     """Adds the model name taken from the folder ``<model>_predictions`` each row was read from."""
     folder = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
-    return df.withColumn(column, model_of(folder))
+    return df.withColumn(column, _folder_value(model_of(folder)))
 
 
 def read_attribute(spark: SparkSession, root: str, attribute: str) -> DataFrame:
@@ -53,7 +59,9 @@ def read_split_folders(
 ) -> DataFrame:
     """Union of the CSV folders ``<root>/<split>``, with the split name of each row."""
     df = read_results_csv(spark, [f"{root}/{s}" for s in splits], schema)
-    return df.withColumn("split", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return df.withColumn(
+        "split", _folder_value(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    )
 
 
 def libsvm_to_long(df: DataFrame, text: str = "libsvm", width: int | None = None) -> DataFrame:
