@@ -165,21 +165,43 @@ VIEWS = {
         FROM coded_labels l JOIN respondents r ON r.uid = l.uid AND r.wavekey = l.wavekey WHERE l.label IS NOT NULL""",
 }
 
-# fixed values: Poisson(1) steps as in panelfill.functions.rng.poisson_steps
-
-
 def _poisson_sql(draw: str) -> str:
+    """Poisson(1) count of a uniform draw."""
     from panelfill.functions.rng import poisson_steps
 
     return " + ".join(f"CAST({draw} >= {step!r}::DOUBLE AS INTEGER)" for step in poisson_steps())
 
 
-VIEWS["replicates"] = f"""
-        SELECT attribute_model, wavekey, label, rep, weight * times AS w
-        FROM (SELECT *, {_poisson_sql('draw')} AS times
-              FROM (SELECT l.*, r.rep, {u('l.uid', 'r.rep', '0')} AS draw
-                    FROM labeled l CROSS JOIN (SELECT unnest(range(1, 101)) AS rep) r))
-        WHERE times > 0"""
+def _mix_stages(name: str, source: str, start: str) -> dict[str, str]:
+    """The splitmix64 mix of ``start`` over the rows of ``source``, one view per step (column z)."""
+    from panelfill.functions.rng import MIX_1, MIX_2
+
+    def times(z: str, shift: int, factor: int) -> str:
+        return f"CAST((CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+    return {
+        f"{name}_a": f"SELECT * REPLACE ({times('z', 30, MIX_1)} AS z) FROM (SELECT *, {start} AS z FROM {source})",
+        f"{name}_b": f"SELECT * REPLACE ({times('z', 27, MIX_2)} AS z) FROM {name}_a",
+        name: f"SELECT * REPLACE (xor(z, z >> 31) AS z) FROM {name}_b",
+    }
+
+
+def _golden(number: str) -> str:
+    from panelfill.functions.rng import GOLDEN
+
+    return f"CAST((CAST({number} AS UHUGEINT) * {GOLDEN}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+
+
+VIEWS |= _mix_stages("mixed_uids", "(SELECT DISTINCT uid FROM labeled)", _golden("uid"))
+VIEWS["reps"] = "SELECT unnest(range(1, 101)) AS rep"
+VIEWS |= _mix_stages(
+    "mixed_draws", f"(SELECT m.uid, r.rep, xor(m.z, {_golden('r.rep')}) AS mixed FROM mixed_uids m CROSS JOIN reps r)", "mixed"
+)
+VIEWS["draws"] = f"""
+        SELECT uid, rep, {_poisson_sql('u')} AS times FROM (SELECT uid, rep, CAST(z >> 32 AS DOUBLE) / 4294967296 AS u FROM mixed_draws)"""
+VIEWS["replicates"] = """
+        SELECT l.attribute_model, l.wavekey, l.label, d.rep, l.weight * d.times AS w
+        FROM labeled l JOIN draws d ON d.uid = l.uid WHERE d.times > 0"""
 VIEWS["rep_cells"] = """
         SELECT attribute_model, wavekey, rep, label, sum(w) AS w FROM replicates GROUP BY ALL"""
 VIEWS["rep_waves"] = """

@@ -17,7 +17,7 @@ from panelfill.catalog.base import u
 def coded(s):
     """Answers with the taxonomy columns that the label rules look at."""
     return s.bsm.join(
-        F.broadcast(s.taxonomy.select("sakey", "svkey", "multi", "attribute", ol.ALTERNATE, "value")), ["sakey", "svkey", "multi"]
+        s.taxonomy.select("sakey", "svkey", "multi", "attribute", ol.ALTERNATE, "value"), ["sakey", "svkey", "multi"]
     )
 
 
@@ -177,10 +177,9 @@ def b14(s):
        FROM answer_pairs p JOIN taxonomy a ON a.svkey = p.svkey_1 JOIN taxonomy b ON b.svkey = p.svkey_2""",
 )
 def b15(s):
-    from panelfill.catalog.reports import answer_pairs
     from panelfill.operators.joins import lookup_both_sides
 
-    named = lookup_both_sides(answer_pairs(s), s.taxonomy, "svkey", ["attribute"])
+    named = lookup_both_sides(s.answer_pairs, s.taxonomy, "svkey", ["attribute"])
     keyed = named.select("wavekey", fs.pair_key("attribute1", "attribute2", "sakey_1", "sakey_2", "svkey_1", "svkey_2").alias("pair_key"))
     parts = fs.split_pair_key(F.col("pair_key"))
     return keyed.select("wavekey", "pair_key", *[parts[n].alias(n) for n in ("attribute1", "attribute2", "svkey_1", "svkey_2")])

@@ -9,6 +9,7 @@ from panelfill.catalog.expressions import coded
 from panelfill.operators import joins as oj
 from panelfill.operators import labels as ol
 from panelfill.operators import sampling as osa
+from panelfill.session import stored
 
 
 @query(
@@ -35,9 +36,7 @@ def c2(s):
        FROM answer_pairs p JOIN taxonomy a ON a.svkey = p.svkey_1 JOIN taxonomy b ON b.svkey = p.svkey_2""",
 )
 def c3(s):
-    from panelfill.catalog.reports import answer_pairs
-
-    return oj.lookup_both_sides(answer_pairs(s), s.taxonomy, "svkey", ["attribute"]).select(
+    return oj.lookup_both_sides(s.answer_pairs, s.taxonomy, "svkey", ["attribute"]).select(
         "wavekey", "svkey_1", "svkey_2", "attribute1", "attribute2"
     )
 
@@ -115,12 +114,12 @@ def c9(s):
        GROUP BY b.sakey""",
 )
 def c11(s):
-    from panelfill.catalog.reports import answer_pairs, univariate
+    from panelfill.catalog.reports import univariate
     from panelfill.operators.audiences import either_side, question_pairs_on_waves
 
-    asked = either_side(question_pairs_on_waves(answer_pairs(s)), "sakey")
+    asked = either_side(question_pairs_on_waves(s.answer_pairs), "sakey")
     imputed = univariate(s).select("sakey").distinct()
-    kept = oj.in_keys(s.bsm, oj.common_keys(asked, imputed), "sakey")
+    kept = oj.in_keys(s.bsm, stored(oj.common_keys(asked, imputed), "common-questions"), "sakey")
     return kept.groupBy("sakey").agg(F.countDistinct("uid").alias("n_respondents"))
 
 
@@ -158,10 +157,9 @@ def e3(s):
 
 @query("e4_union_distinct", "SELECT svkey_1 AS svkey FROM answer_pairs UNION SELECT svkey_2 FROM answer_pairs")
 def e4(s):
-    from panelfill.catalog.reports import answer_pairs
     from panelfill.operators.audiences import either_side
 
-    return either_side(answer_pairs(s), "svkey")
+    return either_side(s.answer_pairs, "svkey")
 
 
 @query(
@@ -184,10 +182,8 @@ def e6(s):
     .replace("SELECT DISTINCT", "SELECT * FROM (SELECT DISTINCT").replace(" ORDER BY", ") ORDER BY"),
 )
 def e7(s):
-    from panelfill.catalog.reports import answer_pairs
-
     keys = ["sakey_1", "svkey_1", "sakey_2", "svkey_2"]
-    return osa.random_sample(answer_pairs(s).select(*keys).distinct(), 50, keys, seed=7)
+    return osa.random_sample(s.answer_pairs.select(*keys).distinct(), 50, keys, seed=7)
 
 
 @query("e8_sample_respondents", f"SELECT uid, wavekey FROM respondents ORDER BY {hashed('uid', '8')} LIMIT 2000")

@@ -15,22 +15,16 @@ from panelfill.operators import labels as ol
 from panelfill.operators import scores as osc
 from panelfill.operators import shares as osh
 from panelfill.plans import rounds as pr
-from panelfill.session import new_folder
+from panelfill.session import new_folder, stored
 from panelfill.sources import tables
 
 
-def answer_pairs(s):
-    """Answers of two questions that were asked on the same wave.
-
-    The list is made of the code book's answers per wave, not of respondents.
-    """
-    asked = s.bsm.select("wavekey", "sakey", "svkey").distinct()
-    left = asked.select("wavekey", F.col("sakey").alias("sakey_1"), F.col("svkey").alias("svkey_1"))
-    right = asked.select("wavekey", F.col("sakey").alias("sakey_2"), F.col("svkey").alias("svkey_2"))
-    return left.join(right, "wavekey").where("sakey_1 < sakey_2")
+def univariate(s):
+    """The univariate report as a stored table, which later reports start from."""
+    return s.stored("univariate", lambda: univariate_plan(s))
 
 
-def univariate(s):
+def univariate_plan(s):
     return osh.univariate_report(predictions_of(s), s.answer_codes, s.respondents, 0, osh.wave_list(s.respondents))
 
 
@@ -71,7 +65,7 @@ def d17(s):
 
 @query("j1_attribute_matrix", "SELECT uid, wavekey, set_uid, sakey, svkey, multi, attribute, label FROM matrix")
 def j1(s):
-    return s.matrix
+    return ol.attribute_matrix(s.bsm, s.taxonomy, s.latent_uids)
 
 
 COVERED = """(SELECT attribute FROM matrix GROUP BY attribute HAVING count(DISTINCT uid) >= {share} * (SELECT count(DISTINCT uid) FROM matrix))"""
@@ -101,7 +95,7 @@ def core_matrix(s):
 
 @query(
     "j3_core_and_latent",
-    """SELECT c.uid, c.wavekey, c.set_uid, c."101", c."103_1031", round(l.ld_0, 6) AS ld_0, l.ld_1, l.ld_2, round(l.ld_3, 6) AS ld_3
+    """SELECT c.uid, c.wavekey, c.set_uid, c."101", c."103_1031", l.ld_0, l.ld_1, l.ld_2, round(l.ld_3, 6) AS ld_3
        FROM (SELECT uid, wavekey, set_uid, """
     + pivot_sql("label", ["101", "103_1031"], "attribute")
     + " FROM matrix GROUP BY uid, wavekey, set_uid) c JOIN latent l ON l.uid = c.uid AND l.set_uid = c.set_uid",
@@ -112,7 +106,7 @@ def j3(s):
     joined = pr.core_and_latent(core_matrix(s), s.latent)
     joined.write.option("header", True).csv(path)
     back = s.spark.read.schema(joined.schema).option("header", True).csv(path)
-    return back.select("uid", "wavekey", "set_uid", "101", "103_1031", r6("ld_0"), "ld_1", "ld_2", r6("ld_3"))
+    return back.select("uid", "wavekey", "set_uid", "101", "103_1031", "ld_0", "ld_1", "ld_2", r6("ld_3"))
 
 
 @query(
@@ -146,7 +140,7 @@ _waves = ", ".join(f"round(max(CASE WHEN wavekey = '{w}' THEN wave_share END), 6
         FROM wave_shares GROUP BY attribute, sakey, svkey""",
 )
 def j7(s):
-    return univariate(s).select("attribute", "sakey", "svkey", *[r6(F.col(f"`{w}`"), w) for w in WAVES], r6("average_imputed_distribution"), "round")
+    return univariate_plan(s).select("attribute", "sakey", "svkey", *[r6(F.col(f"`{w}`"), w) for w in WAVES], r6("average_imputed_distribution"), "round")
 
 
 @query(
@@ -207,12 +201,16 @@ COMMON = """common AS (SELECT DISTINCT sakey FROM (SELECT sakey_1 AS sakey, sake
 
 
 def candidates(s):
-    return oau.audience_candidates(answer_pairs(s), univariate(s).select("sakey", "svkey", "attribute"))
+    return s.stored("audience_candidates", lambda: candidate_plan(s))
+
+
+def candidate_plan(s):
+    return oau.audience_candidates(s.answer_pairs, univariate(s).select("sakey", "svkey", "attribute"))
 
 
 @query("j11_audience_candidates", f"WITH {COMMON} SELECT attribute1, attribute2, sakey_1, sakey_2, svkey_1, svkey_2 FROM {CANDIDATE_PAIRS}")
 def j11(s):
-    return candidates(s)
+    return candidate_plan(s)
 
 
 @query(
@@ -234,7 +232,7 @@ def j12(s):
 def j13(s):
     """External keys of the asked answers stand in for the outside key table."""
     external = s.bsm.select("svkey").distinct().withColumn("avkey", F.col("svkey") * 10 + 7)
-    return oau.audience_keys(candidates(s), external).select("svkey_1", "svkey_2", "avkey1", "avkey2", "audience")
+    return oau.audience_keys(candidates(s), stored(external, "external-keys")).select("svkey_1", "svkey_2", "avkey1", "avkey2", "audience")
 
 
 _aud = ", ".join(f"round(coalesce(max(CASE WHEN w.wavekey = '{w}' THEN w.share END), 0), 6) AS \"{w}\"" for w in WAVES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelfill import schemas
-from panelfill.catalog.base import predictions_of, query, r6
+from panelfill.catalog.base import predictions_of, query
 from panelfill.operators.shares import wave_totals
 from panelfill.session import new_folder
 from panelfill.sources import tables
@@ -63,7 +63,7 @@ def a5(s):
     return tables.read_attribute(s.spark, path, "102").select("uid", "wavekey", "set_uid", "label")
 
 
-@query("a6_read_split_folders", "SELECT uid, set_uid AS split, round(ld_0, 6) AS ld_0, ld_1 FROM latent")
+@query("a6_read_split_folders", "SELECT uid, set_uid AS split, ld_0, ld_1 FROM latent")
 def a6(s):
     root = new_folder(s.spark, "latent")
     splits = ["train", "test", "validation"]
@@ -72,7 +72,7 @@ def a6(s):
     schema = T.StructType(
         [T.StructField("uid", T.LongType()), T.StructField("ld_0", T.DoubleType()), T.StructField("ld_1", T.DoubleType())]
     )
-    return tables.read_split_folders(s.spark, root, splits, schema).select("uid", "split", r6("ld_0"), "ld_1")
+    return tables.read_split_folders(s.spark, root, splits, schema).select("uid", "split", "ld_0", "ld_1")
 
 
 # fixed values: column of each attribute in the sparse rows

@@ -14,6 +14,7 @@ from panelfill.operators import calibration as ocal
 from panelfill.operators import scores as osc
 from panelfill.operators import shares as osh
 from panelfill.operators.bootstrap import bootstrap_share_bounds
+from panelfill.session import stored
 
 REPS = 100
 EVALS = 8
@@ -180,13 +181,13 @@ def f10(s):
 
 @query(
     "f11_quantiles",
-    """SELECT wavekey, round(quantile_cont(w, 0.025), 4) AS q2_5, round(quantile_cont(w, 0.5), 4) AS q50, round(quantile_cont(w, 0.975), 4) AS q97_5
+    """SELECT wavekey, round(quantile_cont(w, 0.025), 6) AS q2_5, round(quantile_cont(w, 0.5), 6) AS q50, round(quantile_cont(w, 0.975), 6) AS q97_5
        FROM (SELECT wavekey, CAST(respondentweight AS DOUBLE) AS w FROM respondents) GROUP BY wavekey""",
 )
 def f11(s):
     rows = s.respondents.select("wavekey", F.col("respondentweight").cast("double").alias("w"))
     q = oa.exact_quantiles(rows, "w", ["wavekey"], [0.025, 0.5, 0.975])
-    return q.select("wavekey", *[F.round(c, 4).alias(c) for c in ("q2_5", "q50", "q97_5")])
+    return q.select("wavekey", r6("q2_5"), r6("q50"), r6("q97_5"))
 
 
 TRIALS = "SELECT attribute_model, value, 'hyperopt' AS set_uid, min(log_loss) AS log_loss, max(roc_score) AS roc_score FROM losses JOIN auc USING (attribute_model, value, set_uid) GROUP BY attribute_model, value"
@@ -350,7 +351,7 @@ def h1(s):
 
 @query("h2_apply_multipliers", f"SELECT attribute_model, wavekey, winner, count(*) AS n FROM {WON} WHERE candidate = 0 GROUP BY attribute_model, wavekey, winner")
 def h2(s):
-    first = ocal.threshold_candidates(score_cells(s), 1).where(F.col("candidate") == 0)
+    first = stored(ocal.threshold_candidates(score_cells(s), 1).where(F.col("candidate") == 0), "candidates")
     rows = s.scores.join(first.drop("num_class", "candidate"), ocal.CELL)
     return rows.groupBy(
         *ocal.CELL, fs.apply_multipliers(F.col("probs"), F.col("multipliers")).cast("long").alias("winner")
@@ -409,8 +410,8 @@ def h5(s):
 
 
 def wave_report(s):
-    limits = bounds(s)
-    best = ocal.calibrate_waves(s.scores, limits, EVALS)
+    limits = stored(bounds(s), "bounds")
+    best = stored(ocal.calibrate_waves(s.scores, limits, EVALS), "multipliers")
     final = ocal.select_values(s.scores, best).withColumnRenamed("selected_value", "value")
     sizes = classes_of(s)
     histogram = osh.class_histogram(final, osh.wave_list(s.respondents), "value", "attribute_model", sizes)

@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,30 @@ def hash_uniform_py(*keys) -> float:
     return int(digest[:8], 16) / HASH_RANGE
 
 
+# fixed values: increment and multipliers of the splitmix64 generator
+GOLDEN = 0x9E3779B97F4A7C15
+MIX_1 = 0xBF58476D1CE4E5B9
+MIX_2 = 0x94D049BB133111EB
+
+
+def _mix(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX_1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX_2)
+    return z ^ (z >> np.uint64(31))
+
+
+def uniform_matrix(keys: np.ndarray, columns: np.ndarray, seed: int) -> np.ndarray:
+    """Uniform draws for every pair (key, column), as arrays inside a task.
+
+    Used where draws outnumber rows by far: a 64-bit mix of key and column instead of a text hash.
+    """
+    golden = np.uint64(GOLDEN)
+    with np.errstate(over="ignore"):
+        rows = _mix((keys.astype(np.uint64) + np.uint64(seed)) * golden)
+        draws = _mix(rows[:, None] ^ (columns.astype(np.uint64) * golden)[None, :])
+    return (draws >> np.uint64(32)) / HASH_RANGE
+
+
 def poisson_steps(limit: int = 12) -> list[float]:
     """Cumulative Poisson(1) probabilities P(N <= 0), P(N <= 1), ...
 
@@ -51,9 +77,6 @@ def poisson_steps(limit: int = 12) -> list[float]:
     return steps
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count by inverting the distribution function at ``u``."""
-    count = F.lit(0)
-    for step in poisson_steps():
-        count = count + (u >= F.lit(step)).cast("int")
-    return count
+def poisson_counts(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts by inverting the distribution function at ``u``."""
+    return np.searchsorted(np.array(poisson_steps()), u, side="right")

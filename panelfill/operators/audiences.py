@@ -11,7 +11,7 @@ from panelfill.functions.survey import pair_key, ratio
 from panelfill.operators.joins import lookup_both_sides
 from panelfill.operators.sampling import random_sample
 from panelfill.operators.shares import wave_totals
-from panelfill.session import broadcast_if_small
+from panelfill.session import stored
 
 PAIR = ["attribute1", "attribute2", "sakey_1", "sakey_2", "svkey_1", "svkey_2"]
 
@@ -34,20 +34,19 @@ def either_side(pairs: DataFrame, key: str) -> DataFrame:
 def audience_candidates(answer_pairs: DataFrame, imputed: DataFrame) -> DataFrame:
     """Answer pairs whose questions co-occur on two waves or more and are both imputed.
 
-    ``imputed`` has (sakey, svkey, attribute). The question filter is a semi join on small key
-    tables; nothing is collected.
+    ``imputed`` has (sakey, svkey, attribute); like the pairs it is a stored table. The question
+    filter is a semi join on small key tables; nothing is collected.
     """
     common = either_side(question_pairs_on_waves(answer_pairs), "sakey").intersect(imputed.select("sakey"))
-    keys = broadcast_if_small(common)
     pairs = answer_pairs.select("sakey_1", "svkey_1", "sakey_2", "svkey_2").distinct()
     for side in (1, 2):
-        pairs = pairs.join(keys.select(F.col("sakey").alias(f"sakey_{side}")), f"sakey_{side}", "left_semi")
+        pairs = pairs.join(common.select(F.col("sakey").alias(f"sakey_{side}")), f"sakey_{side}", "left_semi")
     names = imputed.select("sakey", "svkey", "attribute").distinct()
     for side in (1, 2):
         renamed = names.select(
             F.col("sakey").alias(f"sakey_{side}"), F.col("svkey").alias(f"svkey_{side}"), F.col("attribute").alias(f"attribute{side}")
         )
-        pairs = pairs.join(broadcast_if_small(renamed), [f"sakey_{side}", f"svkey_{side}"])
+        pairs = pairs.join(renamed, [f"sakey_{side}", f"svkey_{side}"])
     return pairs.select(*PAIR)
 
 
@@ -84,7 +83,7 @@ def audience_wave_weights(predictions: DataFrame, codes: DataFrame, respondents:
     )
     held = (
         predictions.select("uid", "wavekey", "attribute_model", "selected_value")
-        .join(broadcast_if_small(sides), ["attribute_model", "selected_value"])
+        .join(stored(sides, "audience-sides"), ["attribute_model", "selected_value"])
         .repartition("uid", "wavekey")
         .groupBy("uid", "wavekey", "svkey_1", "svkey_2")
         .agg(F.min("side").alias("first_side"), F.max("side").alias("last_side"))

@@ -24,7 +24,7 @@ from panelfill.functions.rng import hash_uniform, hash_uniform_py
 from panelfill.functions.survey import is_binomial
 from panelfill.operators import scores as osc
 from panelfill.operators.running import hash_buckets, running_totals
-from panelfill.session import broadcast_if_small, checkpoint, new_folder
+from panelfill.session import checkpoint, new_folder, stored
 
 SPLITS = ("train", "test", "validation")
 FINAL_SEED = 47
@@ -75,7 +75,7 @@ def class_weights(df: DataFrame, weights: DataFrame, group: Sequence[str], label
     """Attach the weight of each row's class, scaled so that the heaviest class of a group has 1."""
     top = weights.groupBy(*group).agg(F.max("weight").alias("_top"))
     scaled = weights.join(top, list(group)).select(*group, label, (F.col("weight") / F.col("_top")).alias("class_weight"))
-    return df.join(broadcast_if_small(scaled), [*group, label])
+    return df.join(stored(scaled, "class-weights"), [*group, label])
 
 
 def effective_other_rate(top_rate: float, other_rate: float) -> float:

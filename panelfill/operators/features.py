@@ -60,7 +60,7 @@ def covered_levels(labels: DataFrame, min_share: float, sizes: dict[str, int], p
 
     kept = covered_attributes(labels, min_share, strict=True)
     if proposed is not None:
-        kept = kept.join(broadcast_if_small(proposed.select("attribute").distinct()), "attribute", "left_semi")
+        kept = kept.join(proposed.select("attribute").distinct(), "attribute", "left_semi")
     names = sorted(r.attribute for r in kept.select("attribute").collect())
     return {n: sizes[n] for n in names}
 

@@ -1,4 +1,8 @@
-"""Join shapes of the pipeline. Lookup sides are broadcast only after a row count."""
+"""Join shapes of the pipeline.
+
+Only the code book gets a broadcast hint, after a row count. Other small sides come from stored
+tables, whose size Spark knows.
+"""
 
 from __future__ import annotations
 
@@ -11,11 +15,11 @@ from panelfill.session import broadcast_if_small
 
 
 def in_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(broadcast_if_small(keys), on, "left_semi")
+    return df.join(keys, on, "left_semi")
 
 
 def not_in_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(broadcast_if_small(keys), on, "left_anti")
+    return df.join(keys, on, "left_anti")
 
 
 def with_answer_codes(results: DataFrame, codes: DataFrame, model: str = "attribute_model", value: str = "selected_value") -> DataFrame:
@@ -26,7 +30,7 @@ def with_answer_codes(results: DataFrame, codes: DataFrame, model: str = "attrib
 
 def lookup_both_sides(pairs: DataFrame, lookup: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Attach ``columns`` of a lookup to both sides of a pair table (``<key>_1`` and ``<key>_2``)."""
-    small = broadcast_if_small(lookup.select(key, *columns))
+    small = lookup.select(key, *columns)
     for side in (1, 2):
         renamed = small.select(
             F.col(key).alias(f"{key}_{side}"), *[F.col(c).alias(f"{c}{side}") for c in columns]

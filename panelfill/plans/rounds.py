@@ -21,7 +21,6 @@ from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.operators.features import FeatureSpec, assemble_features
 from panelfill.operators.joins import not_in_keys
 from panelfill.operators.labels import coverage_matrix, wide_labels
-from panelfill.session import broadcast_if_small
 from panelfill.sources import tables
 
 # fixed values: demographics that are never features of a tuned round
@@ -130,9 +129,9 @@ def run_round(
 ) -> DataFrame:
     """Fit and fill every pending attribute of a round; returns the predictions written.
 
-    Models are fitted one by one on the driver's threads; calibration, bounds, shares and
+    Models are fitted side by side from the driver's threads; calibration, bounds, shares and
     chi-square then run once for all attributes. Results are written before they are read
-    again, so a later round starts from files.
+    again, so a later round starts from files, and small ones are joined by their known size.
     """
     folder, ledger_path = f"{root}/iteration_{iteration}", f"{root}/ledger"
     expected = sorted(r.model for r in expected_models(inputs.plan).collect())
@@ -154,23 +153,26 @@ def run_round(
     people = inputs.respondents.select("uid", "wavekey", "set_uid", F.col("respondentweight").cast("double").alias("weight"))
     base = assemble_features(people, answers, spec, inputs.latent).persist(StorageLevel.MEMORY_AND_DISK)
 
-    scored, fitted, trial_rows, times = [], {}, [], []
-    for attribute in pending:
+    def fit(attribute):
+        """Models of one attribute; its scores go to their own partition of the round's table."""
         start = time.time()
         num_class = inputs.sizes[attribute]
         own = inputs.labels.where(F.col("attribute") == attribute).select("uid", F.col("label").cast("int").alias("label"))
         frame = base.join(own, "uid", "left").persist(StorageLevel.MEMORY_AND_DISK)
         models, trials, retried = fit_attribute(frame, attribute, num_class, spec, config)
-        fitted |= {(attribute, k): m for k, m in models.items()}
-        trial_rows += trials
         result = ob.predict_proba(models, frame, "_" in attribute).select(
             "uid", "set_uid", "wavekey", "weight", F.lit(attribute).alias("attribute_model"), F.lit(num_class).alias("num_class"), "label", "probs"
         )
         tables.write_result_bundle(folder, {"scores": result})
         frame.unpersist()
-        scored.append(attribute)
         finish = time.time()
-        times.append((attribute, num_class, iteration, start, finish, finish - start, retried))
+        return models, trials, (attribute, num_class, iteration, start, finish, finish - start, retried)
+
+    done = ob.in_parallel([lambda a=a: fit(a) for a in pending], config.threads)
+    scored = pending
+    fitted = {(a, k): m for a, (models, _, _) in zip(pending, done) for k, m in models.items()}
+    trial_rows = [t for _, trials, _ in done for t in trials]
+    times = [t for *_, t in done]
     base.unpersist()
     if not pending:
         return read_predictions(spark, folder)
@@ -181,8 +183,13 @@ def run_round(
     labeled = results.where(F.col("label").isNotNull())
     tables.write_result_bundle(folder, {"bounds": bootstrap_share_bounds(labeled, classes, config.reps, config.seed)})
     bounds = read_kind(spark, folder, "bounds").where(F.col("attribute_model").isin(scored))
-    best = ocal.calibrate_waves(results, bounds, config.evals, config.seed)
-    final = with_max_prediction(ocal.select_values(results, best), test_thresholds(results))
+    tables.write_result_bundle(
+        folder,
+        {"multipliers": ocal.calibrate_waves(results, bounds, config.evals, config.seed), "thresholds": test_thresholds(results)},
+    )
+    final = with_max_prediction(
+        ocal.select_values(results, read_kind(spark, folder, "multipliers")), read_kind(spark, folder, "thresholds")
+    )
     predictions = final.select("uid", "set_uid", "wavekey", "attribute_model", "label", "max_prediction", "selected_value")
     probabilities = results.select("uid", "set_uid", "wavekey", "attribute_model", "label", "probs")
     tables.write_result_bundle(folder, {"predictions": predictions, "probabilities": probabilities})
@@ -217,7 +224,7 @@ def test_thresholds(results: DataFrame) -> DataFrame:
 
 def with_max_prediction(results: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Most probable class; a binomial model is positive from its threshold on."""
-    joined = results.join(broadcast_if_small(thresholds.select("attribute_model", "threshold")), "attribute_model", "left")
+    joined = results.join(thresholds.select("attribute_model", "threshold"), "attribute_model", "left")
     positive = (F.col("probs")[1] >= F.coalesce("threshold", F.lit(0.5))).cast("int")
     winner = F.when(is_binomial(F.col("attribute_model")), positive).otherwise(argmax_class(F.col("probs")))
     return joined.withColumn("max_prediction", winner).drop("threshold")

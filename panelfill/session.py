@@ -37,11 +37,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For small results that later meet large tables: Spark knows the size of files, and
+    broadcasts them when they are below its threshold and only then.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup table, given only after its rows were counted.
+    """Broadcast hint for a code book or another base table, given only after its rows were counted.
 
     Beyond ``max_rows`` the frame comes back without a hint, so the join shuffles (adaptive
-    execution then handles the skew).
+    execution then handles the skew). Not for results of a long plan, which counting would run
+    once more; see :func:`stored`.
     """
     counted = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if counted <= max_rows else df

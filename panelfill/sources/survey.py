@@ -7,8 +7,12 @@ the gap the engine fills.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from panelfill import schemas
 from panelfill.functions.rng import hash_uniform
 from panelfill.functions.survey import attribute_kind, attribute_value, zero_based
 from panelfill.operators.labels import attribute_matrix
+from panelfill.session import shared_dir
+from panelfill.sources.tables import materialize_once
 
 # fixed values: the code book of the derived survey
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
@@ -39,6 +45,12 @@ class Survey:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that the pipeline takes as stored input: written once per application, then read."""
+        place = hashlib.md5(self.folder.encode()).hexdigest()[:12]
+        root = f"{shared_dir(self.spark).rstrip('/')}/survey-{self.spark.sparkContext.applicationId}-{place}"
+        return materialize_once(self.spark, f"{root}/{name}", build)
+
     @cached_property
     def orders(self) -> DataFrame:
         """Orders with what the questions need from their lines and customers."""
@@ -76,6 +88,9 @@ class Survey:
 
     @cached_property
     def latent(self) -> DataFrame:
+        return self.stored("latent", self._latent)
+
+    def _latent(self) -> DataFrame:
         split = F.col("uid") % 10
         return self.orders.select(
             "uid",
@@ -92,6 +107,9 @@ class Survey:
 
     @cached_property
     def bsm(self) -> DataFrame:
+        return self.stored("bsm", self._bsm)
+
+    def _bsm(self) -> DataFrame:
         """Long answers: one row per respondent and answer asked, label 1.0 when chosen.
 
         All questions come out of one pass over the orders.
@@ -137,7 +155,12 @@ class Survey:
             (s, v, multi, attribute, alternate, value, i, round_, s == 104, False, 1 if s < 104 else 2, needs)
             for i, (s, v, multi, attribute, alternate, value, round_, needs) in enumerate(CODE_BOOK)
         ]
-        return self.spark.createDataFrame(rows, schemas.TAXONOMY)
+        names = schemas.TAXONOMY.names
+        types = {"boolean": pa.bool_(), "string": pa.string(), "integer": pa.int32()}
+        columns = {
+            f.name: pa.array([r[i] for r in rows], types[f.dataType.typeName()]) for i, f in enumerate(schemas.TAXONOMY)
+        }
+        return self.spark.createDataFrame(pa.table(columns)).select(*names)
 
     @cached_property
     def answer_codes(self) -> DataFrame:
@@ -148,7 +171,7 @@ class Survey:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return attribute_matrix(self.bsm, self.taxonomy, self.latent_uids)
+        return self.stored("matrix", lambda: attribute_matrix(self.bsm, self.taxonomy, self.latent_uids))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -158,13 +181,16 @@ class Survey:
 
     @cached_property
     def distributions(self) -> DataFrame:
+        return self.stored("distributions", self._distributions)
+
+    def _distributions(self) -> DataFrame:
         """Weighted share of each observed answer among those asked, with a nearby production share."""
         calc = (
             self.bsm.join(self.respondents.select("uid", "wavekey", "respondentweight"), ["uid", "wavekey"])
             .groupBy("sakey", "svkey", "multi")
             .agg((F.sum(F.when(F.col("label") == 1.0, F.col("respondentweight"))).cast("double") / F.sum("respondentweight").cast("double")).alias("calc"))
         )
-        return calc.join(F.broadcast(self.taxonomy.select("sakey", "svkey", "needs_imputation")), ["sakey", "svkey"]).select(
+        return calc.join(self.taxonomy.select("sakey", "svkey", "needs_imputation"), ["sakey", "svkey"]).select(
             "sakey",
             "svkey",
             "multi",
@@ -175,6 +201,9 @@ class Survey:
 
     @cached_property
     def model_plan(self) -> DataFrame:
+        return self.stored("model_plan", self._model_plan)
+
+    def _model_plan(self) -> DataFrame:
         """What to model: code book, shares, and how many respondents each attribute has."""
         counts = self.matrix.groupBy("attribute").agg(F.countDistinct("uid").alias("n_respondents"))
         return (
@@ -189,6 +218,9 @@ class Survey:
 
     @cached_property
     def scores(self) -> DataFrame:
+        return self.stored("scores", self._scores)
+
+    def _scores(self) -> DataFrame:
         """Scores of every respondent for every modelled attribute, drawn by hash (no model needed).
 
         Columns uid, set_uid, wavekey, weight, attribute_model, label, probs.
@@ -215,6 +247,20 @@ class Survey:
             "uid", "set_uid", "wavekey", "weight", "attribute_model", "num_class", "label", "probs"
         )
 
+    @cached_property
+    def answer_pairs(self) -> DataFrame:
+        return self.stored("answer_pairs", self._answer_pairs)
+
+    def _answer_pairs(self) -> DataFrame:
+        """Answers of two questions that were asked on the same wave.
+
+        The list is made of the code book's answers per wave, not of respondents.
+        """
+        asked = self.bsm.select("wavekey", "sakey", "svkey").distinct()
+        left = asked.select("wavekey", F.col("sakey").alias("sakey_1"), F.col("svkey").alias("svkey_1"))
+        right = asked.select("wavekey", F.col("sakey").alias("sakey_2"), F.col("svkey").alias("svkey_2"))
+        return left.join(right, "wavekey").where("sakey_1 < sakey_2")
+
 
 # fixed values: modelled attributes and their number of classes
 MODELS = {"101": 5, "102": 5, "103_1031": 2, "104_1041": 2, "104_1042": 2, "104_1043": 2}
