@@ -133,7 +133,7 @@ VIEWS = {
         FROM wave_shares GROUP BY attribute, sakey, svkey""",
     "class_scores": """
         SELECT s.uid, s.attribute_model, s.set_uid, k.value, s.probs[k.value + 1] AS p, CAST(s.label = k.value AS INTEGER) AS y
-        FROM scores s JOIN (SELECT unnest(range(0, 5)) AS value) k ON k.value < s.num_class
+        FROM scores s JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) k ON k.value < s.num_class
         WHERE s.label IS NOT NULL AND (NOT contains(s.attribute_model, '_') OR k.value = 1)""",
     "roc_points": """
         SELECT attribute_model, value, set_uid, p, pos, neg,
@@ -210,7 +210,7 @@ VIEWS["rep_shares"] = """
         SELECT s.attribute_model, s.rep, k.value, coalesce(sum(c.w / v.total), 0.0) / max(s.n) AS share
         FROM (SELECT attribute_model, rep, count(*) AS n FROM rep_waves GROUP BY ALL) s
         JOIN model_sizes m ON m.attribute_model = s.attribute_model
-        JOIN (SELECT unnest(range(0, 5)) AS value) k ON k.value < m.num_class
+        JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) k ON k.value < m.num_class
         LEFT JOIN rep_cells c ON c.attribute_model = s.attribute_model AND c.rep = s.rep AND c.label = k.value
         LEFT JOIN rep_waves v ON v.attribute_model = c.attribute_model AND v.rep = c.rep AND v.wavekey = c.wavekey
         GROUP BY s.attribute_model, s.rep, k.value"""
@@ -223,7 +223,7 @@ VIEWS["histogram"] = """
         FROM (SELECT p.attribute_model, p.wavekey, sum(CAST(r.respondentweight AS DOUBLE)) AS total
               FROM predictions p JOIN respondents r ON r.uid = p.uid GROUP BY ALL) t
         JOIN model_sizes m ON m.attribute_model = t.attribute_model
-        JOIN (SELECT unnest(range(0, 5)) AS value) k ON k.value < m.num_class
+        JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) k ON k.value < m.num_class
         LEFT JOIN (SELECT p.attribute_model, p.wavekey, p.selected_value, sum(CAST(r.respondentweight AS DOUBLE)) AS w
                    FROM predictions p JOIN respondents r ON r.uid = p.uid GROUP BY ALL) c
           ON c.attribute_model = t.attribute_model AND c.wavekey = t.wavekey AND c.selected_value = k.value"""

@@ -237,7 +237,7 @@ def i6(s):
         tot AS (SELECT attribute, wavekey, sum(weight) AS total FROM fin GROUP BY ALL),
         cells AS (SELECT attribute, wavekey, v, sum(weight) AS w FROM fin GROUP BY ALL),
         hist AS (SELECT t.attribute, t.wavekey, k.value, coalesce(c.w, 0) / t.total AS share FROM tot t
-                 JOIN model_sizes m ON m.attribute_model = t.attribute JOIN (SELECT unnest(range(0, 5)) AS value) k ON k.value < m.num_class
+                 JOIN model_sizes m ON m.attribute_model = t.attribute JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) k ON k.value < m.num_class
                  LEFT JOIN cells c ON c.attribute = t.attribute AND c.wavekey = t.wavekey AND c.v = k.value)
         SELECT '102' AS target_attribute, h.attribute, c.sakey, c.svkey, h.wavekey, round(h.share, 6) AS share,
                round(avg(h.share) OVER (PARTITION BY h.attribute, h.value), 6) AS imputed_distribution
@@ -288,7 +288,7 @@ def round_inputs(s):
 @query("j6_run_rounds")
 def j6(s):
     """Two rounds; answers per round, attribute and value."""
-    config = pr.RoundConfig(params=ob.replace(SMALL, rounds=2), search_trials=0, reps=50, evals=5, threads=4)
+    config = pr.RoundConfig(params=ob.replace(SMALL, rounds=1), search_trials=0, reps=50, evals=5, threads=4)
     root = new_folder(s.spark, "rounds")
     done = pr.run_rounds(s.spark, round_inputs(s), root, 2, config)
     parts = [df.withColumn("round", F.lit(i)) for i, df in enumerate(done)]

@@ -22,8 +22,8 @@ G3 = "attribute_model, value, set_uid"
 
 
 def labeled(s):
-    weights = s.respondents.select("uid", "wavekey", F.col("respondentweight").cast("double").alias("weight"))
-    return s.labels.select("uid", "wavekey", F.col("attribute").alias("attribute_model"), "label").join(weights, ["uid", "wavekey"])
+    """Observed labels with weights, as a round keeps them beside its scores."""
+    return s.scores.where(F.col("label").isNotNull()).select("uid", "wavekey", "attribute_model", "label", "weight")
 
 
 def bounds(s):
@@ -313,7 +313,7 @@ def g15(s):
 CANDIDATES = f"""(SELECT s.attribute_model, s.wavekey, s.num_class, c.candidate, list_transform(range(0, s.num_class),
             lambda k: 1.0::DOUBLE / (1e-10::DOUBLE + (1.0::DOUBLE - 1e-10::DOUBLE) * {u('s.attribute_model', 's.wavekey', 'c.candidate', 'k', '0')})) AS m
         FROM (SELECT DISTINCT attribute_model, wavekey, num_class FROM scores) s
-        JOIN (SELECT unnest(range(0, {EVALS} * 5)) AS candidate) c ON c.candidate < {EVALS} * s.num_class)"""
+        JOIN (SELECT CAST(unnest(range(0, {EVALS} * 5)) AS INTEGER) AS candidate) c ON c.candidate < {EVALS} * s.num_class)"""
 
 WON = f"""(SELECT attribute_model, wavekey, candidate, num_class, label, weight, probs, list_position(sm, list_max(sm)) - 1 AS winner
         FROM (SELECT s.*, c.candidate, list_transform(range(1, s.num_class + 1), lambda i: s.probs[i] * c.m[i]) AS sm
@@ -341,12 +341,12 @@ def score_cells(s):
 
 @query(
     "h1_threshold_candidates",
-    f"SELECT attribute_model, wavekey, candidate, unnest(range(0, num_class)) AS value, unnest(list_transform(m, lambda x: round(1 / x, 9))) AS u FROM {CANDIDATES}",
+    f"SELECT attribute_model, wavekey, candidate, CAST(unnest(range(0, num_class)) AS INTEGER) AS value, unnest(list_transform(m, lambda x: round(1 / x, 9))) AS u FROM {CANDIDATES}",
 )
 def h1(s):
     return ocal.threshold_candidates(score_cells(s), EVALS).select(
         "attribute_model", "wavekey", "candidate", F.posexplode("multipliers").alias("value", "m")
-    ).select("attribute_model", "wavekey", "candidate", F.col("value").cast("long").alias("value"), F.round(1.0 / F.col("m"), 9).alias("u"))
+    ).select("attribute_model", "wavekey", "candidate", "value", F.round(1.0 / F.col("m"), 9).alias("u"))
 
 
 @query("h2_apply_multipliers", f"SELECT attribute_model, wavekey, winner, count(*) AS n FROM {WON} WHERE candidate = 0 GROUP BY attribute_model, wavekey, winner")
@@ -354,7 +354,7 @@ def h2(s):
     first = stored(ocal.threshold_candidates(score_cells(s), 1).where(F.col("candidate") == 0), "candidates")
     rows = s.scores.join(first.drop("num_class", "candidate"), ocal.CELL)
     return rows.groupBy(
-        *ocal.CELL, fs.apply_multipliers(F.col("probs"), F.col("multipliers")).cast("long").alias("winner")
+        *ocal.CELL, fs.apply_multipliers(F.col("probs"), F.col("multipliers")).alias("winner")
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -367,7 +367,7 @@ def h2(s):
 def h3(s):
     losses = ocal.calibration_losses(s.scores, bounds(s), EVALS)
     return losses.select(
-        *ocal.CELL, F.col("candidate").cast("long").alias("candidate"),
+        *ocal.CELL, "candidate",
         *[r6(c) for c in ("distribution_error", "prob_loss", "confidence_interval_error", "loss")],
     )
 
@@ -375,7 +375,7 @@ def h3(s):
 @query("h4_calibrate_waves", f"SELECT attribute_model, wavekey, candidate, round(loss, 6) AS loss FROM {BEST}")
 def h4(s):
     return ocal.calibrate_waves(s.scores, bounds(s), EVALS).select(
-        *ocal.CELL, F.col("candidate").cast("long").alias("candidate"), r6("loss")
+        *ocal.CELL, "candidate", r6("loss")
     )
 
 
@@ -392,7 +392,7 @@ FINAL_VALUES = f"""(SELECT s.uid, s.attribute_model, s.wavekey, s.num_class, s.w
     f"""WITH fin AS (SELECT * FROM {FINAL_VALUES}),
         tot AS (SELECT attribute_model, wavekey, max(num_class) AS k, sum(weight) AS total FROM fin GROUP BY ALL),
         hist AS (SELECT t.attribute_model, t.wavekey, v.value, coalesce(c.w, 0) / t.total AS share
-                 FROM tot t JOIN (SELECT unnest(range(0, 5)) AS value) v ON v.value < t.k
+                 FROM tot t JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) v ON v.value < t.k
                  LEFT JOIN (SELECT attribute_model, wavekey, selected_value, sum(weight) AS w FROM fin GROUP BY ALL) c
                    ON c.attribute_model = t.attribute_model AND c.wavekey = t.wavekey AND c.selected_value = v.value)
         SELECT h.attribute_model AS attribute, h.wavekey, h.value, round(h.share, 6) AS share,
@@ -404,7 +404,7 @@ FINAL_VALUES = f"""(SELECT s.uid, s.attribute_model, s.wavekey, s.num_class, s.w
 )
 def h5(s):
     return wave_report(s).select(
-        "attribute", "wavekey", F.col("value").cast("long").alias("value"), r6("share"), r6("imputed_distribution"),
+        "attribute", "wavekey", "value", r6("share"), r6("imputed_distribution"),
         r6("simulation_distribution"), r6("lower_bound_distribution"), r6("upper_bound_distribution"), "sakey", "svkey",
     )
 

@@ -8,12 +8,11 @@ score column. Rows never leave the executors; the driver holds trees and a few s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +23,7 @@ from panelfill.functions.rng import hash_uniform, hash_uniform_py
 from panelfill.functions.survey import is_binomial
 from panelfill.operators import scores as osc
 from panelfill.operators.running import hash_buckets, running_totals
-from panelfill.session import checkpoint, new_folder, stored
+from panelfill.session import checkpoint, in_parallel, new_folder, stored
 
 SPLITS = ("train", "test", "validation")
 FINAL_SEED = 47
@@ -291,12 +290,13 @@ def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostM
     The trees are saved and their node tables read back in one job.
     """
     root = new_folder(spark, "trees")
-    used = []
+    used, saves = [], []
     for (attribute, k), model in models.items():
         for i, step in enumerate(model.steps[: model.best_iteration]):
-            step.tree.write().overwrite().save(f"{root}/{attribute}={k}={i}")
+            saves.append(lambda tree=step.tree, path=f"{root}/{attribute}={k}={i}": tree.write().overwrite().save(path))
             kept = step.features if step.features is not None else range(len(names))
             used += [(attribute, k, i, j, names[f], model.best_iteration) for j, f in enumerate(kept)]
+    in_parallel(saves, 8)
     index = spark.createDataFrame(
         used, "attribute_model string, svkey_index int, step int, position int, feature string, best_iteration int"
     )
@@ -393,14 +393,6 @@ def test_quality(model: BoostModel, rows: DataFrame) -> tuple[float, float | Non
     return (loss.log_loss if loss else math.nan), (auc.roc_score if auc else None)
 
 
-def in_parallel(tasks: Sequence[Callable], threads: int) -> list:
-    """Run driver-side tasks that start Spark jobs; the jobs share the cluster."""
-    if threads <= 1:
-        return [task() for task in tasks]
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
-
-
 @dataclass
 class SearchResult:
     trials: DataFrame

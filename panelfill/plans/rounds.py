@@ -21,6 +21,7 @@ from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.operators.features import FeatureSpec, assemble_features
 from panelfill.operators.joins import not_in_keys
 from panelfill.operators.labels import coverage_matrix, wide_labels
+from panelfill.session import in_parallel
 from panelfill.sources import tables
 
 # fixed values: demographics that are never features of a tuned round
@@ -118,7 +119,7 @@ def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: Featur
             base = replace(found.params, features=picked)
         return k, ob.final_fit(target, base), found
 
-    done = ob.in_parallel([lambda k=k: run(k) for k in classes], config.threads)
+    done = in_parallel([lambda k=k: run(k) for k in classes], config.threads)
     models = {k: m for k, m, _ in done}
     trials = [(attribute, k, f.log_loss, f.roc_score) for k, _, f in done if f is not None]
     return models, trials, any(f.retried for *_, f in done if f is not None)
@@ -168,7 +169,7 @@ def run_round(
         finish = time.time()
         return models, trials, (attribute, num_class, iteration, start, finish, finish - start, retried)
 
-    done = ob.in_parallel([lambda a=a: fit(a) for a in pending], config.threads)
+    done = in_parallel([lambda a=a: fit(a) for a in pending], config.threads)
     scored = pending
     fitted = {(a, k): m for a, (models, _, _) in zip(pending, done) for k, m in models.items()}
     trial_rows = [t for _, trials, _ in done for t in trials]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from panelfill.functions.survey import model_of
+from panelfill.session import in_parallel
 
 
 # ---- reading ---------------------------------------------------------------------------------
@@ -161,8 +162,12 @@ def pending_models(expected: DataFrame, ledger: DataFrame, redo: bool = False) -
 
 
 def write_result_bundle(root: str, frames: Mapping[str, DataFrame], partition: str = "attribute_model") -> None:
-    """Each result kind as one table partitioned by model; a rerun replaces only its own models."""
-    for kind, df in frames.items():
+    """Each result kind as one table partitioned by model; a rerun replaces only its own models.
+
+    The kinds do not depend on each other, so their jobs run side by side.
+    """
+
+    def write(kind: str, df: DataFrame) -> None:
         (
             df.hint("rebalance", partition)
             .write.mode("overwrite")
@@ -170,3 +175,5 @@ def write_result_bundle(root: str, frames: Mapping[str, DataFrame], partition: s
             .partitionBy(partition)
             .parquet(f"{root}/{kind}")
         )
+
+    in_parallel([lambda kind=kind, df=df: write(kind, df) for kind, df in frames.items()], len(frames))
