@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelfill.functions.survey import pair_key, ratio
 from panelfill.operators.joins import lookup_both_sides
 from panelfill.operators.sampling import random_sample
-from panelfill.operators.shares import wave_totals
+from panelfill.operators.shares import wave_totals, with_weights
 from panelfill.session import stored
 
 PAIR = ["attribute1", "attribute2", "sakey_1", "sakey_2", "svkey_1", "svkey_2"]
@@ -71,8 +71,10 @@ def audience_wave_weights(predictions: DataFrame, codes: DataFrame, respondents:
     Every final answer becomes a row per audience side it stands for (answers in no audience drop
     out here). These rows are shuffled once, by respondent; counting the sides and joining the
     weights reuse that partitioning, and only sums per (audience, wave) are shuffled after it.
-    An audience is identified by its two answer keys.
+    An audience is identified by its two answer keys. Predictions that carry their weight need
+    no join with the respondents.
     """
+    weight = ["respondentweight"] if "respondentweight" in predictions.columns else []
     pair = audiences.select("svkey_1", "svkey_2").distinct()
     side = F.explode(F.array(F.struct(F.col("svkey_1").alias("svkey"), F.lit(1).alias("side")), F.struct(F.col("svkey_2").alias("svkey"), F.lit(2).alias("side"))))
     sides = (
@@ -82,15 +84,15 @@ def audience_wave_weights(predictions: DataFrame, codes: DataFrame, respondents:
         .select(F.col("attribute").alias("attribute_model"), F.col("attribute_value").alias("selected_value"), "svkey_1", "svkey_2", "side")
     )
     held = (
-        predictions.select("uid", "wavekey", "attribute_model", "selected_value")
+        predictions.select("uid", "wavekey", "attribute_model", "selected_value", *weight)
         .join(stored(sides, "audience-sides"), ["attribute_model", "selected_value"])
         .repartition("uid", "wavekey")
         .groupBy("uid", "wavekey", "svkey_1", "svkey_2")
-        .agg(F.min("side").alias("first_side"), F.max("side").alias("last_side"))
+        .agg(F.min("side").alias("first_side"), F.max("side").alias("last_side"), *[F.max(w).alias(w) for w in weight])
         .where("first_side = 1 AND last_side = 2")
     )
     return (
-        held.join(respondents.select("uid", "wavekey", "respondentweight"), ["uid", "wavekey"])
+        with_weights(held, respondents)
         .groupBy("svkey_1", "svkey_2", "wavekey")
         .agg(F.sum("respondentweight").cast("double").alias("wave_audience_weight"))
     )

@@ -389,7 +389,7 @@ def test_quality(model: BoostModel, rows: DataFrame) -> tuple[float, float | Non
     )
     test = checkpoint(test)
     loss = osc.log_loss(test, ["set_uid"]).first()
-    auc = osc.roc_auc(test, ["set_uid"], buckets=16).first()
+    auc = osc.roc_auc(test, ["set_uid"]).first()
     return (loss.log_loss if loss else math.nan), (auc.roc_score if auc else None)
 
 

@@ -1,7 +1,8 @@
 """Feature vectors from long answers and latent layers.
 
 Answers stay long until the last step, where each respondent's answers become one array and
-then one vector; there are no thousands of pivot columns for Catalyst to plan.
+then one vector; there are no thousands of pivot columns for Catalyst to plan. Answers are
+shuffled once, by respondent, for both groupings and the join.
 """
 
 from __future__ import annotations
@@ -81,6 +82,7 @@ def assemble_features(
         held = (
             answers.where(F.col("code").isNotNull())
             .join(broadcast_if_small(positions), "attribute")
+            .repartition("uid")
             .groupBy("uid", "idx")
             .agg((F.max("code") + 1).cast("double").alias("level"))
             .groupBy("uid")

@@ -15,11 +15,21 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+ROWS_PER_BUCKET = 250_000
+MIN_BUCKETS = 8
 
 
-def quantile_buckets(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Adds ``_bucket``, a non-decreasing function of ``order`` with about equal numbers of rows."""
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for the rows at hand: enough that none is large for one task."""
+    return max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+
+
+def quantile_buckets(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """Adds ``_bucket``, a non-decreasing function of ``order`` with about equal numbers of rows.
+
+    ``df`` is read more than once, so it should be a checkpointed or stored table.
+    """
+    buckets = buckets or bucket_count(df)
     points = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(order, points, 1.0 / (4 * buckets)))) if buckets > 1 else []
     if not cuts:
@@ -28,8 +38,9 @@ def quantile_buckets(df: DataFrame, order: str, buckets: int = BUCKETS) -> DataF
     return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(df)
 
 
-def hash_buckets(df: DataFrame, uniform: str, buckets: int = BUCKETS) -> DataFrame:
-    """The same for a column that is uniform on [0, 1) by construction: no pass over the data."""
+def hash_buckets(df: DataFrame, uniform: str, buckets: int | None = None) -> DataFrame:
+    """The same for a column that is uniform on [0, 1) by construction: no quantiles needed."""
+    buckets = buckets or bucket_count(df)
     return df.withColumn("_bucket", F.floor(F.col(uniform) * buckets))
 
 

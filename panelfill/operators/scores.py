@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelfill.functions.focal import clip_probability
 from panelfill.functions.survey import is_binomial, ratio, slice_set, slice_value
 from panelfill.operators.joins import with_answer_codes
-from panelfill.operators.running import BUCKETS, quantile_buckets, running_totals
+from panelfill.operators.running import quantile_buckets, running_totals
 from panelfill.session import checkpoint
 
 GROUP = ["attribute_model", "value", "set_uid"]
@@ -36,14 +36,14 @@ def score_counts(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "
     return scores.groupBy(*group, score).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
-def _cumulated(scores: DataFrame, group: Sequence[str], score: str, buckets: int) -> DataFrame:
+def _cumulated(scores: DataFrame, group: Sequence[str], score: str, buckets: int | None) -> DataFrame:
     counts = checkpoint(score_counts(scores, group, score))
     return running_totals(
         quantile_buckets(counts, score, buckets), group, [score], {"pos": "pos_below", "neg": "neg_below"}
     )
 
 
-def roc_auc(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "p", buckets: int = BUCKETS) -> DataFrame:
+def roc_auc(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "p", buckets: int | None = None) -> DataFrame:
     """Chance that a positive row outranks a negative one; ties count half. Null without both kinds."""
     ranked = _cumulated(scores, group, score, buckets)
     wins = F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0)
@@ -59,7 +59,7 @@ def log_loss(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "p")
     )
 
 
-def roc_curve(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "p", buckets: int = BUCKETS) -> DataFrame:
+def roc_curve(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "p", buckets: int | None = None) -> DataFrame:
     """Rates at each distinct score taken as threshold (score >= threshold is positive).
 
     Each group starts with a threshold above its highest score, where nothing is positive.
@@ -99,7 +99,7 @@ def best_mcc_threshold(curve: DataFrame, group: Sequence[str] = ("attribute_mode
     )
 
 
-def metrics_table(results: DataFrame, trials: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+def metrics_table(results: DataFrame, trials: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """AUC and log loss per model, class and split; best search trials come in as split ``hyperopt``.
 
     ``trials`` has (attribute_model, value, log_loss, roc_score).

@@ -35,6 +35,9 @@ def weighted_sums(answers: DataFrame, keys: Sequence[str], weight: str = "respon
 
 
 def with_weights(predictions: DataFrame, respondents: DataFrame) -> DataFrame:
+    """Predictions with ``respondentweight``. Those a round writes carry it, and need no join."""
+    if "respondentweight" in predictions.columns:
+        return predictions
     return predictions.join(respondents.select("uid", "wavekey", "respondentweight"), ["uid", "wavekey"])
 
 

@@ -151,7 +151,9 @@ def run_round(
         answers = answers.unionByName(filled.select("uid", F.col("attribute_model").alias("attribute"), F.col("selected_value").alias("code")))
         levels |= {a: inputs.sizes[a] for a in expected if a not in core}
     spec = FeatureSpec(levels, inputs.latent_columns)
-    people = inputs.respondents.select("uid", "wavekey", "set_uid", F.col("respondentweight").cast("double").alias("weight"))
+    people = inputs.respondents.select(
+        "uid", "wavekey", "set_uid", "respondentweight", F.col("respondentweight").cast("double").alias("weight")
+    )
     base = assemble_features(people, answers, spec, inputs.latent).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(attribute):
@@ -162,7 +164,7 @@ def run_round(
         frame = base.join(own, "uid", "left").persist(StorageLevel.MEMORY_AND_DISK)
         models, trials, retried = fit_attribute(frame, attribute, num_class, spec, config)
         result = ob.predict_proba(models, frame, "_" in attribute).select(
-            "uid", "set_uid", "wavekey", "weight", F.lit(attribute).alias("attribute_model"), F.lit(num_class).alias("num_class"), "label", "probs"
+            "uid", "set_uid", "wavekey", "respondentweight", "weight", F.lit(attribute).alias("attribute_model"), F.lit(num_class).alias("num_class"), "label", "probs"
         )
         tables.write_result_bundle(folder, {"scores": result})
         frame.unpersist()
@@ -178,7 +180,7 @@ def run_round(
     if not pending:
         return read_predictions(spark, folder)
 
-    keep = ["uid", "set_uid", "wavekey", "weight", "attribute_model", "num_class", "label", "probs"]
+    keep = ["uid", "set_uid", "wavekey", "respondentweight", "weight", "attribute_model", "num_class", "label", "probs"]
     results = read_kind(spark, folder, "scores").where(F.col("attribute_model").isin(scored)).select(*keep)
     classes = results.select("attribute_model", "num_class").distinct()
     labeled = results.where(F.col("label").isNotNull())
@@ -191,12 +193,12 @@ def run_round(
     final = with_max_prediction(
         ocal.select_values(results, read_kind(spark, folder, "multipliers")), read_kind(spark, folder, "thresholds")
     )
-    predictions = final.select("uid", "set_uid", "wavekey", "attribute_model", "label", "max_prediction", "selected_value")
+    predictions = final.select("uid", "set_uid", "wavekey", "attribute_model", "label", "max_prediction", "selected_value", "respondentweight")
     probabilities = results.select("uid", "set_uid", "wavekey", "attribute_model", "label", "probs")
     tables.write_result_bundle(folder, {"predictions": predictions, "probabilities": probabilities})
 
     back = read_predictions(spark, folder).where(F.col("attribute_model").isin(scored))
-    weighted = back.join(people.select("uid", "weight"), "uid")
+    weighted = back.withColumn("weight", F.col("respondentweight").cast("double"))
     histogram = osh.class_histogram(weighted, osh.wave_list(inputs.respondents), "selected_value", "attribute_model", classes)
     report = ocal.wave_distribution_report(histogram.withColumnRenamed("selected_value", "value"), bounds, inputs.codes)
     trials = spark.createDataFrame(trial_rows, "attribute_model string, value int, log_loss double, roc_score double") if trial_rows else None
