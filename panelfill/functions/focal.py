@@ -25,39 +25,54 @@ def clip_probability(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(P_MIN)), F.lit(1.0 - P_MIN))
 
 
-def _parts(y: Column, p: Column, alpha: float | None):
+def true_class_probability(y: Column, p: Column) -> Column:
+    """Clipped probability given to the class a row really has.
+
+    The ``*_at`` functions take it as a column: it occurs several times in each of them, so a
+    frame should hold it once rather than repeat its expression.
+    """
     clipped = clip_probability(p)
-    positive = y == 1
-    q = F.when(positive, clipped).otherwise(1.0 - clipped)
-    sign = F.when(positive, F.lit(1.0)).otherwise(F.lit(-1.0))
-    weight = F.lit(1.0) if alpha is None else F.when(positive, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
-    return q, sign, weight
+    return F.when(y == 1, clipped).otherwise(1.0 - clipped)
 
 
-def focal_loss(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
-    q, _, a = _parts(y, p, alpha)
-    return -a * F.pow(1.0 - q, F.lit(float(gamma))) * F.log(q)
+def _weight(y: Column, alpha: float | None) -> Column:
+    return F.lit(1.0) if alpha is None else F.when(y == 1, F.lit(alpha)).otherwise(F.lit(1.0 - alpha))
 
 
-def focal_grad(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
-    q, s, a = _parts(y, p, alpha)
+def focal_loss_at(y: Column, q: Column, gamma: float, alpha: float | None = None) -> Column:
+    return -_weight(y, alpha) * F.pow(1.0 - q, F.lit(float(gamma))) * F.log(q)
+
+
+def focal_grad_at(y: Column, q: Column, gamma: float, alpha: float | None = None) -> Column:
     g = float(gamma)
-    return a * s * F.pow(1.0 - q, F.lit(g)) * (g * q * F.log(q) + q - 1.0)
+    sign = F.when(y == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    return _weight(y, alpha) * sign * F.pow(1.0 - q, F.lit(g)) * (g * q * F.log(q) + q - 1.0)
 
 
-def focal_hess(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
+def focal_hess_at(y: Column, q: Column, gamma: float, alpha: float | None = None) -> Column:
     """Exact second derivative; it may be negative far from the optimum."""
-    q, _, a = _parts(y, p, alpha)
     g = float(gamma)
     inner = g * q * F.log(q) + q - 1.0
     slope = g * F.log(q) + g + 1.0
     curved = F.pow(1.0 - q, F.lit(g)) * slope - g * F.pow(1.0 - q, F.lit(g - 1.0)) * inner
-    return a * curved * q * (1.0 - q)
+    return _weight(y, alpha) * curved * q * (1.0 - q)
 
 
-def newton_hess(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
+def newton_hess_at(y: Column, q: Column, gamma: float, alpha: float | None = None) -> Column:
     """Second derivative kept positive, so that it can weigh a Newton step."""
-    return F.greatest(focal_hess(y, p, gamma, alpha), F.lit(HESSIAN_FLOOR))
+    return F.greatest(focal_hess_at(y, q, gamma, alpha), F.lit(HESSIAN_FLOOR))
+
+
+def focal_loss(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
+    return focal_loss_at(y, true_class_probability(y, p), gamma, alpha)
+
+
+def focal_grad(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
+    return focal_grad_at(y, true_class_probability(y, p), gamma, alpha)
+
+
+def focal_hess(y: Column, p: Column, gamma: float, alpha: float | None = None) -> Column:
+    return focal_hess_at(y, true_class_probability(y, p), gamma, alpha)
 
 
 def total_focal_loss(n1: float, n0: float, p: float, gamma: float, alpha: float | None = None) -> float:

@@ -27,6 +27,7 @@ from panelfill.session import checkpoint, in_parallel, new_folder, stored
 
 SPLITS = ("train", "test", "validation")
 FINAL_SEED = 47
+ROWS_PER_TASK = 25_000
 SEARCH_SEED = 42
 
 
@@ -207,19 +208,23 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
     """
     extra = ["class_weight"] if "class_weight" in rows.columns else []
     base = rows.select("uid", "features", F.col("y").cast("double").alias("y"), "is_train", *extra)
-    counts = base.where("is_train").agg(F.sum("y").alias("n1"), F.sum(1.0 - F.col("y")).alias("n0")).first()
+    train = F.when(F.col("is_train"), F.col("y"))
+    counts = base.agg(F.sum(train).alias("n1"), F.sum(1.0 - train).alias("n0"), F.count(F.lit(1)).alias("n")).first()
     init = focal.best_constant_score(float(counts.n1 or 0.0), float(counts.n0 or 0.0), params.gamma, params.alpha)
     width = rows.select("features").schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
     model = BoostModel(params, init)
-    state = base.withColumn("score", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
-    y, p = F.col("y"), focal.sigmoid(F.col("score"))
+    # every round runs some ten short jobs: few rows are not worth many tasks
+    tasks = max(1, -(-counts.n // ROWS_PER_TASK))
+    state = base.coalesce(tasks).withColumn("score", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
+    y, q = F.col("y"), F.col("_q")
+    true_class = focal.true_class_probability(y, focal.sigmoid(F.col("score")))
     for t in range(params.rounds):
         row_weight = F.col("class_weight") if extra else F.lit(1.0)
-        grads = state.where("is_train").select(
+        grads = state.where("is_train").withColumn("_q", true_class).select(
             "uid",
             "features",
-            focal.focal_grad(y, p, params.gamma, params.alpha).alias("g"),
-            focal.newton_hess(y, p, params.gamma, params.alpha).alias("h"),
+            focal.focal_grad_at(y, q, params.gamma, params.alpha).alias("g"),
+            focal.newton_hess_at(y, q, params.gamma, params.alpha).alias("h"),
             row_weight.alias("row_weight"),
         )
         if params.bagging_fraction < 1.0:
@@ -256,7 +261,8 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
         loss = {
             r.is_train: r.loss
-            for r in state.groupBy("is_train").agg(F.avg(focal.focal_loss(y, p, params.gamma, params.alpha)).alias("loss")).collect()
+            for r in state.withColumn("_q", true_class)
+            .groupBy("is_train").agg(F.avg(focal.focal_loss_at(y, q, params.gamma, params.alpha)).alias("loss")).collect()
         }
         last.unpersist()
         model.history.append((loss.get(True, math.nan), loss.get(False, loss.get(True, math.nan))))
