@@ -44,8 +44,9 @@ def in_parallel(tasks: Sequence[Callable], threads: int) -> list:
     """Run driver-side tasks that start Spark jobs; the jobs share the cluster."""
     if threads <= 1:
         return [task() for task in tasks]
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(task)) for task in tasks]]
+        return [f.result() for f in [pool.submit(inherit(task)) for task in tasks]]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
