@@ -80,18 +80,6 @@ def c7(s):
     return s.respondents.select("uid", "wavekey").join(s.matrix.where(F.col("attribute") == "102"), "uid", "left_anti")
 
 
-@query(
-    "c8_unordered_key_pairs",
-    """SELECT a.svkey AS key_1, b.svkey AS key_2, 'A' || a.svkey || ' AND A' || b.svkey AS expression, count(*) AS n
-       FROM (SELECT uid, svkey FROM bsm WHERE label = 1.0) a JOIN (SELECT uid, svkey FROM bsm WHERE label = 1.0) b
-         ON a.uid = b.uid AND a.svkey < b.svkey GROUP BY a.svkey, b.svkey""",
-)
-def c8(s):
-    """Keys of a respondent's chosen answers; each list is as long as the answers of one person."""
-    keys = s.bsm.where(F.col("label") == 1.0).groupBy("uid").agg(F.collect_list("svkey").alias("keys"))
-    return oj.key_pairs(keys).groupBy("key_1", "key_2", "expression").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "c9_first_match",
     """SELECT d.svkey, round(d.calc_distribution, 6) AS calc_distribution, f.wavekey AS first_wave, f.n FROM distributions d

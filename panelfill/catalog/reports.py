@@ -235,6 +235,19 @@ def j13(s):
     return oau.audience_keys(candidates(s), stored(external, "external-keys")).select("svkey_1", "svkey_2", "avkey1", "avkey2", "audience")
 
 
+@query(
+    "c8_unordered_key_pairs",
+    f"""WITH {COMMON}, keyed AS (SELECT svkey_1, svkey_2, unnest([svkey_1 * 10 + 7, svkey_2 * 10 + 7]) AS k FROM {CANDIDATE_PAIRS})
+        SELECT a.svkey_1, a.svkey_2, a.k AS key_1, b.k AS key_2, 'A' || a.k || ' AND A' || b.k AS expression
+        FROM keyed a JOIN keyed b ON a.svkey_1 = b.svkey_1 AND a.svkey_2 = b.svkey_2 AND a.k < b.k""",
+)
+def c8(s):
+    """Expressions over the external keys of each audience."""
+    external = s.bsm.select("svkey").distinct().withColumn("avkey", F.col("svkey") * 10 + 7)
+    keyed = oau.audience_keys(candidates(s), stored(external, "external-keys"))
+    return oj.key_pairs(keyed.select("svkey_1", "svkey_2", F.array("avkey1", "avkey2").alias("keys")))
+
+
 _aud = ", ".join(f"round(coalesce(max(CASE WHEN w.wavekey = '{w}' THEN w.share END), 0), 6) AS \"{w}\"" for w in WAVES)
 
 

@@ -148,9 +148,10 @@ class Step:
         if self.features is not None:
             df = VectorSlicer(inputCol=features, outputCol="_slice", indices=self.features).transform(df)
         source = "_slice" if self.features is not None else features
-        out = self.tree.setFeaturesCol(source).setPredictionCol("_step").setLeafCol("_leaf").transform(df)
+        tree = self.tree.setFeaturesCol(source)
         if self.leaves is None:
-            return out, F.col("_step")
+            return tree.setPredictionCol("_step").setLeafCol("").transform(df), F.col("_step")
+        out = tree.setPredictionCol("").setLeafCol("_leaf").transform(df)
         table = F.array(*[F.lit(v) for v in self.leaves])
         return out, F.get(table, F.col("_leaf").cast("int"))
 
@@ -172,7 +173,7 @@ class BoostModel:
         out = df.withColumn(column, F.lit(self.init))
         for step in self.steps[: self.best_iteration]:
             out, value = step.values(out, features)
-            out = out.withColumn(column, F.col(column) + F.lit(self.params.learning_rate) * value).drop("_step", "_leaf", "_slice")
+            out = out.select(*df.columns, (F.col(column) + F.lit(self.params.learning_rate) * value).alias(column))
         return out
 
 
@@ -187,7 +188,7 @@ def _picked_features(n: int, params: BoostParams, round_: int) -> list[int] | No
 
 def _leaf_values(rows: DataFrame, params: BoostParams, tree: DecisionTreeRegressionModel, source: str) -> list[float]:
     """Regularised Newton step of every leaf, from the sums of gradients and Hessians in it."""
-    leafed = tree.setFeaturesCol(source).setLeafCol("_leaf").transform(rows)
+    leafed = tree.setFeaturesCol(source).setPredictionCol("").setLeafCol("_leaf").transform(rows)
     sums = leafed.groupBy("_leaf").agg(F.sum(F.col("g") * F.col("row_weight")).alias("g"), F.sum(F.col("h") * F.col("row_weight")).alias("h")).collect()
     values = [0.0] * (int(max((r["_leaf"] for r in sums), default=0.0)) + 1)
     for r in sums:
@@ -296,27 +297,40 @@ def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostM
     The trees are saved and their node tables read back in one job.
     """
     root = new_folder(spark, "trees")
-    used, saves = [], []
+    saves, used, sliced = [], [], []
     for (attribute, k), model in models.items():
+        used.append((attribute, k, model.best_iteration))
         for i, step in enumerate(model.steps[: model.best_iteration]):
             saves.append(lambda tree=step.tree, path=f"{root}/{attribute}={k}={i}": tree.write().overwrite().save(path))
-            kept = step.features if step.features is not None else range(len(names))
-            used += [(attribute, k, i, j, names[f], model.best_iteration) for j, f in enumerate(kept)]
+            if step.features is not None:
+                sliced.append((attribute, k, i, step.features))
     in_parallel(saves, 8)
-    index = spark.createDataFrame(
-        used, "attribute_model string, svkey_index int, step int, position int, feature string, best_iteration int"
+    tree = F.split(F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+)/data/", 1)), "=")
+    splits = (
+        spark.read.parquet(f"{root}/*/data")
+        .select(
+            tree[0].alias("attribute_model"), tree[1].cast("int").alias("svkey_index"), tree[2].cast("int").alias("step"),
+            F.col("split.featureIndex").alias("position"), "gain",
+        )
+        .where(F.col("position") >= 0)
+    )
+    # a tree that saw only some entries counts positions among those
+    slices = spark.createDataFrame(sliced, "attribute_model string, svkey_index int, step int, entries array<int>")
+    named = splits.join(slices, ["attribute_model", "svkey_index", "step"], "left").withColumn(
+        "idx", F.when(F.col("entries").isNull(), F.col("position")).otherwise(F.get("entries", F.col("position")))
+    )
+    sums = named.groupBy("attribute_model", "svkey_index", "idx").agg(F.count("gain").alias("split"), F.sum("gain").alias("gain"))
+    features = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
+    rows = spark.createDataFrame(used, "attribute_model string, svkey_index int, best_iteration int").withColumn(
+        "idx", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))
     )
-    tree_path = F.regexp_extract("_metadata.file_path", r"/([^/]+)/data/", 1)
-    nodes = spark.read.parquet(f"{root}/*/data")
-    part = F.split(F.url_decode(tree_path), "=")
-    splits = nodes.select(
-        part[0].alias("attribute_model"), part[1].cast("int").alias("svkey_index"), part[2].cast("int").alias("step"),
-        F.col("split.featureIndex").alias("position"), "gain",
-    ).where(F.col("position") >= 0)
     per_feature = (
-        index.join(splits, ["attribute_model", "svkey_index", "step", "position"], "left")
-        .groupBy("attribute_model", "svkey_index", "feature", "best_iteration")
-        .agg(F.count("gain").cast("double").alias("split"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("gain"))
+        rows.join(features, "idx")
+        .join(sums, ["attribute_model", "svkey_index", "idx"], "left")
+        .select(
+            "attribute_model", "svkey_index", "feature", "best_iteration",
+            F.coalesce("split", F.lit(0)).cast("double").alias("split"), F.coalesce("gain", F.lit(0.0)).alias("gain"),
+        )
     )
     return per_feature.unpivot(
         ["attribute_model", "svkey_index", "feature", "best_iteration"], ["split", "gain"], "importance_type", "importance"

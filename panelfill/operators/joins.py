@@ -57,7 +57,8 @@ def join_labels(frames: Sequence[DataFrame], on: list[str]) -> DataFrame:
 def key_pairs(audiences: DataFrame, keys: str = "keys") -> DataFrame:
     """Unordered pairs of the keys listed in each row, as ``(key_1, key_2, expression)``.
 
-    The keys of one audience are an array, so its pairs come from that row alone.
+    The keys of one audience (two, as audiences are built here) are an array, so its pairs come
+    from that row alone and no self-join is needed.
     """
     sorted_keys = F.array_sort(F.array_distinct(F.col(keys)))
     pairs = F.flatten(
