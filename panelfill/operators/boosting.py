@@ -299,7 +299,8 @@ def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostM
     root = new_folder(spark, "trees")
     saves, used, sliced = [], [], []
     for (attribute, k), model in models.items():
-        used.append((attribute, k, model.best_iteration))
+        on = model.params.features
+        used.append((attribute, k, model.best_iteration, None if on is None else list(on)))
         for i, step in enumerate(model.steps[: model.best_iteration]):
             saves.append(lambda tree=step.tree, path=f"{root}/{attribute}={k}={i}": tree.write().overwrite().save(path))
             if step.features is not None:
@@ -321,9 +322,11 @@ def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostM
     )
     sums = named.groupBy("attribute_model", "svkey_index", "idx").agg(F.count("gain").alias("split"), F.sum("gain").alias("gain"))
     features = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
-    rows = spark.createDataFrame(used, "attribute_model string, svkey_index int, best_iteration int").withColumn(
-        "idx", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))
-    )
+    # one row per feature switched on, also where no split uses it
+    on = F.coalesce("entries", F.sequence(F.lit(0), F.lit(len(names) - 1)))
+    rows = spark.createDataFrame(
+        used, "attribute_model string, svkey_index int, best_iteration int, entries array<int>"
+    ).select("attribute_model", "svkey_index", "best_iteration", F.explode(on).alias("idx"))
     per_feature = (
         rows.join(features, "idx")
         .join(sums, ["attribute_model", "svkey_index", "idx"], "left")
