@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -34,6 +36,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the tasks of this application the package, once: their Python need not find it on a path of its own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_panelfill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="panelfill-"), "panelfill.zip")  # Spark copies it to its own file server
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._panelfill_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor and cuts the lineage."""
     shared_dir(df.sparkSession)
