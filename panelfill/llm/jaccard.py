@@ -16,7 +16,7 @@ from panelfill.session import ship, stored
 
 SHINGLE = 4
 PERCENT = 85
-GROUPS = 32
+GROUPS = 128
 LEAF = 64
 POINTS_A_TREE = 2048
 BLOCKS_A_TASK = 4
@@ -338,6 +338,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(_linked(percent), "a long, b long")
 
 
+def _flat(equal: DataFrame) -> DataFrame:
+    """Equal sets (a, b) with b the smallest of all: a copy names its slice's smallest, and that one the smallest of all."""
+    one = equal.groupBy("a").agg(F.min("b").alias("b"))
+    top = one.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    return one.join(top, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+
+
 def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Possible links between components that met at the same root but were not paired there.
 
@@ -391,8 +398,12 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
     dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
     met = stored(dealt.mapInArrow(_met, FOUND), "met")
-    equal = met.filter(F.col("kind") == EQUAL).select("a", "b")
-    cand = stored(met.filter(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
+    equal = stored(_flat(met.filter(F.col("kind") == EQUAL)), "equal")
+    cand = met.filter(F.col("kind") == CANDIDATE).select("a", "b").distinct()
+    for side in ("a", "b"):  # of equal sets only the smallest document goes on
+        to = equal.select(F.col("a").alias(side), F.col("b").alias("same"))
+        cand = cand.join(to, side, "left").withColumn(side, F.coalesce("same", side)).drop("same")
+    cand = stored(cand.filter("a <> b").select("a", "b").distinct(), "pairs")
     wanted = cand.select(F.col("a").alias("key")).union(cand.select("b")).distinct()
     sets = stored(rows.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_sets(size), SETS), "sets")
     links = stored(equal.union(_verified(cand, sets, percent)), "verified")
