@@ -294,35 +294,51 @@ class CountTree:
         return self.order[at[good & (self.component[at] != component)]]
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of equal (root, leaf) from rows sorted by them."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        root, leaf = table["root"].to_numpy(), table["leaf"].to_numpy()
+        at = 0
+        for to in (np.flatnonzero((root[1:] != root[:-1]) | (leaf[1:] != leaf[:-1])) + 1).tolist():
+            yield table.slice(at, to - at).combine_chunks()
+            at = to
+        held = table.slice(at)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
 def _searched(percent: int):
-    """Rows sorted by root, leaf and role: points (0), then queries (1)."""
+    """Links between components among the points of a leaf (role 0) and from outside it (role 1).
+
+    Sets near the median of the count vectors search first, as the likely origin of the others; a set is
+    compared only with sets that no link found so far ties to its component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table):
-            role = table["role"].to_numpy()
-            points, queries = table.filter(pa.array(role == 0)), table.filter(pa.array(role == 1))
-            if not (points.num_rows and queries.num_rows):
-                return
-            tree = CountTree(_vectors(points["counts"]), points["n"].to_numpy(), points["component"].to_numpy())
-            ids, a, b = points["doc"].to_numpy(), [], []
-            for doc, n, own, v in zip(queries["doc"].to_pylist(), queries["n"].to_pylist(), queries["component"].to_pylist(), _vectors(queries["counts"])):
-                hits = ids[tree.search(v, n, own, percent)]
-                a.append(np.maximum(hits, doc)), b.append(np.minimum(hits, doc))
-            yield pa.record_batch([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            root, leaf = table["root"].to_numpy(), table["leaf"].to_numpy()
-            cut = np.flatnonzero((root[1:] != root[:-1]) | (leaf[1:] != leaf[:-1])) + 1
-            at = 0
-            for to in cut.tolist():
-                yield from pairs(table.slice(at, to - at).combine_chunks())
-                at = to
-            held = table.slice(at)
-        if held is not None and held.num_rows:
-            yield from pairs(held.combine_chunks())
+        for table in _grouped(batches):
+            vectors, n, doc = _vectors(table["counts"]), table["n"].to_numpy(), table["doc"].to_numpy()
+            _, tied = np.unique(table["component"].to_numpy(), return_inverse=True)
+            own = tied.copy()
+            points = np.flatnonzero(table["role"].to_numpy() == 0)
+            if not len(points):
+                continue
+            tree = CountTree(vectors[points], n[points], own[points])
+            shingles = table["shingles"].combine_chunks() if isinstance(table["shingles"], pa.ChunkedArray) else table["shingles"]
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in shingles]
+            queries = np.flatnonzero(table["query"].to_numpy())
+            queries = queries[np.argsort(np.abs(vectors[queries] - np.median(vectors[points], axis=0)).sum(axis=1), kind="stable")]
+            a, b = [], []
+            for x in queries.tolist():
+                hits = points[tree.search(vectors[x], n[x], own[x], percent)]
+                while len(hits := hits[tied[hits] != tied[x]]):
+                    y, hits = hits[0], hits[1:]
+                    if len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= required(n[x] + n[y], percent):
+                        a.append(doc[x]), b.append(doc[y])
+                        tied[tied == tied[y]] = tied[x]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -346,32 +362,30 @@ def _flat(equal: DataFrame) -> DataFrame:
 
 
 def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Possible links between components that met at the same root but were not paired there.
+    """Links between components whose documents met, but whose linked documents were not paired with each other.
 
-    A missed link has both ends among the members of one root (documents paired with it, or with one that is
-    paired with it), in different components. Of such a root, all members outside its largest component
-    search an R-tree over all its members, cut into leaves of bounded size.
+    A missed link joins two documents that met under one key with the same smallest document, so their
+    components hang together through pairs of different components. Where some do, the documents of all but
+    the largest component search count-vector R-trees over all of them, cut into leaves of bounded size.
     """
+
     def named(df, node, name):
         c = found.select(F.col("node").alias(node), F.col("component").alias(name))
         return df.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
-    across = named(named(cand, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("b").alias("root")).distinct()
-    roots = stored(across.union(cand.join(across, cand.a == across.root).select("b")).toDF("root").distinct(), "roots")
-    at_root = cand.join(roots, cand.b == roots.root, "left_semi").select(F.col("b").alias("root"), F.col("a").alias("doc"))
-    second = at_root.join(cand, at_root.doc == cand.b).select("root", F.col("a").alias("doc"))
-    members = at_root.union(second).union(roots.select("root", F.col("root").alias("doc"))).distinct()
-    members = stored(named(members, "doc", "component").join(sets.select("doc", "n", "counts"), "doc"), "members")
+    across = stored(named(named(cand, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across")
+    tops = components(across).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    tops = tops.union(tops.select(F.col("root").alias("component"), "root").distinct())
+    members = stored(named(sets.select("doc"), "doc", "component").join(tops, "component"), "members")
     sizes = members.groupBy("root", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("root").agg(F.sum("size").alias("total"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts"))
-    largest = largest.filter("parts > 1").select("root", "main", F.ceil(F.col("total") / POINTS_A_TREE).cast("long").alias("leaves"))
-    spread = members.join(largest, "root")
-    points = spread.withColumn("leaf", F.pmod(F.xxhash64("doc"), "leaves")).withColumn("role", F.lit(0))
-    queries = spread.filter("component <> main").withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1))).withColumn("role", F.lit(1))
-    columns = ["root", "leaf", "role", "doc", "component", "n", "counts"]
+    groups = sizes.groupBy("root").agg(F.sum("size").alias("total"), F.max_by("component", F.struct("size", "component")).alias("main"))
+    groups = groups.select("root", "main", F.ceil(F.col("total") / POINTS_A_TREE).cast("long").alias("leaves"))
+    spread = members.join(groups, "root").withColumn("home", F.pmod(F.xxhash64("doc"), "leaves")).withColumn("query", F.col("component") != F.col("main"))
+    places = F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)).otherwise(F.array("home"))
+    rows = spread.withColumn("leaf", F.explode(places)).withColumn("role", F.when(F.col("leaf") == F.col("home"), 0).otherwise(1))
     tasks = max(1, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = points.select(columns).union(queries.select(columns)).repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc")
-    return rows.mapInArrow(_searched(percent), "a long, b long").distinct().join(cand, ["a", "b"], "left_anti")
+    full = rows.select("root", "leaf", "role", "query", "doc", "component").join(sets, "doc")
+    return full.repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc").mapInArrow(_searched(percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -384,8 +398,8 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
        sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). Inside a
        slice and again inside a block each document is paired with the smallest of its key, never all with all.
     2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles.
-    3. Where one root's members still lie in several components, those outside its largest search a count-vector
-       R-tree over all its members (:func:`_unmet`); what it gives is verified as well.
+    3. Where paired documents still lie in several components, those outside the largest search count-vector
+       R-trees over all of them, and what these give is verified as well (:func:`_unmet`).
 
     Equal sets are linked by a 64-bit digest of the set; shingles are compared by 64-bit hashes. Null, empty and
     blank texts have no shingles and link with nothing. A null doc_id counts as larger than any other, and its own
@@ -408,7 +422,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     sets = stored(rows.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_sets(size), SETS), "sets")
     links = stored(equal.union(_verified(cand, sets, percent)), "verified")
     found = components(links)
-    more = stored(_verified(_unmet(cand, sets, found, percent), sets, percent), "more")
+    more = stored(_unmet(cand, sets, found, percent), "more")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
