@@ -18,7 +18,7 @@ SHINGLE = 4
 PERCENT = 85
 GROUPS = 128
 LEAF = 64
-POINTS_A_TREE = 2048
+POINTS_A_TREE = 8192
 BLOCKS_A_TASK = 4
 NO_ID = (1 << 63) - 1
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
@@ -366,7 +366,8 @@ def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
 
     A missed link joins two documents that met under one key with the same smallest document, so their
     components hang together through pairs of different components. Where some do, the documents of all but
-    the largest component search count-vector R-trees over all of them, cut into leaves of bounded size.
+    the largest component search count-vector R-trees over all of them, dealt by bands of set size, and by a
+    hash where a band has more than ``POINTS_A_TREE`` sets.
     """
 
     def named(df, node, name):
@@ -376,15 +377,21 @@ def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
     across = stored(named(named(cand, "a", "ca"), "b", "cb").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "across")
     tops = components(across).select(F.col("node").alias("component"), F.col("component").alias("root"))
     tops = tops.union(tops.select(F.col("root").alias("component"), "root").distinct())
-    members = stored(named(sets.select("doc"), "doc", "component").join(tops, "component"), "members")
+    # linked sets differ in size by less than one band
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
+    members = stored(named(sets.select("doc", band.alias("band")), "doc", "component").join(tops, "component"), "members")
     sizes = members.groupBy("root", "component").agg(F.count("*").alias("size"))
-    groups = sizes.groupBy("root").agg(F.sum("size").alias("total"), F.max_by("component", F.struct("size", "component")).alias("main"))
-    groups = groups.select("root", "main", F.ceil(F.col("total") / POINTS_A_TREE).cast("long").alias("leaves"))
-    spread = members.join(groups, "root").withColumn("home", F.pmod(F.xxhash64("doc"), "leaves")).withColumn("query", F.col("component") != F.col("main"))
-    places = F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)).otherwise(F.array("home"))
-    rows = spread.withColumn("leaf", F.explode(places)).withColumn("role", F.when(F.col("leaf") == F.col("home"), 0).otherwise(1))
+    main = sizes.groupBy("root").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    leaves = members.groupBy("root", "band").agg(F.ceil(F.count("*") / POINTS_A_TREE).cast("long").alias("leaves"))
+    points = members.join(main, "root").join(leaves, ["root", "band"]).withColumn("query", F.col("component") != F.col("main"))
+    points = points.withColumn("leaf", F.pmod(F.xxhash64("doc"), "leaves"))
+    asked = points.filter("query").select("root", "query", "doc", "component", F.col("band").alias("own"), F.col("leaf").alias("home"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    asked = asked.join(leaves, ["root", "band"]).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
+    asked = asked.filter("band <> own OR leaf <> home")
+    columns = ["root", "band", "leaf", "role", "query", "doc", "component"]
+    rows = points.withColumn("role", F.lit(0)).select(columns).union(asked.withColumn("role", F.lit(1)).select(columns))
     tasks = max(1, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    full = rows.select("root", "leaf", "role", "query", "doc", "component").join(sets, "doc")
+    full = rows.withColumn("leaf", F.xxhash64("band", "leaf")).drop("band").join(sets, "doc")
     return full.repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc").mapInArrow(_searched(percent), "a long, b long")
 
 
