@@ -20,7 +20,7 @@ GROUPS = 128
 LEAF = 64
 POINTS_A_TREE = 8192
 BLOCKS_A_TASK = 4
-NO_ID = (1 << 63) - 1
+NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
 FOUND = "kind int, a long, b long"
@@ -409,14 +409,16 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
        R-trees over all of them, and what these give is verified as well (:func:`_unmet`).
 
     Equal sets are linked by a 64-bit digest of the set; shingles are compared by 64-bit hashes. Null, empty and
-    blank texts have no shingles and link with nothing. A null doc_id counts as larger than any other, and its own
-    component_id is null unless linked. Rows that repeat a doc_id give a row each. An empty table gives an empty table;
+    blank texts have no shingles and link with nothing. A null doc_id counts as larger than any other (ids must
+    be below 2 ** 62), and its component_id is null unless linked to another. Rows that repeat a doc_id give a row each. An empty table gives an empty table;
     further columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    # a null id stands above all others, one for each text
+    without = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
+    rows = docs.select(F.coalesce("doc_id", without).alias("key"), "text")
     dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
     met = stored(dealt.mapInArrow(_met, FOUND), "met")
     equal = stored(_flat(met.filter(F.col("kind") == EQUAL)), "equal")
@@ -433,9 +435,9 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
-    id_of = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    id_of = lambda c: F.when(c < NO_ID, c)
     return sizes.join(found, "node", "left").select(
-        id_of("node").alias("doc_id"), "n_shingles", F.coalesce("component", id_of("node")).alias("component_id")
+        id_of(F.col("node")).alias("doc_id"), "n_shingles", id_of(F.coalesce("component", "node")).alias("component_id")
     )
 
 

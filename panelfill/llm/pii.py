@@ -198,13 +198,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
             )
         ).alias("marks"),
     )
-    marked = marked.filter(F.size("marks") > 0).dropDuplicates(["key"])
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(marked, F.col("_key") == F.col("key"), "left")
+    marked = marked.filter(F.size("marks") > 0).dropDuplicates(["key"]).toDF("_mark_key", "_marks")
+    rows = docs.join(marked, F.xxhash64(docs["doc_id"], docs["text"]) == marked["_mark_key"], "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state, m):
         part = F.substring(F.col("text"), state["at"] + 1, m["start"] - state["at"])
         return F.when(m["start"] < state["at"], state).otherwise(F.struct((-m["back"]).alias("at"), F.concat(state["parts"], F.array(part, m["put"])).alias("parts")))
 
-    clean = F.aggregate("marks", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.col("marks").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
+    clean = F.aggregate("_marks", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    return rows.withColumn("text", F.when(F.col("_marks").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)

@@ -79,17 +79,29 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def into_shards(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each size, with the smallest capacity (by bisection) at which best fit decreasing needs no more shards."""
-    low, high = max(-(-sum(sizes) // shards), max(sizes, default=1), 1), max(sum(sizes), 1)
-    best = [0] * len(sizes)
+    """Shard of each size, with the smallest capacity (by bisection) at which best fit decreasing needs no more shards.
+
+    A size above the fair share of what is left takes a shard alone, so that it does not widen the others.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    out, left, alone = [0] * len(sizes), sum(sizes), 0
+    while alone < min(len(order), shards - 1) and sizes[order[alone]] * (shards - alone) > left:
+        out[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest, bins = order[alone:], shards - alone
+    low, high = max(-(-left // bins), 1), max(left, 1)
+    best = [0] * len(rest)
     while low <= high:
         capacity = (low + high) // 2
-        found = best_fit_decreasing(sizes, capacity)
-        if max(found, default=0) < shards:
+        found = best_fit_decreasing([sizes[i] for i in rest], capacity)
+        if max(found, default=0) < bins:
             best, high = found, capacity - 1
         else:
             low = capacity + 1
-    return best
+    for i, b in zip(rest, best):
+        out[i] = alone + b
+    return out
 
 
 def _crated(capacity: int):
