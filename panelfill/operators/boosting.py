@@ -27,7 +27,6 @@ from panelfill.session import checkpoint, in_parallel, new_folder, stored
 
 SPLITS = ("train", "test", "validation")
 FINAL_SEED = 47
-ROWS_PER_TASK = 25_000
 SEARCH_SEED = 42
 
 
@@ -129,7 +128,7 @@ class BoostParams:
     @property
     def depth(self) -> int:
         """Depth that also respects the leaf limit."""
-        return max(1, min(self.max_depth, math.ceil(math.log2(max(2, self.num_leaves)))))
+        return max(1, min(self.max_depth, math.floor(math.log2(max(2, self.num_leaves)))))
 
     @property
     def plain_leaves(self) -> bool:
@@ -207,16 +206,16 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
     persisted frame that can be recomputed from its parent; every ``checkpoint_every`` rounds it
     is checkpointed to the shared folder, so lineage stays short.
     """
+    if not params.bagging_fraction > 0:
+        raise ValueError("bagging_fraction must be above 0")
     extra = ["class_weight"] if "class_weight" in rows.columns else []
     base = rows.select("uid", "features", F.col("y").cast("double").alias("y"), "is_train", *extra)
     train = F.when(F.col("is_train"), F.col("y"))
-    counts = base.agg(F.sum(train).alias("n1"), F.sum(1.0 - train).alias("n0"), F.count(F.lit(1)).alias("n")).first()
+    counts = base.agg(F.sum(train).alias("n1"), F.sum(1.0 - train).alias("n0")).first()
     init = focal.best_constant_score(float(counts.n1 or 0.0), float(counts.n0 or 0.0), params.gamma, params.alpha)
     width = rows.select("features").schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
     model = BoostModel(params, init)
-    # every round runs some ten short jobs: few rows are not worth many tasks
-    tasks = max(1, -(-counts.n // ROWS_PER_TASK))
-    state = base.coalesce(tasks).withColumn("score", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
+    state = base.withColumn("score", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
     y, q = F.col("y"), F.col("_q")
     true_class = focal.true_class_probability(y, focal.sigmoid(F.col("score")))
     for t in range(params.rounds):
@@ -229,7 +228,7 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
             row_weight.alias("row_weight"),
         )
         if params.bagging_fraction < 1.0:
-            grads = grads.where(hash_uniform(F.col("uid"), params.seed, t, "bag") < max(params.bagging_fraction, 0.01))
+            grads = grads.where(hash_uniform(F.col("uid"), params.seed, t, "bag") < params.bagging_fraction)
         if params.top_rate < 1.0:
             grads = goss_weights(grads, "g", params.top_rate, params.other_rate, params.seed + t)
             grads = grads.withColumn("row_weight", F.col("row_weight") * F.col("goss_weight"))
@@ -238,20 +237,24 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
         if picked is not None:
             grads = VectorSlicer(inputCol="features", outputCol="_slice", indices=picked).transform(grads)
             source = "_slice"
-        weight_fraction = 0.0
-        if params.min_sum_hessian_in_leaf > 0:
+        weight_fraction, least_gain, depth = 0.0, 0.0, params.depth
+        if params.min_sum_hessian_in_leaf > 0 or params.min_gain_to_split > 0:
             total = grads.agg(F.sum(F.col("h") * F.col("row_weight"))).first()[0] or 0.0
-            weight_fraction = min(0.49, params.min_sum_hessian_in_leaf / total) if total else 0.0
+            # the tree's gain is per unit of weight, the parameter's is a sum over the rows
+            least_gain = params.min_gain_to_split / total if total else 0.0
+            weight_fraction = params.min_sum_hessian_in_leaf / total if total else 0.0
+            if weight_fraction >= 0.5:  # no split leaves enough on both sides
+                weight_fraction, depth = 0.0, 0
         target = grads.withColumns({"target": -F.col("g") / F.col("h"), "w": F.col("h") * F.col("row_weight")})
         tree = DecisionTreeRegressor(
             featuresCol=source,
             labelCol="target",
             weightCol="w",
-            maxDepth=params.depth,
+            maxDepth=depth,
             maxBins=params.max_bins,
             minInstancesPerNode=max(1, params.min_data_in_leaf),
             minWeightFractionPerNode=weight_fraction,
-            minInfoGain=params.min_gain_to_split,
+            minInfoGain=least_gain,
             seed=params.seed + t,
         ).fit(target)
         step = Step(tree, picked, None if params.plain_leaves else _leaf_values(target, params, tree, source))
@@ -311,7 +314,8 @@ def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostM
         spark.read.parquet(f"{root}/*/data")
         .select(
             tree[0].alias("attribute_model"), tree[1].cast("int").alias("svkey_index"), tree[2].cast("int").alias("step"),
-            F.col("split.featureIndex").alias("position"), "gain",
+            F.col("split.featureIndex").alias("position"),
+            (F.col("gain") * F.col("impurityStats")[0]).alias("gain"),  # the first statistic is the node's weight
         )
         .where(F.col("position") >= 0)
     )

@@ -24,9 +24,6 @@ from panelfill.operators.labels import coverage_matrix, wide_labels
 from panelfill.session import in_parallel
 from panelfill.sources import tables
 
-# fixed values: demographics that are never features of a tuned round
-EXCLUDED = ("129469", "129406", "129378")
-
 
 def core_and_latent(core: DataFrame, latent: DataFrame) -> DataFrame:
     """Answers given by everyone beside the latent layer."""
@@ -85,6 +82,7 @@ class RoundConfig:
     threads: int = 4
     seed: int = 0
     keep_own_imputation: bool = False
+    excluded: tuple[str, ...] = ()  # attributes that are never features, such as demographics
 
 
 @dataclass
@@ -105,7 +103,7 @@ class RoundInputs:
 def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: FeatureSpec, config: RoundConfig):
     """Search and final fit of every class of one attribute: (models, best trials, retried)."""
     own = [] if config.keep_own_imputation else [attribute]
-    allowed = tuple(i for i, n in enumerate(spec.names) if n not in (*EXCLUDED, *own))
+    allowed = tuple(i for i, n in enumerate(spec.names) if n not in (*config.excluded, *own))
     classes = [1] if "_" in attribute else list(range(num_class))
     rows = frame.where(F.col("set_uid").isin("train", "test") & F.col("label").isNotNull())
 
