@@ -20,7 +20,7 @@ from panelfill import schemas
 from panelfill.functions.rng import hash_uniform
 from panelfill.functions.survey import attribute_kind, attribute_value, zero_based
 from panelfill.operators.labels import attribute_matrix
-from panelfill.session import shared_dir
+from panelfill.session import shared_dir, ship
 from panelfill.sources.tables import materialize_once
 
 # fixed values: the code book of the derived survey
@@ -39,6 +39,7 @@ class Survey:
     """Lazily built survey tables over one folder of parquet files."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark = spark
         self.folder = folder
 
