@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
 FOUND = "kind int, a long, b long"
-SETS = "doc long, n long, counts binary, shingles binary"
+SKETCHES = "doc long, n long, counts binary"
+SETS = "doc long, shingles binary"
+NEAR = "root long, leaf long, role int, query boolean, doc long, component long, n long, counts binary"
 
 
 def required(n, percent: int):
@@ -222,20 +225,35 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settled(parts)
 
 
+def _sketches(size: int):
+    """Count vectors: the shingles of a text in each of ``GROUPS`` groups, twice as many from 1024 shingles on, and so on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in slices(batches):
+            s = Shingles(table["text"], size)
+            groups = GROUPS << np.ceil(np.log2((s.n >> 10) + 1)).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(groups)])
+            group = (_salted(s.value, 8) % groups[s.doc].astype(np.uint64)).astype(np.int64)
+            counts = np.bincount(first[s.doc] + group, minlength=first[-1]).astype("<i4")
+            yield pa.record_batch([table["key"].combine_chunks(), pa.array(s.n, pa.int64()), _binary(counts, first, 4)], ["doc", "n", "counts"])
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):
             s = Shingles(table["text"], size)
-            group = (_salted(s.value, 8) % np.uint64(GROUPS)).astype(np.int64)
-            counts = np.bincount(s.doc * GROUPS + group, minlength=table.num_rows * GROUPS).astype("<i4")
-            at = np.arange(table.num_rows + 1)
-            yield pa.record_batch([table["key"].combine_chunks(), pa.array(s.n, pa.int64()), _binary(counts, at, 4 * GROUPS), _binary(s.value, s.first, 8)], ["doc", "n", "counts", "shingles"])
+            yield pa.record_batch([table["key"].combine_chunks(), _binary(s.value, s.first, 8)], ["doc", "shingles"])
 
     return run
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, GROUPS)
+def _vectors(*columns) -> list[np.ndarray]:
+    """Count vectors as matrices; longer ones are folded to the shortest, whose groups they split."""
+    rows = [[np.frombuffer(x, "<i4") for x in column.to_pylist()] for column in columns]
+    least = min((len(x) for column in rows for x in column), default=GROUPS)
+    return [np.array([x if len(x) == least else x.reshape(-1, least).sum(axis=0) for x in column], np.int32).reshape(-1, least) for column in rows]
 
 
 def _possible(percent: int):
@@ -243,9 +261,14 @@ def _possible(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            bound = np.minimum(_vectors(t["counts_a"]), _vectors(t["counts_b"])).sum(axis=1)
             need = required(t["n_a"].to_numpy() + t["n_b"].to_numpy(), percent)
-            yield t.select(["a", "b"]).filter(pa.array(bound >= need))
+            wide = np.maximum(*(pc.binary_length(t[c]).to_numpy() for c in ("counts_a", "counts_b")))
+            good = np.zeros(t.num_rows, bool)
+            for length in np.unique(wide).tolist():  # a pair's vectors have lengths of their own
+                at = np.flatnonzero(wide == length)
+                x, y = _vectors(t["counts_a"].take(pa.array(at)), t["counts_b"].take(pa.array(at)))
+                good[at] = np.minimum(x, y).sum(axis=1) >= need[at]
+            yield t.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
@@ -310,6 +333,26 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held.combine_chunks()
 
 
+def _near(percent: int):
+    """The points and queries of a leaf whose count vectors allow a link to another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            (vectors,), n, component = _vectors(table["counts"]), table["n"].to_numpy(), table["component"].to_numpy()
+            points = np.flatnonzero(table["role"].to_numpy() == 0)
+            if not len(points):
+                continue
+            tree = CountTree(vectors[points], n[points], component[points])
+            near = np.zeros(len(n), bool)
+            for x in np.flatnonzero(table["query"].to_numpy()).tolist():
+                hits = points[tree.search(vectors[x], n[x], component[x], percent)]
+                near[hits] = True
+                near[x] |= len(hits) > 0
+            yield from table.filter(pa.array(near)).to_batches()
+
+    return run
+
+
 def _searched(percent: int):
     """Links between components among the points of a leaf (role 0) and from outside it (role 1).
 
@@ -319,7 +362,7 @@ def _searched(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
-            vectors, n, doc = _vectors(table["counts"]), table["n"].to_numpy(), table["doc"].to_numpy()
+            (vectors,), n, doc = _vectors(table["counts"]), table["n"].to_numpy(), table["doc"].to_numpy()
             _, tied = np.unique(table["component"].to_numpy(), return_inverse=True)
             own = tied.copy()
             points = np.flatnonzero(table["role"].to_numpy() == 0)
@@ -347,9 +390,17 @@ def _sided(sets: DataFrame, side: str, *columns: str) -> DataFrame:
     return sets.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that are links: bounded by count vectors first, then by their shingles."""
-    bounded = pairs.join(_sided(sets, "a", "n", "counts"), "a").join(_sided(sets, "b", "n", "counts"), "b").mapInArrow(_possible(percent), "a long, b long")
+def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Shingles of the texts whose keys are in the stored column ``ids``."""
+    wanted = rows.join(ids.select(F.col(ids.columns[0]).alias("key")).distinct(), "key", "left_semi")
+    return stored(wanted.dropDuplicates(["key"]).mapInArrow(_sets(size), SETS), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs that are links: bounded by count vectors first, then by their shingles, read for what the bound leaves."""
+    bounded = pairs.join(_sided(sketches, "a", "n", "counts"), "a").join(_sided(sketches, "b", "n", "counts"), "b").mapInArrow(_possible(percent), "a long, b long")
+    bounded = stored(bounded, "bounded")
+    sets = _sets_of(rows, bounded.select("a").union(bounded.select("b")), size)
     full = bounded.join(_sided(sets, "a", "shingles"), "a").join(_sided(sets, "b", "shingles"), "b")
     return full.mapInArrow(_linked(percent), "a long, b long")
 
@@ -361,13 +412,14 @@ def _flat(equal: DataFrame) -> DataFrame:
     return one.join(top, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
 
 
-def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _unmet(cand: DataFrame, rows: DataFrame, sketches: DataFrame, found: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components whose documents met, but whose linked documents were not paired with each other.
 
     A missed link joins two documents that met under one key with the same smallest document, so their
     components hang together through pairs of different components. Where some do, the documents of all but
     the largest component search count-vector R-trees over all of them, dealt by bands of set size, and by a
-    hash where a band has more than ``POINTS_A_TREE`` sets.
+    hash where a band has more than ``POINTS_A_TREE`` sets. The trees are searched twice: first on count vectors
+    alone, then with the shingles of the sets that the bounds leave, so that hits are verified in the task.
     """
 
     def named(df, node, name):
@@ -379,7 +431,7 @@ def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
     tops = tops.union(tops.select(F.col("root").alias("component"), "root").distinct())
     # linked sets differ in size by less than one band
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    members = stored(named(sets.select("doc", band.alias("band")), "doc", "component").join(tops, "component"), "members")
+    members = stored(named(sketches.select("doc", band.alias("band")), "doc", "component").join(tops, "component"), "members")
     sizes = members.groupBy("root", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("root").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
     leaves = members.groupBy("root", "band").agg(F.ceil(F.count("*") / POINTS_A_TREE).cast("long").alias("leaves"))
@@ -389,10 +441,16 @@ def _unmet(cand: DataFrame, sets: DataFrame, found: DataFrame, percent: int) ->
     asked = asked.join(leaves, ["root", "band"]).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
     asked = asked.filter("band <> own OR leaf <> home")
     columns = ["root", "band", "leaf", "role", "query", "doc", "component"]
-    rows = points.withColumn("role", F.lit(0)).select(columns).union(asked.withColumn("role", F.lit(1)).select(columns))
+    placed = points.withColumn("role", F.lit(0)).select(columns).union(asked.withColumn("role", F.lit(1)).select(columns))
     tasks = max(1, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    full = rows.withColumn("leaf", F.xxhash64("band", "leaf")).drop("band").join(sets, "doc")
-    return full.repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc").mapInArrow(_searched(percent), "a long, b long")
+
+    def by_leaf(df):
+        return df.repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc")
+
+    full = placed.withColumn("leaf", F.xxhash64("band", "leaf")).join(sketches, "doc").select([c.split(" ")[0] for c in NEAR.split(", ")])
+    near = stored(by_leaf(full).mapInArrow(_near(percent), NEAR), "near")
+    sets = _sets_of(rows, near.select("doc"), size)
+    return by_leaf(near.join(sets, "doc")).mapInArrow(_searched(percent), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -404,7 +462,8 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     1. Shingles are hashed into groups, more of them than two linked sets may differ in shingles, so that two linked
        sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). Inside a
        slice and again inside a block each document is paired with the smallest of its key, never all with all.
-    2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles.
+    2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles,
+       which are taken from the texts again for these pairs only.
     3. Where paired documents still lie in several components, those outside the largest search count-vector
        R-trees over all of them, and what these give is verified as well (:func:`_unmet`).
 
@@ -428,10 +487,11 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         cand = cand.join(to, side, "left").withColumn(side, F.coalesce("same", side)).drop("same")
     cand = stored(cand.filter("a <> b").select("a", "b").distinct(), "pairs")
     wanted = cand.select(F.col("a").alias("key")).union(cand.select("b")).distinct()
-    sets = stored(rows.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_sets(size), SETS), "sets")
-    links = stored(equal.union(_verified(cand, sets, percent)), "verified")
+    sketches = rows.join(wanted, "key", "left_semi").mapInArrow(_sketches(size), SKETCHES).dropDuplicates(["doc"])
+    sketches = stored(sketches, "sketches")
+    links = stored(equal.union(_verified(cand, rows, sketches, size, percent)), "verified")
     found = components(links)
-    more = stored(_unmet(cand, sets, found, percent), "more")
+    more = stored(_unmet(cand, rows, sketches, found, size, percent), "more")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
