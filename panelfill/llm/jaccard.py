@@ -25,9 +25,9 @@ NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
 FOUND = "kind int, a long, b long"
-SKETCHES = "doc long, n long, counts binary"
+SKETCHES = "doc long, n long, counts binary, bits binary"
 SETS = "doc long, shingles binary"
-NEAR = "root long, leaf long, role int, query boolean, doc long, component long, n long, counts binary"
+NEAR = "root long, leaf long, role int, query boolean, doc long, component long, n long, counts binary, bits binary"
 
 
 def required(n, percent: int):
@@ -226,7 +226,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketches(size: int):
-    """Count vectors: the shingles of a text in each of ``GROUPS`` groups, twice as many from 1024 shingles on, and so on."""
+    """Count vectors: the shingles of a text in each of ``GROUPS`` groups, twice as many from 1024 shingles on, and so on.
+
+    ``bits`` says which counts are odd if there are at least as many groups as shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in slices(batches):
@@ -235,7 +238,12 @@ def _sketches(size: int):
             first = np.concatenate([[0], np.cumsum(groups)])
             group = (_salted(s.value, 8) % groups[s.doc].astype(np.uint64)).astype(np.int64)
             counts = np.bincount(first[s.doc] + group, minlength=first[-1]).astype("<i4")
-            yield pa.record_batch([table["key"].combine_chunks(), pa.array(s.n, pa.int64()), _binary(counts, first, 4)], ["doc", "n", "counts"])
+            fine = GROUPS << np.ceil(np.log2(-(-np.maximum(s.n, 1) // GROUPS))).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(fine)])
+            group = (_salted(s.value, 8) % fine[s.doc].astype(np.uint64)).astype(np.int64)
+            odd = np.packbits(np.bincount(at[s.doc] + group, minlength=at[-1]).astype(np.uint8) & 1, bitorder="little")
+            columns = [table["key"].combine_chunks(), pa.array(s.n, pa.int64()), _binary(counts, first, 4), _binary(odd, at // 8, 1)]
+            yield pa.record_batch(columns, ["doc", "n", "counts", "bits"])
 
     return run
 
@@ -256,6 +264,13 @@ def _vectors(*columns) -> list[np.ndarray]:
     return [np.array([x if len(x) == least else x.reshape(-1, least).sum(axis=0) for x in column], np.int32).reshape(-1, least) for column in rows]
 
 
+def _odd(column) -> np.ndarray:
+    """Bits of odd counts as a matrix of words, folded as the counts are."""
+    rows = [np.frombuffer(x, "<u8") for x in column.to_pylist()]
+    least = min(map(len, rows), default=1)
+    return np.array([x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least)) for x in rows], np.uint64).reshape(-1, least)
+
+
 def _possible(percent: int):
     """Pairs whose summed coordinate minima reach the intersection they need."""
 
@@ -288,33 +303,45 @@ def _linked(percent: int):
 
 
 class CountTree:
-    """R-tree over count vectors: leaves of ``LEAF`` points, each node with the largest count of every group.
+    """R-tree over count vectors: leaves of ``LEAF`` points, each node with its sizes and the largest count of every group.
 
     A query's intersection with any point below a node is at most the sum of the smaller of its own and the
-    node's counts; nodes below the need, or with no other component than the query's, are left out.
+    node's counts; nodes below the need, or with sizes that cannot link, are left out. Counts that are odd in one of
+    two sets only differ by one at least, so too many of those rule a point out before its counts are summed.
     """
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        order = np.lexsort((*vectors.T[:4], sizes, component))
+    def __init__(self, vectors: np.ndarray, odd: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+        order = np.lexsort((component, sizes))
         self.order, self.vectors, self.sizes, self.component = order, vectors[order], sizes[order], component[order]
+        self.odd = np.ascontiguousarray(odd[order].T)
         self.levels = []
-        high, least, lo, hi = self.vectors, self.sizes, self.component, self.component
+        high, least, most = self.vectors, self.sizes, self.sizes
         while len(high) > LEAF or not self.levels:
             at = np.arange(0, len(high), LEAF)
-            high, least = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at)
-            lo, hi = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
-            self.levels.append((high, least, lo, hi))
+            high, least, most = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.append((high, least, most))
 
-    def search(self, vector: np.ndarray, size: int, component: int, percent: int) -> np.ndarray:
+    def search(self, vector: np.ndarray, odd: np.ndarray, size: int, component: int, percent: int) -> np.ndarray:
         at = np.arange(len(self.levels[-1][0]))
-        for i, (high, least, lo, hi) in enumerate(reversed(self.levels)):
-            reach = np.minimum(high[at], vector).sum(axis=1) >= required(least[at] + size, percent)
-            at = at[reach & ((lo[at] != component) | (hi[at] != component))]
-            below = len(self.vectors) if i == len(self.levels) - 1 else len(self.levels[len(self.levels) - 2 - i][0])
-            at = (at[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
-            at = at[at < below]
+        for i in range(len(self.levels) - 1, -1, -1):
+            high, least, most = self.levels[i]
+            at = at[(100 * most[at] >= percent * size) & (percent * least[at] <= 100 * size)]
+            at = at[np.minimum(high[at], vector).sum(axis=1) >= required(least[at] + size, percent)]
+            if i:
+                at = (at[:, None] * LEAF + np.arange(LEAF)).reshape(-1)
+                at = at[at < len(self.levels[i - 1][0])]
+        if not len(at):
+            return at
+        # points lie by size: those from the first node to the last, under the largest of their limits
+        low, top = at[0] * LEAF, min((at[-1] + 1) * LEAF, len(self.sizes))
+        differ = np.zeros(top - low, np.uint32)
+        for word, own in zip(self.odd, odd):
+            differ += np.bitwise_count(word[low:top] ^ own)
+        total = self.sizes[top - 1] + size
+        at = low + np.flatnonzero(differ <= total - 2 * required(total, percent) + 2)
+        at = at[self.component[at] != component]
         good = np.minimum(self.vectors[at], vector).sum(axis=1) >= required(self.sizes[at] + size, percent)
-        return self.order[at[good & (self.component[at] != component)]]
+        return self.order[at[good]]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -338,14 +365,14 @@ def _near(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
-            (vectors,), n, component = _vectors(table["counts"]), table["n"].to_numpy(), table["component"].to_numpy()
+            (vectors,), odd, n, component = _vectors(table["counts"]), _odd(table["bits"]), table["n"].to_numpy(), table["component"].to_numpy()
             points = np.flatnonzero(table["role"].to_numpy() == 0)
             if not len(points):
                 continue
-            tree = CountTree(vectors[points], n[points], component[points])
+            tree = CountTree(vectors[points], odd[points], n[points], component[points])
             near = np.zeros(len(n), bool)
             for x in np.flatnonzero(table["query"].to_numpy()).tolist():
-                hits = points[tree.search(vectors[x], n[x], component[x], percent)]
+                hits = points[tree.search(vectors[x], odd[x], n[x], component[x], percent)]
                 near[hits] = True
                 near[x] |= len(hits) > 0
             yield from table.filter(pa.array(near)).to_batches()
@@ -362,20 +389,20 @@ def _searched(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches):
-            (vectors,), n, doc = _vectors(table["counts"]), table["n"].to_numpy(), table["doc"].to_numpy()
+            (vectors,), odd, n, doc = _vectors(table["counts"]), _odd(table["bits"]), table["n"].to_numpy(), table["doc"].to_numpy()
             _, tied = np.unique(table["component"].to_numpy(), return_inverse=True)
             own = tied.copy()
             points = np.flatnonzero(table["role"].to_numpy() == 0)
             if not len(points):
                 continue
-            tree = CountTree(vectors[points], n[points], own[points])
+            tree = CountTree(vectors[points], odd[points], n[points], own[points])
             shingles = table["shingles"].combine_chunks() if isinstance(table["shingles"], pa.ChunkedArray) else table["shingles"]
             sets = [np.frombuffer(x.as_buffer(), "<u8") for x in shingles]
             queries = np.flatnonzero(table["query"].to_numpy())
             queries = queries[np.argsort(np.abs(vectors[queries] - np.median(vectors[points], axis=0)).sum(axis=1), kind="stable")]
             a, b = [], []
             for x in queries.tolist():
-                hits = points[tree.search(vectors[x], n[x], own[x], percent)]
+                hits = points[tree.search(vectors[x], odd[x], n[x], own[x], percent)]
                 while len(hits := hits[tied[hits] != tied[x]]):
                     y, hits = hits[0], hits[1:]
                     if len(np.intersect1d(sets[x], sets[y], assume_unique=True)) >= required(n[x] + n[y], percent):
