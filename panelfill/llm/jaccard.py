@@ -21,6 +21,8 @@ GROUPS = 128
 LEAF = 64
 POINTS_A_TREE = 8192
 BLOCKS_A_TASK = 4
+COUNTER_BITS = 18
+COUNTER_PARTS = 256
 NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
@@ -40,9 +42,9 @@ class Classes:
     """Size classes of the smaller set of a pair, and into how many groups its shingles are dealt.
 
     Two linked sets differ in at most ``most`` shingles, so with more groups than that some group has the same
-    shingles in both. Groups that are empty in both say nothing; ``groups`` has room for nearly all sets'
+    shingles in both; there are twice as many, so that each set can leave out its most common ones. Groups that are empty in both say nothing; ``groups`` has room for nearly all sets'
     empty groups, and the rare sets with more share one bucket, since both of a lost pair must be such sets.
-    Sets of up to ``PREFIX`` shingles meet by their prefix: the smallest hashes, one more than may differ.
+    Sets of up to ``PREFIX`` shingles meet by single shingles: the least seen, one more than may differ.
     """
 
     low: np.ndarray
@@ -59,7 +61,7 @@ class Classes:
             top = at + at // 2
             pair = top + top * 100 // percent
             k = pair - 2 * required(pair, percent)
-            m = k + 1
+            m = 2 * (k + 1)
             while m < 4 * (k + 1):
                 empty = m * (1 - 1 / m) ** at
                 if m - 1 - k >= empty + 3 * empty**0.5:
@@ -103,25 +105,24 @@ def _salted(value: np.ndarray, salt: int) -> np.ndarray:
     return mix(value ^ np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
 
 
-def keys_of(s: Shingles, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the texts ``rows`` and their text: any two linked texts share a key."""
+def _lanes(s: Shingles, rows: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of the texts ``rows``, their text, and how many of a text's keys may be missing in a linked one, plus one.
+
+    Any two linked texts share a key of a lane, and hence one among the first so many of each in any common order.
+    """
     classes = Classes.of(percent)
     home = np.searchsorted(classes.low, s.n, side="right") - 1
-    lower = (home > 0) & (-(-percent * s.n // 100) < classes.low[home])
+    least = -(-percent * s.n // 100)
+    lower = (home > 0) & (least < classes.low[home])
     wanted = np.zeros(len(s.n), bool)
     wanted[rows] = True
-    keys, owners = [], []
     for level, at in ((home, wanted & (s.n > 0)), (home - 1, wanted & lower)):
-        few = at & (level == 0)
-        member = few[s.doc]
-        rank = np.arange(len(s.doc)) - s.first[s.doc]
-        prefix = s.n - (-(-percent * s.n // 100)) + 1
-        member &= rank < prefix[s.doc]
-        keys.append(_salted(s.value[member], 1))
-        owners.append(s.doc[member])
+        member = (at & (level == 0))[s.doc]
+        yield _salted(s.value[member], 1), s.doc[member], s.n - least + 1
         many = at & (level > 0)
         if not many.any():
             continue
+        most = classes.most[np.maximum(level, 0)]
         m = np.where(many, classes.groups[np.maximum(level, 0)], 0)
         base = np.concatenate([[0], np.cumsum(m)])
         member = many[s.doc]
@@ -134,15 +135,78 @@ def keys_of(s: Shingles, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np
         owner = np.repeat(np.arange(len(m)), m)
         number = np.arange(base[-1]) - base[owner]
         label = (level[owner].astype(np.uint64) << np.uint64(48)) + number.astype(np.uint64)
-        keys.append(_salted(content + mix(label), 4)[filled])
-        owners.append(owner[filled])
+        yield _salted(content + mix(label), 4)[filled], owner[filled], most + 1
         empty = np.bincount(owner[~filled], minlength=len(m))
-        rare = np.flatnonzero(many & (empty > m - 1 - classes.most[np.maximum(level, 0)]))
-        keys.append(_salted(level[rare].astype(np.uint64), 5))
-        owners.append(rare)
+        rare = np.flatnonzero(many & (empty > m - 1 - most))
+        yield _salted(level[rare].astype(np.uint64), 5), rare, np.ones(len(m), np.int64)
+
+
+def keys_of(s: Shingles, rows: np.ndarray, percent: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts ``rows`` and their text, the least seen of each lane: any two linked texts share a key."""
+    keys, owners = [], []
+    for key, owner, keep in _lanes(s, rows, percent):
+        order = np.lexsort((key, seen[_counter(key)], owner))
+        key, owner = key[order], owner[order]
+        good = np.arange(len(owner)) - np.searchsorted(owner, owner) < keep[owner]
+        keys.append(key[good])
+        owners.append(owner[good])
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _counter(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _distinct(s: Shingles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of every set, the first text of each set, and each further text with its set's first."""
+    whole = mix(s.sums(_salted(s.value, 6)) ^ mix(s.sums(_salted(s.value, 7)) + s.n.astype(np.uint64)))
+    some = np.flatnonzero(s.n)
+    _, first, back = np.unique(whole[some], return_index=True, return_inverse=True)
+    rep = some[first]
+    return whole, rep, some[rep[back] != some], rep[back][rep[back] != some]
+
+
+def _counted(size: int, percent: int):
+    """How often keys fall on each of the counters, by parts of the counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COUNTER_BITS, "<i4")
+        for table in slices(batches):
+            s = Shingles(table["text"], size)
+            for key, _, _ in _lanes(s, _distinct(s)[1], percent):
+                np.add.at(seen, _counter(key), 1)
+        if seen.any():
+            yield _parts(enumerate(seen.reshape(COUNTER_PARTS, -1)))
+
+    return run
+
+
+def _parts(counts) -> pa.RecordBatch:
+    part, values = zip(*counts)
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in values], pa.binary())], ["part", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = {}
+    for batch in batches:
+        for part, counts in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
+            total[part] = total.get(part, 0) + np.frombuffer(counts, "<i4").astype("<i8")
+    if total:
+        yield _parts(total.items())
+
+
+def _seen(rows: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Counts of all documents' keys on 2 ** ``COUNTER_BITS`` counters (2 MB at any size of the input).
+
+    They only order a document's keys; which links are found does not depend on them.
+    """
+    parts = rows.mapInArrow(_counted(size, percent), "part int, counts binary").repartition("part").mapInArrow(_summed, "part int, counts binary")
+    seen = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), np.int64)
+    for row in parts.collect():
+        seen[row["part"]] = np.frombuffer(row["counts"], "<i8")
+    return seen.reshape(-1)
+
+
 def _binary(values: np.ndarray, bounds: np.ndarray, size: int) -> pa.Array:
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(raw)])
@@ -161,7 +225,7 @@ def _stars(key: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     return order[head], *triples
 
 
-def _dealt(blocks: int, size: int, percent: int):
+def _dealt(blocks: int, size: int, percent: int, seen):
     """Of each slice the set sizes, the equal sets, and the keys of the others with one document each, dealt to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,13 +234,8 @@ def _dealt(blocks: int, size: int, percent: int):
             table = table.sort_by("key").combine_chunks()
             ids = table["key"].to_numpy()
             s = Shingles(table["text"], size)
-            whole = mix(s.sums(_salted(s.value, 6)) ^ mix(s.sums(_salted(s.value, 7)) + s.n.astype(np.uint64)))
-            some = np.flatnonzero(s.n)
-            _, first, back = np.unique(whole[some], return_index=True, return_inverse=True)
-            rep = some[first]  # the smallest id, as rows are sorted
-            copy = some[rep[back] != some]
-            same = rep[back][rep[back] != some]
-            keys, owner = keys_of(s, rep, percent)
+            whole, rep, copy, same = _distinct(s)  # rep has the smallest ids, as rows are sorted
+            keys, owner = keys_of(s, rep, percent, seen.value)
             kind = np.full(len(keys), CANDIDATE, np.uint8)
             keys, owner = np.concatenate([keys, whole[rep]]), np.concatenate([owner, rep])
             kind = np.concatenate([kind, np.full(len(rep), EQUAL, np.uint8)])
@@ -487,8 +546,9 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     least ``percent`` / 100; component_id is the smallest doc_id reachable. No link between different sets is lost:
 
     1. Shingles are hashed into groups, more of them than two linked sets may differ in shingles, so that two linked
-       sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). Inside a
-       slice and again inside a block each document is paired with the smallest of its key, never all with all.
+       sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). A document
+       goes by its least seen keys only, one more than a linked document may lack: passages that many documents
+       share seldom are among them, and linked documents still share one, as in any common order. Inside a slice and again inside a block each document is paired with the smallest of its key, never all with all.
     2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles,
        which are taken from the texts again for these pairs only.
     3. Where paired documents still lie in several components, those outside the largest search count-vector
@@ -505,7 +565,8 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     # a null id stands above all others, one for each text
     without = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
     rows = docs.select(F.coalesce("doc_id", without).alias("key"), "text")
-    dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
+    seen = spark.sparkContext.broadcast(_seen(rows, size, percent))  # of fixed size
+    dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent, seen), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
     met = stored(dealt.mapInArrow(_met, FOUND), "met")
     equal = stored(_flat(met.filter(F.col("kind") == EQUAL)), "equal")
     cand = met.filter(F.col("kind") == CANDIDATE).select("a", "b").distinct()
