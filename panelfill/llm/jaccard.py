@@ -23,6 +23,7 @@ POINTS_A_TREE = 8192
 BLOCKS_A_TASK = 4
 COUNTER_BITS = 18
 COUNTER_PARTS = 256
+FILTER_BITS = 25
 NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
@@ -476,10 +477,35 @@ def _sided(sets: DataFrame, side: str, *columns: str) -> DataFrame:
     return sets.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
+def _chosen(rows: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of the texts whose keys are in the one column of ``ids``, one row a key, and perhaps of some more.
+
+    Texts are chosen where they are read, by a filter of 2 ** ``FILTER_BITS`` bits (4 MB at any size of the input), so
+    that they need no shuffle. The fuller the filter, the more others pass; a join with ``ids`` leaves them out.
+    """
+    spark = rows.sparkSession
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    at = ids.select(place(ids.columns[0]).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    bits = spark.sparkContext.broadcast(bits.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passing():
+            for batch in batches:
+                at = batch["at"].to_numpy()
+                good = bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+                yield batch.select(["key", "text"]).filter(pa.array(good.astype(bool)))
+
+        yield from make(passing())
+
+    return rows.select("key", "text", place("key").alias("at")).mapInArrow(run, schema).dropDuplicates(["doc"])
+
+
 def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Shingles of the texts whose keys are in the stored column ``ids``."""
-    wanted = rows.join(ids.select(F.col(ids.columns[0]).alias("key")).distinct(), "key", "left_semi")
-    return stored(wanted.dropDuplicates(["key"]).mapInArrow(_sets(size), SETS), "sets")
+    return stored(_chosen(rows, ids, _sets(size), SETS), "sets")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
@@ -574,9 +600,7 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         to = equal.select(F.col("a").alias(side), F.col("b").alias("same"))
         cand = cand.join(to, side, "left").withColumn(side, F.coalesce("same", side)).drop("same")
     cand = stored(cand.filter("a <> b").select("a", "b").distinct(), "pairs")
-    wanted = cand.select(F.col("a").alias("key")).union(cand.select("b")).distinct()
-    sketches = rows.join(wanted, "key", "left_semi").mapInArrow(_sketches(size), SKETCHES).dropDuplicates(["doc"])
-    sketches = stored(sketches, "sketches")
+    sketches = stored(_chosen(rows, cand.select("a").union(cand.select("b")), _sketches(size), SKETCHES), "sketches")
     links = stored(equal.union(_verified(cand, rows, sketches, size, percent)), "verified")
     found = components(links)
     more = stored(_unmet(cand, rows, sketches, found, size, percent), "more")
