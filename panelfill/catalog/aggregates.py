@@ -76,14 +76,7 @@ def d4(s):
     ).replace("c.n FROM", "c.n AS n_respondents FROM"),
 )
 def d5(s):
-    parts = [
-        ol.covered_attributes(s.matrix, level, strict).select(F.lit(level).alias("level"), "attribute", "n_respondents")
-        for level, strict in ((1.0, False), (0.5, False), (0.6, True), (0.8, True))
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return ol.covered_at_levels(s.matrix, ((1.0, False), (0.5, False), (0.6, True), (0.8, True)))
 
 
 @query(
@@ -91,7 +84,7 @@ def d5(s):
     f"SELECT uid, wavekey, set_uid, {pivot_sql('label', MODELS, 'attribute')} FROM matrix GROUP BY uid, wavekey, set_uid",
 )
 def d6(s):
-    return ol.wide_labels(s.matrix, MODELS)
+    return ol.wide_labels(s.matrix)
 
 
 @query("d7_pivot_waves", f"SELECT svkey, {pivot_sql('round(wave_share, 6)', WAVES, 'wavekey')} FROM wave_shares GROUP BY svkey")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelfill.catalog.base import query, r6, u
@@ -50,8 +51,8 @@ def g3(s):
 
     spec = FeatureSpec(covered_levels(s.labels, 0.6, MODELS, s.model_plan.where("proposed_round = 0")), LATENT)
     long = feature_frame(s, spec).select("uid", "set_uid", F.posexplode(vector_to_array("features")).alias("position", "value"))
-    names = F.create_map(*[F.lit(v) for pair in enumerate(spec.names) for v in pair])
-    return long.select("uid", "set_uid", names[F.col("position")].alias("feature"), r6("value"))
+    names = s.spark.createDataFrame(pa.table({"position": pa.array(range(len(spec.names)), pa.int32()), "feature": spec.names}))
+    return long.join(names, "position").select("uid", "set_uid", "feature", r6("value"))
 
 
 @query("g6_goss_weights")

@@ -128,7 +128,7 @@ IMPUTED = ["102", "104_1041", "104_1042", "104_1043"]
           ON p.uid = c.uid AND p.set_uid = c.set_uid""",
 )
 def j5(s):
-    return pr.next_round_features(predictions_of(s), s.model_plan, core_matrix(s), IMPUTED)
+    return pr.next_round_features(predictions_of(s), s.model_plan, core_matrix(s))
 
 
 _waves = ", ".join(f"round(max(CASE WHEN wavekey = '{w}' THEN wave_share END), 6) AS \"{w}\"" for w in WAVES)
@@ -140,7 +140,10 @@ _waves = ", ".join(f"round(max(CASE WHEN wavekey = '{w}' THEN wave_share END), 6
         FROM wave_shares GROUP BY attribute, sakey, svkey""",
 )
 def j7(s):
-    return univariate_plan(s).select("attribute", "sakey", "svkey", *[r6(F.col(f"`{w}`"), w) for w in WAVES], r6("average_imputed_distribution"), "round")
+    keys, last = ["attribute", "sakey", "svkey"], ["average_imputed_distribution", "round"]
+    wide = univariate_plan(s)
+    waves = [c for c in wide.columns if c not in keys + last]
+    return wide.select(*keys, *[r6(F.col(f"`{w}`"), w) for w in waves], r6(last[0]), last[1])
 
 
 @query(

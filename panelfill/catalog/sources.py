@@ -129,7 +129,7 @@ def a10(s):
 @query("a11_write_report_csv", "SELECT wavekey, round(wave_total_weight, 2) AS wave_total_weight FROM totals")
 def a11(s):
     path = new_folder(s.spark, "report")
-    tables.write_report_csv(wave_totals(s.respondents), path)
+    tables.write_report_csv(wave_totals(s.respondents), path, single_file=True)
     schema = "wavekey string, wave_total_weight double"
     return s.spark.read.schema(schema).option("header", True).csv(path).select("wavekey", F.round("wave_total_weight", 2).alias("wave_total_weight"))
 

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelfill.session import broadcast_if_small
-
 
 @dataclass(frozen=True)
 class FeatureSpec:
@@ -66,6 +65,19 @@ def covered_levels(labels: DataFrame, min_share: float, sizes: dict[str, int], p
     return {n: sizes[n] for n in names}
 
 
+def _dense(held: str, n: int) -> Column:
+    """Array of ``n`` levels from (idx, level) pairs in order of idx: each pair behind the zeros since the last one."""
+
+    def zeros(count: Column) -> Column:
+        return F.array_repeat(F.lit(0.0), count)
+
+    def step(pair: Column, i: Column) -> Column:
+        last = F.coalesce(F.get(held, i - 1)["idx"], F.lit(-1))
+        return F.concat(zeros(pair["idx"] - last - 1), F.array(pair["level"]))
+
+    return F.concat(F.flatten(F.transform(held, step)), zeros(F.lit(n - 1) - F.element_at(held, -1)["idx"]))
+
+
 def assemble_features(
     respondents: DataFrame, answers: DataFrame, spec: FeatureSpec, latent: DataFrame | None = None
 ) -> DataFrame:
@@ -78,19 +90,18 @@ def assemble_features(
     n = len(spec.levels)
     parts = []
     if n:
-        positions = spark.createDataFrame(list(zip(spec.levels, range(n))), "attribute string, idx int")
+        positions = spark.createDataFrame(pa.table({"attribute": list(spec.levels), "idx": pa.array(range(n), pa.int32())}))
         held = (
             answers.where(F.col("code").isNotNull())
-            .join(broadcast_if_small(positions), "attribute")
+            .join(positions, "attribute")
             .repartition("uid")
             .groupBy("uid", "idx")
             .agg((F.max("code") + 1).cast("double").alias("level"))
             .groupBy("uid")
-            .agg(F.map_from_entries(F.collect_list(F.struct("idx", "level"))).alias("_held"))
+            .agg(F.sort_array(F.collect_list(F.struct("idx", "level"))).alias("_held"))
         )
         out = out.join(held, "uid", "left")
-        level = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0.0)))
-        parts.append(F.when(F.col("_held").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(level))
+        parts.append(F.when(F.col("_held").isNull(), F.array_repeat(F.lit(0.0), n)).otherwise(_dense("_held", n)))
     if spec.latent:
         means = latent.agg(*[F.avg(c).alias(c) for c in spec.latent]).first()
         out = out.join(latent.select("uid", *spec.latent), "uid", "left")

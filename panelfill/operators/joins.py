@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelfill.session import broadcast_if_small
 
 
 def in_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
@@ -24,7 +23,6 @@ def not_in_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFram
 
 def with_answer_codes(results: DataFrame, codes: DataFrame, model: str = "attribute_model", value: str = "selected_value") -> DataFrame:
     """Attach question and answer keys to results named by (model, zero-based value)."""
-    codes = broadcast_if_small(codes)
     return results.join(codes, (F.col(model) == F.col("attribute")) & (F.col(value) == F.col("attribute_value")))
 
 
@@ -83,8 +81,3 @@ def common_keys(*frames: DataFrame) -> DataFrame:
     for other in frames[1:]:
         out = out.intersect(other)
     return out
-
-
-def first_per_key(df: DataFrame, on: list[str], order: Sequence[Column]) -> DataFrame:
-    window = Window.partitionBy(*on).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")

@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelfill.session import broadcast_if_small
-
 ALTERNATE = "alternate_svkey_binary_single"
 RESPONDENT = ["uid", "wavekey", "set_uid"]
 
@@ -48,7 +46,7 @@ def known_respondents(df: DataFrame, people: DataFrame) -> DataFrame:
 def attribute_matrix(bsm: DataFrame, taxonomy: DataFrame, people: DataFrame) -> DataFrame:
     """Long label matrix: one row per respondent and attribute with an observed label."""
     codes = taxonomy.select("sakey", "svkey", "multi", ALTERNATE, "attribute", "value")
-    coded = code_labels(bsm.join(broadcast_if_small(codes), ["sakey", "svkey", "multi"]))
+    coded = code_labels(bsm.join(codes, ["sakey", "svkey", "multi"]))
     return known_respondents(coded, people).select(
         "uid", "wavekey", "set_uid", "sakey", "svkey", "multi", "attribute", F.col("attribute_value").alias("label")
     )
@@ -58,6 +56,15 @@ def attribute_counts(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("attribute").agg(F.countDistinct("uid").alias("n_respondents"))
 
 
+def covered_at_levels(matrix: DataFrame, levels: Iterable[tuple[float, bool]]) -> DataFrame:
+    """:func:`covered_attributes` of several (share, strict) levels, counted once: (level, attribute, n_respondents)."""
+    counts = attribute_counts(matrix).withColumn("everyone", matrix.select(F.countDistinct("uid")).scalar())
+    each = F.array(*[F.struct(F.lit(share).alias("level"), F.lit(strict).alias("strict")) for share, strict in levels])
+    limit, n = F.col("everyone") * F.col("l.level"), F.col("n_respondents")
+    reached = F.when(F.col("l.strict"), n > limit).otherwise(n >= limit)
+    return counts.withColumn("l", F.explode(each)).where(reached).select("l.level", "attribute", "n_respondents")
+
+
 def covered_attributes(matrix: DataFrame, min_share: float, strict: bool = False) -> DataFrame:
     """Attributes answered by at least (``strict``: more than) a share of all respondents."""
     counts = attribute_counts(matrix)
@@ -67,10 +74,12 @@ def covered_attributes(matrix: DataFrame, min_share: float, strict: bool = False
     return counts.where(n > limit if strict else n >= limit)
 
 
-def wide_labels(matrix: DataFrame, attributes: Iterable[str], value: str = "label", name: str = "attribute") -> DataFrame:
-    """One column per attribute. The list is given, so no job is run to find it."""
+def wide_labels(
+    matrix: DataFrame, attributes: Iterable[str] | None = None, value: str = "label", name: str = "attribute"
+) -> DataFrame:
+    """One column per attribute: those given, which costs no job, or else all that occur."""
     keys = [c for c in RESPONDENT if c in matrix.columns]
-    return matrix.groupBy(*keys).pivot(name, list(attributes)).agg(F.max(value))
+    return matrix.groupBy(*keys).pivot(name, None if attributes is None else list(attributes)).agg(F.max(value))
 
 
 def coverage_matrix(matrix: DataFrame, min_share: float) -> DataFrame:
@@ -83,7 +92,3 @@ def coverage_matrix(matrix: DataFrame, min_share: float) -> DataFrame:
 def exclude_attributes(df: DataFrame, excluded: Iterable[str], target: str | None = None, name: str = "attribute") -> DataFrame:
     """Drop a fixed list of attributes and the target itself from a long feature table."""
     return df.where(~F.col(name).isin([*excluded, *([target] if target else [])]))
-
-
-def exclude_columns(df: DataFrame, excluded: Iterable[str], target: str | None = None) -> DataFrame:
-    return df.drop(*excluded, *([target] if target else []))

@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 from panelfill.functions.survey import in_bounds, ratio
 from panelfill.operators.joins import with_answer_codes
 
-MAX_WAVES = 10_000
-
 
 def wave_list(respondents: DataFrame) -> list[str]:
-    """Sorted waves; they become columns or scaffold rows, so their number is checked."""
-    rows = respondents.select("wavekey").distinct().limit(MAX_WAVES + 1).collect()
-    if len(rows) > MAX_WAVES:
-        raise ValueError(f"more than {MAX_WAVES} waves")
-    return sorted(r.wavekey for r in rows)
+    """Sorted waves, one of which is a column of a wide report."""
+    return sorted(r.wavekey for r in respondents.select("wavekey").distinct().collect())
 
 
 def wave_totals(respondents: DataFrame) -> DataFrame:

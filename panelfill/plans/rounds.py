@@ -20,7 +20,7 @@ from panelfill.operators.association import chi2_before_after
 from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.operators.features import FeatureSpec, assemble_features
 from panelfill.operators.joins import not_in_keys
-from panelfill.operators.labels import coverage_matrix, wide_labels
+from panelfill.operators.labels import wide_labels
 from panelfill.session import in_parallel
 from panelfill.sources import tables
 
@@ -47,8 +47,10 @@ def next_round_long(predictions: DataFrame, plan: DataFrame) -> DataFrame:
     return not_in_keys(predictions, ready, "attribute_model")
 
 
-def next_round_features(predictions: DataFrame, plan: DataFrame, core: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Wide form: the core matrix with one column per attribute of the last round."""
+def next_round_features(
+    predictions: DataFrame, plan: DataFrame, core: DataFrame, attributes: Sequence[str] | None = None
+) -> DataFrame:
+    """Wide form: the core matrix with one column per attribute of the last round (all, unless listed)."""
     kept = next_round_long(predictions, plan).withColumn("selected_value", F.col("selected_value").cast("int"))
     wide = wide_labels(kept.drop("wavekey"), attributes, value="selected_value", name="attribute_model")
     return core.join(wide, ["uid", "set_uid"])
@@ -248,8 +250,3 @@ def run_rounds(spark: SparkSession, inputs: RoundInputs, root: str, rounds: int,
     for iteration in range(rounds):
         out.append(run_round(spark, inputs, root, iteration, config, out[-1] if out else None))
     return out
-
-
-def coverage_inputs(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The complete matrix, and the matrix of attributes that half of the respondents answered."""
-    return coverage_matrix(matrix, 1.0), coverage_matrix(matrix, 0.5)

@@ -4,17 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-BSM = T.StructType(
-    [
-        T.StructField("uid", T.LongType()),
-        T.StructField("wavekey", T.StringType()),
-        T.StructField("sakey", T.IntegerType()),
-        T.StructField("svkey", T.IntegerType()),
-        T.StructField("multi", T.BooleanType()),
-        T.StructField("label", T.DoubleType()),
-    ]
-)
-
 TAXONOMY = T.StructType(
     [
         T.StructField("sakey", T.IntegerType()),
@@ -44,15 +33,6 @@ PREDICTIONS = T.StructType(
     ]
 )
 
-METRICS = T.StructType(
-    [
-        T.StructField("data_slice", T.StringType()),
-        T.StructField("log_loss", T.DoubleType()),
-        T.StructField("roc_score", T.DoubleType()),
-        T.StructField("model", T.StringType()),
-    ]
-)
-
 LEDGER = T.StructType(
     [
         T.StructField("model", T.StringType()),

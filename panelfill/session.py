@@ -1,8 +1,9 @@
-"""Where a job may keep intermediate tables, and when a side may be broadcast."""
+"""Where a job may keep intermediate tables, and how tasks get the package."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,9 +12,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="panelfill-")
     if sc.getCheckpointDir() is None:
@@ -77,14 +75,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a code book or another base table, given only after its rows were counted.
-
-    Beyond ``max_rows`` the frame comes back without a hint, so the join shuffles (adaptive
-    execution then handles the skew). Not for results of a long plan, which counting would run
-    once more; see :func:`stored`.
-    """
-    counted = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if counted <= max_rows else df

@@ -126,10 +126,9 @@ def write_partitioned(df: DataFrame, path: str, by: str, copy_as: str | None = N
     out.write.mode("overwrite").partitionBy(folder).parquet(path)
 
 
-def write_report_csv(df: DataFrame, path: str, single_file_rows: int = 200_000) -> None:
-    """CSV with header; one file for a report, several when it turns out larger than that."""
-    small = df.select(F.lit(1)).limit(single_file_rows + 1).count() <= single_file_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+def write_report_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV with header; ``single_file`` is for reports that one task can write."""
+    (df.repartition(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_model_csv(df: DataFrame, root: str, kind: str, model: str = "attribute_model") -> None:

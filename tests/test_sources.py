@@ -71,11 +71,11 @@ def test_results_csv_and_model_outputs(spark):
     assert {(r.uid, r.attribute_model, r.label) for r in named.collect()} == {(1, "5_1", 1), (2, "6", None)}
 
 
-def test_report_csv_is_split_only_when_large(spark):
+def test_report_csv_is_one_file_on_request(spark):
     small, large = session.new_folder(spark, "r"), session.new_folder(spark, "r")
     df = spark.range(100).repartition(4)
-    tables.write_report_csv(df, small)
-    tables.write_report_csv(df, large, single_file_rows=10)
+    tables.write_report_csv(df, small, single_file=True)
+    tables.write_report_csv(df, large)
 
     def files(p):
         return spark.read.format("binaryFile").load(f"{p}/*.csv").count()
@@ -91,14 +91,6 @@ def test_jdbc_options():
     assert split["dbtable"] == "(select k from t) q" and split["numPartitions"] == "8" and "query" not in split
 
 
-def test_broadcast_only_when_small(spark):
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-
-    assert hinted(session.broadcast_if_small(spark.range(10), 10))
-    assert not hinted(session.broadcast_if_small(spark.range(11), 10))
-
-
 def test_shared_dir_is_the_named_one(spark):
     assert session.new_folder(spark, "x").startswith(session.shared_dir(spark))
     old = spark.conf.get("spark.checkpoint.dir", None)
