@@ -113,10 +113,9 @@ def disclosing(docs: DataFrame, found: DataFrame, nearby: DataFrame) -> DataFram
     pairs = once.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both"))
     pairs = stored(pairs.filter(F.col("contexts") >= SUPPORT), "pairs")
     values = found.select("key", F.explode("mentions").alias("m")).select("key", "m.value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    wanted = stored(pairs.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"))).alias("word"))
     # the same word with other marks at its ends counts again; a document is counted once for each form
-    seen = words.select(_term(F.col("word")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    seen = words.select(_term(F.col("word")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("total"))
     counted = pairs.join(values, "value").join(seen, "term").crossJoin(F.broadcast(total))
     gain = F.log2(F.col("total") * F.col("both") / (F.col("n_term") * F.col("n_value")))
