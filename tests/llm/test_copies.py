@@ -134,3 +134,34 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 1 for i in range(2, 61)} | {101: 100}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linked_sets_share_a_key_in_any_order(seed):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 9, 30, 60, 150, 400]))]
+        if rng.random() < 0.5:
+            words += passage
+        for _ in range(5):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 3 + len(copy) // 60)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy[: len(copy) - rng.randrange(0, 1 + len(copy) // 20)]))
+    s = jaccard.Shingles(pa.array(texts, pa.large_string()), 4)
+    seen = np.random.default_rng(seed).integers(0, 5, 1 << jaccard.COUNTER_BITS)
+    key, owner = jaccard.keys_of(s, np.arange(len(texts)), 85, seen)
+    keys = [set(key[owner == i].tolist()) for i in range(len(texts))]
+    sets = [set(s.value[s.doc == i].tolist()) for i in range(len(texts))]
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                linked += 1
+                assert keys[i] & keys[j]
+    assert linked > 5
