@@ -99,7 +99,7 @@ def _index(blocks: int, window: int, gram: int):
                     _blob(anchor[head], bounds, 8),
                     _blob(keys[doc[head]], bounds, 8),
                     _blob(place[head].astype(np.int32), bounds, 4),
-                    _blob(size.astype(np.uint8), bounds, 1),
+                    _blob(size.astype(np.int32), bounds, 4),
                     _blob(short, np.append(0, ends)[bounds], 6),
                 ],
                 ["block", "anchors", "docs", "starts", "counts", "hashes"],
@@ -114,7 +114,7 @@ def _repeated(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     def column(name, kind):
         return np.frombuffer(b"".join(p[name] for p in parts), kind)
 
-    anchor, doc, start, size = column("anchors", "<u8"), column("docs", "<i8"), column("starts", "<i4"), column("counts", np.uint8).astype(np.int64)
+    anchor, doc, start, size = column("anchors", "<u8"), column("docs", "<i8"), column("starts", "<i4"), column("counts", "<i4").astype(np.int64)
     order = np.argsort(anchor, kind="stable")
     head, length = _runs(anchor[order][1:] != anchor[order][:-1])
     shared = np.zeros(len(anchor), bool)

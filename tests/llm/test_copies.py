@@ -90,6 +90,32 @@ def test_substring_dedup(spark, table):
     assert repeats.drop_repeats(table([])).count() == 0
 
 
+def _without_repeats(rows):
+    """What drop_repeats gives for distinct rows, by plain search: null ids first, texts of one id in their order."""
+    seen, want = set(), []
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        words = re.findall(WORDS, t or "")
+        kept = [True] * len(words)
+        for s in range(len(words) - 19):
+            window = tuple(words[s : s + 20])
+            if window in seen:
+                kept[s : s + 20] = [False] * 20
+            seen.add(window)
+        text = " ".join(w for w, k in zip(words, kept) if k)
+        want.append((i, len(words), kept.count(False), hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(want, key=repr)
+
+
+def test_substring_dedup_of_long_templates(spark, table):
+    r = random.Random(6)
+    passages = [" ".join(f"{r.choice('abcdefg')}{r.randrange(1000)}" for _ in range(40)) for _ in range(30)]
+    rows = [(i, "\n".join(f"{i} log entry of the day {n}" for n in range(300))) for i in range(4)]
+    rows += [(10 + i, "\n".join(f"at {n} host {i} gave {n * i} to all of us" for n in range(300))) for i in range(4)]
+    rows += [(20 + i, f"own{i} {r.choice(passages)} mid{i} {r.choice(passages)} end{i}") for i in range(200)]
+    got = repeats.drop_repeats(table(rows, 4)).collect()
+    assert sorted(map(tuple, got), key=repr) == _without_repeats(rows)
+
+
 def _shingles(text, size=4):
     words = re.findall(WORDS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
