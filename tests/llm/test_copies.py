@@ -116,6 +116,20 @@ def test_substring_dedup_of_long_templates(spark, table):
     assert sorted(map(tuple, got), key=repr) == _without_repeats(rows)
 
 
+def test_substring_dedup_of_null_and_repeated_ids(spark, table):
+    r = random.Random(8)
+    passages = [" ".join(f"{r.choice('abcdefg')}{r.randrange(1000)}" for _ in range(40)) for _ in range(6)]
+    words = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    rows = [(i, f"{p} {words(r.randrange(30))}") for p in passages for i in (None, 7, 7, None, -(1 << 63))]  # the same place in several texts
+    rows += [(r.choice([None, 7, 8, 9]), f"{words(r.randrange(60))} {r.choice(passages)} {words(r.randrange(300))}") for _ in range(60)]
+    rows += [(None, "short"), (None, None), (None, words(30)), (7, "short"), (7, "")]
+    for parts in (1, 4):
+        got = repeats.drop_repeats(table(rows, parts)).collect()
+        assert sorted(map(tuple, got), key=repr) == _without_repeats(rows)
+    both = [(None, passages[0]), (None, passages[0]), (3, "a b"), (3, "a b")]
+    assert [x.n_removed for x in repeats.drop_repeats(table(both)).collect()] == [0] * 4
+
+
 def _shingles(text, size=4):
     words = re.findall(WORDS, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} - {()}
