@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelfill.llm.graph import components
+from panelfill.llm.keys import mark, twins
 from panelfill.llm.text import Words, mix, slices
 from panelfill.session import ship, stored
 
@@ -565,32 +566,32 @@ def _unmet(cand: DataFrame, rows: DataFrame, sketches: DataFrame, found: DataFra
     return by_leaf(near.join(sets, "doc")).mapInArrow(_searched(percent), "a long, b long")
 
 
-def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with _node, a number for each document, and (node, id) of the documents that share an id, if there are any.
 
-    Documents link when their sets of ``size``-word shingles (A-Z lower-cased) have a Jaccard likeness of at
-    least ``percent`` / 100; component_id is the smallest doc_id reachable. No link between different sets is lost:
+    The number is the id; above all ids, one for each text, if the id is null or stands for more than one text.
+    """
+    above = lambda m: F.lit(NO_ID) + m.bitwiseAND(F.lit(NO_ID - 1))
+    shared = twins(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), mark().alias("mark")))
+    if shared is None:
+        return docs.withColumn("_node", F.coalesce("doc_id", above(mark()))), None
+    of = shared.select(F.col("key").alias("_id"), F.col("mark").alias("_mark"))
+    rows = docs.join(of, (F.col("doc_id") == F.col("_id")) & (mark() == F.col("_mark")), "left")
+    alone = F.when(F.col("_id").isNull(), F.col("doc_id"))
+    return rows.withColumn("_node", F.coalesce(alone, above(mark()))).drop("_id", "_mark"), shared.select(above(F.col("mark")).alias("node"), F.col("key").alias("id"))
 
-    1. Shingles are hashed into groups, more of them than two linked sets may differ in shingles, so that two linked
-       sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). A document
-       goes by its least seen keys only, one more than a linked document may lack: passages that many documents
-       share seldom are among them, and linked documents still share one, as in any common order. Inside a slice and again inside a block each document is paired with the smallest of its key, never all with all.
-    2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles,
-       which are taken from the texts again for these pairs only.
-    3. Where paired documents still lie in several components, those outside the largest search count-vector
-       R-trees over all of them, and what these give is verified as well (:func:`_unmet`).
 
-    Equal sets are linked by a 64-bit digest of the set; shingles are compared by 64-bit hashes. Null, empty and
-    blank texts have no shingles and link with nothing. A null doc_id counts as larger than any other (ids must
-    be below 2 ** 62), and its component_id is null unless linked to another. Rows that repeat a doc_id give a row each. An empty table gives an empty table;
-    further columns are ignored.
+def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with _node, and by row (node, n_shingles, least, stays).
+
+    least is the smallest id of the component, stays the document that has it; of several the one with the smallest
+    number. An id from ``NO_ID`` on is null. Where ids are shared there is a column id as well.
     """
     spark = docs.sparkSession
     ship(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a null id stands above all others, one for each text
-    without = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
-    rows = docs.select(F.coalesce("doc_id", without).alias("key"), "text")
+    numbered, shared = _numbered(docs)
+    rows = numbered.select(F.col("_node").alias("key"), "text")
     seen = spark.sparkContext.broadcast(_seen(rows, size, percent))  # of fixed size
     dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent, seen), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
     met = stored(dealt.mapInArrow(_met, FOUND), "met")
@@ -607,13 +608,46 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = met.filter(F.col("kind") == SIZE).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
-    id_of = lambda c: F.when(c < NO_ID, c)
-    return sizes.join(found, "node", "left").select(
-        id_of(F.col("node")).alias("doc_id"), "n_shingles", id_of(F.coalesce("component", "node")).alias("component_id")
-    )
+    sets = sizes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if shared is None:
+        return numbered, sets.select("node", "n_shingles", F.col("component").alias("least"), F.col("component").alias("stays"))
+    sets = sets.join(shared, "node", "left").withColumn("id", F.coalesce("id", "node"))
+    best = sets.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"))
+    return numbered, sets.join(best, "component").select("node", "n_shingles", F.col("best.id").alias("least"), F.col("best.node").alias("stays"), "id")
+
+
+def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Documents link when their sets of ``size``-word shingles (A-Z lower-cased) have a Jaccard likeness of at
+    least ``percent`` / 100; component_id is the smallest doc_id reachable. No link between different sets is lost:
+
+    1. Shingles are hashed into groups, more of them than two linked sets may differ in shingles, so that two linked
+       sets agree in some whole group; such documents meet under that group's key (:class:`Classes`). A document
+       goes by its least seen keys only, one more than a linked document may lack: passages that many documents
+       share seldom are among them, and linked documents still share one, as in any common order. Inside a slice and again inside a block each document is paired with the smallest of its key, never all with all.
+    2. Pairs are bounded by the summed minima of their count vectors, and the rest verified on the shingles,
+       which are taken from the texts again for these pairs only.
+    3. Where paired documents still lie in several components, those outside the largest search count-vector
+       R-trees over all of them, and what these give is verified as well (:func:`_unmet`).
+
+    Equal sets are linked by a 64-bit digest of the set; shingles are compared by 64-bit hashes. Null, empty and
+    blank texts have no shingles and link with nothing. A null doc_id counts as larger than any other (ids must
+    be below 2 ** 62), and its component_id is null unless linked to another. Rows that repeat doc_id and text are one
+    document and give a row each; rows that share an id, or a null one, with different texts are documents of their own.
+    An empty table gives an empty table; further columns are ignored.
+    """
+    _, sets = _joined(docs, size, percent)
+    own = "id" if "id" in sets.columns else "node"
+    id_of = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return sets.select(id_of(own).alias("doc_id"), "n_shingles", id_of("least").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is their component's; rows with a null id stay unless linked to another. Columns of ``docs``."""
-    gone = jaccard_join(docs, size, percent).filter("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """One document of each component, the one with the smallest id; null ids are the largest. Columns of ``docs``.
+
+    Rows that repeat doc_id and text are one document, and stay or go together.
+    """
+    numbered, sets = _joined(docs, size, percent)
+    gone = sets.filter("node <> stays").select(F.col("node").alias("_gone")).distinct()
+    return numbered.join(gone, F.col("_node") == F.col("_gone"), "left_anti").select(docs.columns)

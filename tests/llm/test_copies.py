@@ -170,6 +170,26 @@ def test_jaccard_join_of_nulls_and_nothing(spark, table):
     assert sorted(map(tuple, got), key=repr) == sorted([(None, 2, 3), (3, 2, 3), (None, 1, None), (4, 0, 4)], key=repr)
 
 
+def test_near_copies_of_null_and_repeated_ids(spark, table):
+    a, b, c, d = ("".join(f" {x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a + " end"), (3, a), (None, "an own text"), (None, None), (None, "")]  # one linked to an id, others alone
+    rows += [(5, a + " last"), (5, "another text of five"), (6, "a"), (6, "six b")]  # one of two texts goes
+    rows += [(None, b), (None, b + " x"), (None, b + " y")]  # linked with each other only
+    rows += [(8, c + " x"), (8, d), (7, c), (4, d + " y"), (9, c + " y"), (9, c + " z")]
+    twice = [(2, "both rows"), (2, "both rows")]
+    kept = [(x.doc_id, x.text) for x in jaccard.drop_near_copies(table(rows + twice, 4)).collect()]
+    b_kept = [x for x in kept if x[1] and x[1].startswith(b)]
+    want = [(3, a), (None, "an own text"), (None, None), (None, ""), (5, "another text of five"), (6, "a"), (6, "six b"), (7, c), (4, d + " y"), *twice]
+    assert len(b_kept) == 1 and b_kept[0][0] is None
+    assert sorted(x for x in map(repr, kept) if x != repr(b_kept[0])) == sorted(map(repr, want))
+    got = sorted((x.doc_id or 0, x.component_id or 0, x.n_shingles) for x in jaccard.jaccard_join(table(rows, 4)).collect())
+    assert got == sorted(
+        [(0, 3, 28), (3, 3, 27), (0, 0, 1), (0, 0, 0), (0, 0, 0), (5, 3, 28), (5, 5, 1), (6, 6, 1), (6, 6, 1), (0, 0, 27), (0, 0, 28), (0, 0, 28)]
+        + [(8, 7, 28), (8, 4, 27), (7, 7, 27), (4, 4, 28), (9, 7, 28), (9, 7, 28)]
+    )
+    assert jaccard.drop_near_copies(table([(1, "x")])).columns == ["doc_id", "text", "key", "n"]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
