@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from panelfill.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 60
-SUPPORT = 3
+SPACES = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 GENERALISE = 0.85
 REMOVE = 0.95
 
@@ -82,45 +82,45 @@ def _term(word: Column) -> Column:
     return F.when(F.length(bare) >= 3, bare)
 
 
-def _nearby(found: DataFrame) -> DataFrame:
-    """(key, value, context, start, end, term): the words near each mention of a protected value."""
-    mentions = found.select("key", "text", F.explode("mentions").alias("m")).select(
-        "key", "m.value", "m.start", "m.end", F.greatest(F.col("m.start") - CONTEXT, F.lit(0)).alias("left"), "text"
-    )
-    side = F.explode(
-        F.array(
-            F.struct(F.col("left").alias("at"), F.expr("substring(text, left + 1, start - left)").alias("piece")),
-            F.struct(F.col("end").alias("at"), F.expr(f"substring(text, end + 1, {CONTEXT})").alias("piece")),
-        )
-    )
-    context = F.xxhash64(F.expr(f"substring(text, left + 1, end - left + {CONTEXT})"))
-    pieces = mentions.select("key", "value", context.alias("context"), side.alias("s"))
-    words = F.explode(_spans(F.col("s.piece"), r"[^\x20\x09-\x0D]+", lambda m: _term(m).isNotNull()))
-    placed = pieces.select("key", "value", "context", F.col("s.at").alias("at"), words.alias("w"))
-    return placed.select(
-        "key", "value", "context", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), _term(F.col("w.match")).alias("term")
-    )
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, each once whatever marks stand at the ends of its words."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES))
+    return F.array_distinct(F.filter(F.transform(words, _term), lambda t: t.isNotNull()))
 
 
-def disclosing(docs: DataFrame, found: DataFrame, nearby: DataFrame) -> DataFrame:
-    """(value, term, disclosure): how much of a value's information a nearby term gives away, over all documents.
+def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, disclosure): how much of a protected value's information a term gives away at most, over all documents.
 
-    disclosure = pointwise mutual information of term and value / information of the value, both from
-    numbers of documents: 1 if the term never occurs without the value. Only pairs that are seen in at least
-    ``SUPPORT`` different contexts count, so copies of one text are no evidence.
+    disclosure = pointwise mutual information of term and value / information of the value, both from numbers of
+    documents; the term counts as seen in one more document, without the value, so that few documents say less than
+    many. Terms are taken from the whole texts that hold the value. Values of the same documents share their numbers,
+    and are counted as one.
     """
-    once = nearby.groupBy("value", "term", "context", "key").agg(F.lit(1).alias("one"))
-    pairs = once.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both"))
-    pairs = stored(pairs.filter(F.col("contexts") >= SUPPORT), "pairs")
-    values = found.select("key", F.explode("mentions").alias("m")).select("key", "m.value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"))).alias("word"))
-    # the same word with other marks at its ends counts again; a document is counted once for each form
-    seen = words.select(_term(F.col("word")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n_term"))
+    holds = stored(found.select("key", F.explode("mentions").alias("m")).select("key", "m.value").distinct(), "holds")
+    values = holds.groupBy("value").agg(F.count("*").alias("n_value"), F.bit_xor(F.xxhash64("key")).alias("same"))
+    alike = holds.join(values, "value").select("key", "n_value", "same").distinct()
+    alike = alike.groupBy("key").agg(F.collect_list(F.struct("n_value", "same")).alias("alike"))
+    pairs = found.select("key", _terms(F.col("text")).alias("terms")).join(alike, "key")
+    pairs = pairs.select(F.explode("alike").alias("v"), "terms").select("v.*", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("n_value", "same", "term").agg(F.count("*").alias("both"))
+    seen = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = docs.agg(F.count("*").alias("total"))
-    counted = pairs.join(values, "value").join(seen, "term").crossJoin(F.broadcast(total))
-    gain = F.log2(F.col("total") * F.col("both") / (F.col("n_term") * F.col("n_value")))
+    counted = pairs.join(seen, "term").crossJoin(F.broadcast(total))
+    gain = F.log2(F.col("total") * F.col("both") / ((F.col("n_term") + 1) * F.col("n_value")))
     worth = F.log2(F.col("total") / F.col("n_value"))
-    return counted.select("value", "term", F.when(worth > 0, gain / worth).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    told = counted.select("term", F.when(worth > 0, gain / worth).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    return told.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _placed(docs: DataFrame, telling: DataFrame) -> DataFrame:
+    """(key, terms): every place of a telling term, in all documents."""
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    hits = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(telling, "term")
+    hits = stored(hits.groupBy("key").agg(F.collect_set(F.struct("term", "disclosure")).alias("hits")), "hits")
+    chosen = texts.join(hits, "key").dropDuplicates(["key"]).withColumn("told", F.map_from_entries("hits"))
+    spans = _spans(F.col("text"), WORD, lambda m: F.coalesce(F.map_contains_key("told", F.coalesce(_term(m), F.lit(""))), F.lit(False)))
+    action = lambda s: F.when(F.element_at("told", _term(s["match"])) >= REMOVE, "remove").otherwise("generalise")
+    return chosen.select("key", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action"))).alias("terms"))
 
 
 def _mentions(kind: str) -> Column:
@@ -145,12 +145,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "key", *KINDS, "mentions", F.when(F.size("mentions") > 0, F.col("text")).alias("text"))
     rows = stored(rows, "personal")
     found = rows.filter(F.size("mentions") > 0).dropDuplicates(["key"])
-    nearby = stored(_nearby(found), "nearby")
-    telling = stored(disclosing(docs, found, nearby), "telling")
-    hits = nearby.join(telling, ["value", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    spans = hits.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise").alias("action")))).alias("terms")
-    )
+    spans = _placed(docs, stored(disclosing(docs, found), "telling"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     joined = rows.join(spans, "key", "left").withColumn("terms", F.coalesce("terms", none))
     clear = F.filter("terms", lambda t: ~F.exists("mentions", lambda m: (t["start"] < m["end"]) & (m["start"] < t["end"])))
@@ -164,10 +159,10 @@ def _joined(arrays: list[tuple[str, str]]) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Base spans are the patterns' leftmost matches, by kind; the method adds spans of kind ``term``: words near a protected
-    value whose co-occurrence with it over the whole corpus gives away at least ``GENERALISE`` of its information.
-    They are generalised, or removed from ``REMOVE`` on. Values, terms and contexts are counted by aggregates that combine in
-    the tasks first; only pairs of a value and words within ``CONTEXT`` characters are formed, never all pairs.
+    Base spans are the patterns' leftmost matches, by kind; the method adds spans of kind ``term``: words whose
+    co-occurrence with a protected value over the whole corpus gives away at least ``GENERALISE`` of its information,
+    wherever they stand. They are generalised, or removed from ``REMOVE`` on. Values and terms are counted by aggregates
+    that combine in the tasks first; pairs are formed of a value and the terms of the texts that hold it.
 
     Null text counts as empty and has no spans. Rows that repeat doc_id and text count once as evidence and get the same
     answer each. An empty table gives an empty table; further columns are ignored.

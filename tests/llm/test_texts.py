@@ -133,6 +133,18 @@ def test_terms_that_disclose_a_value_are_found_and_hidden(spark, table):
     assert all(clean[i].text == t for i, t in rows if i >= 100)
 
 
+def test_terms_count_in_whole_documents_and_once_for_each(spark, table):
+    pad = "the plain words of any text stand here " * 12
+    rows = [(i, f"Quint, {pad} (Quint) mail q@z.org {pad} Quint") for i in range(8)]
+    rows += [(20, f"Wexler rang {pad} {pad} 10.20.30.40"), (21, f"{pad} no pattern but Quint")]
+    rows += [(100 + i, pad + "mail") for i in range(300)]
+    text = dict(rows)
+    spans = {x.doc_id: [text[x.doc_id][int(a) : int(b)] for k, a, b in (s.split(":") for s in x.spans.split(",") if s) if k == "term"] for x in pii.personal_data(table(rows)).collect()}
+    assert all(spans[i] == ["Quint,", "(Quint)", "Quint"] for i in range(8))  # far from the mention, in every form
+    assert spans[20] == ["Wexler", "rang"]  # a value of one document
+    assert spans[21] == ["Quint"] and not any(spans[100 + i] for i in range(300))
+
+
 def test_pipeline_stages_keep_documents_and_clean_text(spark):
     docs = before = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
