@@ -56,9 +56,14 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``."""
-    stays = exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(stays, docs.doc_id.eqNullSafe(stays.doc_id), "left_semi")
+    """One row of each normalised text, with the columns of ``docs``: the smallest id, null last, then the smallest text.
+
+    Rows are combined as in :func:`exact_dedup`: in the tasks, by salt, then the salts' winners.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    rows = docs.select(normalised(F.col("text")).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), place.alias("place"), F.struct(*docs.columns).alias("row"))
+    salted = rows.groupBy("norm", "salt").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place"))
+    return salted.groupBy("norm").agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 SQL = r"""

@@ -31,6 +31,12 @@ def test_exact_dedup(spark, table):
     assert kept.columns == ["doc_id", "text", "key", "n"] and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4, 5, 7]
 
 
+def test_one_row_of_each_text_stays(spark, table):
+    rows = [(None, "only null"), (None, "only null"), (None, "only  null"), (None, "one"), (3, "one"), (3, "one"), (2, "one"), (2, "own of two"), (None, "x"), (4, None), (5, "")]
+    got = exact.drop_copies(table(rows)).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([(None, "only  null"), (2, "one"), (2, "own of two"), (None, "x"), (4, None)], key=repr)
+
+
 def test_sharding(spark, table):
     r = random.Random(1)
     rows = EDGES + [(100 + i, "x" * r.randrange(300)) for i in range(700)] + [(1000 + i, "copy") for i in range(100)] + [(1000, "copy")]
