@@ -180,7 +180,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with each base span as its kind in brackets, generalised terms as [TERM], and removed terms gone.
 
-    Of spans that overlap, the one that starts first stays, the longer of two that start together. All columns and all
+    Spans that overlap leave the text together, under the name of the one that starts first, the longer of two that
+    start together. All columns and all
     rows of ``docs`` are kept; a null text stays null.
     """
     marked = find_spans(docs.select("doc_id", "text")).select(
@@ -198,7 +199,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def step(state, m):
         part = F.substring(F.col("text"), state["at"] + 1, m["start"] - state["at"])
-        return F.when(m["start"] < state["at"], state).otherwise(F.struct((-m["back"]).alias("at"), F.concat(state["parts"], F.array(part, m["put"])).alias("parts")))
+        return F.when(m["start"] < state["at"], F.struct(F.greatest(state["at"], -m["back"]).alias("at"), state["parts"].alias("parts"))).otherwise(F.struct((-m["back"]).alias("at"), F.concat(state["parts"], F.array(part, m["put"])).alias("parts")))
 
     clean = F.aggregate("_marks", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     return rows.withColumn("text", F.when(F.col("_marks").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)

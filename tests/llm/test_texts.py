@@ -145,6 +145,11 @@ def test_terms_count_in_whole_documents_and_once_for_each(spark, table):
     assert spans[21] == ["Quint"] and not any(spans[100 + i] for i in range(300))
 
 
+def test_overlapping_spans_leave_together(spark, table):
+    got = pii.sanitise(table([(1, "call +49 30 1234567bob@x.org now"), (2, "a@b.org and 10.0.0.1")])).collect()
+    assert {x.doc_id: x.text for x in got} == {1: "call [PHONE] now", 2: "[EMAIL] and [IP]"}
+
+
 def test_pipeline_stages_keep_documents_and_clean_text(spark):
     docs = before = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
