@@ -209,6 +209,11 @@ def _seen(rows: DataFrame, size: int, percent: int) -> np.ndarray:
     return seen.reshape(-1)
 
 
+def _group_keys(rows: DataFrame, size: int, percent: int):
+    seen = rows.sparkSession.sparkContext.broadcast(_seen(rows, size, percent))  # of fixed size
+    return lambda s, texts: keys_of(s, texts, percent, seen.value)
+
+
 def _binary(values: np.ndarray, bounds: np.ndarray, size: int) -> pa.Array:
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32)), pa.py_buffer(raw)])
@@ -227,8 +232,11 @@ def _stars(key: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     return order[head], *triples
 
 
-def _dealt(blocks: int, size: int, percent: int, seen):
-    """Of each slice the set sizes, the equal sets, and the keys of the others with one document each, dealt to blocks."""
+def _dealt(blocks: int, size: int, keyed):
+    """Of each slice the set sizes, the equal sets, and the keys of the others with one document each, dealt to blocks.
+
+    ``keyed`` gives the keys of some texts of a slice and the text of each key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "keys", "docs", "kinds", "left", "right"]
@@ -237,7 +245,7 @@ def _dealt(blocks: int, size: int, percent: int, seen):
             ids = table["key"].to_numpy()
             s = Shingles(table["text"], size)
             whole, rep, copy, same = _distinct(s)  # rep has the smallest ids, as rows are sorted
-            keys, owner = keys_of(s, rep, percent, seen.value)
+            keys, owner = keyed(s, rep)
             kind = np.full(len(keys), CANDIDATE, np.uint8)
             keys, owner = np.concatenate([keys, whole[rep]]), np.concatenate([owner, rep])
             kind = np.concatenate([kind, np.full(len(rep), EQUAL, np.uint8)])
@@ -567,10 +575,12 @@ def _unmet(cand: DataFrame, rows: DataFrame, sketches: DataFrame, found: DataFra
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``docs`` with _node, a number for each document, and (node, id) of the documents that share an id, if there are any.
+    """``docs`` (doc_id, text, row) with _node, a number for each document, and (node, id) of the documents that share an id, if there are any.
 
     The number is the id; above all ids, one for each text, if the id is null or stands for more than one text.
     """
+    small = F.when(F.col("doc_id") >= NO_ID, F.raise_error(F.lit("ids must be below 2 ** 62"))).otherwise(F.col("doc_id"))
+    docs = docs.withColumn("doc_id", small.cast("long"))
     above = lambda m: F.lit(NO_ID) + m.bitwiseAND(F.lit(NO_ID - 1))
     shared = twins(docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), mark().alias("mark")))
     if shared is None:
@@ -581,19 +591,20 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rows.withColumn("_node", F.coalesce(alone, above(mark()))).drop("_id", "_mark"), shared.select(above(F.col("mark")).alias("node"), F.col("key").alias("id"))
 
 
-def _joined(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with _node, and by row (node, n_shingles, least, stays).
+def joined(docs: DataFrame, size: int, percent: int, keys=None) -> tuple[DataFrame, DataFrame]:
+    """(_node, row) with a struct of all columns of ``docs``, and by row (node, n_shingles, least, stays).
 
-    least is the smallest id of the component, stays the document that has it; of several the one with the smallest
-    number. An id from ``NO_ID`` on is null. Where ids are shared there is a column id as well.
+    ``keys(rows)`` gives the function by whose keys documents meet; without it they meet by shingle groups. least is the smallest id of the component, stays the document that has it; of several the one with the smallest
+    number. A least or id from ``NO_ID`` on stands for null. Where ids are shared there is a column id as well.
     """
     spark = docs.sparkSession
     ship(spark)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    numbered, shared = _numbered(docs)
+    numbered, shared = _numbered(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     rows = numbered.select(F.col("_node").alias("key"), "text")
-    seen = spark.sparkContext.broadcast(_seen(rows, size, percent))  # of fixed size
-    dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, percent, seen), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
+    numbered = numbered.select("_node", "row")
+    keyed = keys(rows) if keys else _group_keys(rows, size, percent)
+    dealt = rows.mapInArrow(_dealt(BLOCKS_A_TASK * tasks, size, keyed), DEALT).repartition(tasks, "block").sortWithinPartitions("block")
     met = stored(dealt.mapInArrow(_met, FOUND), "met")
     equal = stored(_flat(met.filter(F.col("kind") == EQUAL)), "equal")
     cand = met.filter(F.col("kind") == CANDIDATE).select("a", "b").distinct()
@@ -637,10 +648,14 @@ def jaccard_join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     document and give a row each; rows that share an id, or a null one, with different texts are documents of their own.
     An empty table gives an empty table; further columns are ignored.
     """
-    _, sets = _joined(docs, size, percent)
+    return classes(joined(docs, size, percent)[1]).drop("kept")
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """By row (doc_id, n_shingles, component_id, kept) of what :func:`joined` gives; kept is the one that stays."""
     own = "id" if "id" in sets.columns else "node"
     id_of = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return sets.select(id_of(own).alias("doc_id"), "n_shingles", id_of("least").alias("component_id"))
+    return sets.select(id_of(own).alias("doc_id"), "n_shingles", id_of("least").alias("component_id"), (F.col("node") == F.col("stays")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -648,6 +663,10 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     Rows that repeat doc_id and text are one document, and stay or go together.
     """
-    numbered, sets = _joined(docs, size, percent)
+    return stay(*joined(docs, size, percent))
+
+
+def stay(numbered: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows, of both results of :func:`joined`, whose documents stay."""
     gone = sets.filter("node <> stays").select(F.col("node").alias("_gone")).distinct()
-    return numbered.join(gone, F.col("_node") == F.col("_gone"), "left_anti").select(docs.columns)
+    return numbered.join(gone, F.col("_node") == F.col("_gone"), "left_anti").select("row.*")
