@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelfill.llm import exact, fingerprint, jaccard, minmax, packing, pages, pieces, pii, quality, repeats, shards
+from panelfill.llm import exact, fingerprint, jaccard, minmax, packing, pages, pieces, pii, quality, repeats, shards, turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op8_ngram_jaccard,
         op9_sharding,
         op10_exact_dedup,
+        op11_conversations,
         op12_minmax_dedup,
     )
 }
