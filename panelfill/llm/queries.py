@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelfill.llm import exact, fingerprint, jaccard, minmax, packing, pages, pieces, pii, quality, repeats, shards, turns
+from panelfill.llm import exact, fingerprint, jaccard, minmax, negatives, packing, pages, pieces, pii, quality, repeats, shards, turns
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_conversations,
         op12_minmax_dedup,
+        op13_hard_negatives,
     )
 }
 ORACLE = {"op10_exact_dedup": exact.SQL}
