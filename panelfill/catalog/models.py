@@ -39,9 +39,15 @@ def feature_frame(s, spec=None):
 
 def training_rows(s, attribute="104_1043", k=1):
     """Train and test rows of one binary target."""
+    return scored_rows(s, attribute, k).where("is_train IS NOT NULL")
+
+
+def scored_rows(s, attribute="104_1043", k=1):
+    """All respondents; those without label or outside train and test take no part in the fit."""
     own = s.labels.where(F.col("attribute") == attribute).select("uid", "label")
-    rows = feature_frame(s).join(own, "uid").where(F.col("set_uid").isin("train", "test"))
-    return rows.withColumns({"y": (F.col("label") == k).cast("double"), "is_train": F.col("set_uid") == "train"})
+    rows = feature_frame(s).join(own, "uid", "left")
+    used = F.col("set_uid").isin("train", "test") & F.col("label").isNotNull()
+    return rows.withColumns({"y": (F.col("label") == k).cast("double"), "is_train": F.when(used, F.col("set_uid") == "train")})
 
 
 @query("g3_assemble_features")
@@ -87,8 +93,8 @@ def g7_regularised(s):
 @query("g8_predict_proba")
 def g8(s):
     """Probabilities of every respondent for a pick-many answer."""
-    model = ob.fit_newton_boost(training_rows(s), SMALL)
-    scored = ob.predict_proba({1: model}, feature_frame(s), binomial=True)
+    rows = scored_rows(s)
+    scored = ob.state_proba({1: ob.fit_newton_boost(rows, SMALL)}, rows, binomial=True)
     return scored.select("uid", "set_uid", F.posexplode("probs").alias("value", "p")).select("uid", "set_uid", "value", r6("p"))
 
 
@@ -106,7 +112,7 @@ def g10(s):
     found = ob.random_search(rows, names, 2, ob.replace(SMALL, rounds=2), space=SMALL_SPACE, threads=2)
     rows.unpersist()
     return found.trials.select(
-        "trial", "log_loss", "roc_score", "failed", (F.col("log_loss") == found.log_loss).alias("chosen")
+        "trial", "loss", "log_loss", "roc_score", "random_score", "failed", (F.col("loss") == found.loss).alias("chosen")
     )
 
 
@@ -130,9 +136,8 @@ def g12(s):
 @query("g14_final_fit")
 def g14(s):
     """Quality of the refitted model on every split."""
-    model = ob.final_fit(training_rows(s), SMALL)
-    own = s.labels.where(F.col("attribute") == "104_1043").select("uid", "label")
-    frame = ob.predict_proba({1: model}, feature_frame(s).join(own, "uid", "left"), binomial=True)
+    rows = scored_rows(s)
+    frame = ob.state_proba({1: ob.final_fit(rows, SMALL)}, rows, binomial=True)
     results = frame.withColumn("attribute_model", F.lit("104_1043"))
     return osc.metrics_table(results)
 

@@ -2,7 +2,9 @@
 
 One round computes gradients as columns, lets the distributed tree learner find the splits
 (label -g/h, weight h, so its leaf mean is the Newton step), and adds the shrunken step to the
-score column. Rows never leave the executors; the driver holds trees and a few sums.
+score column. Rows never leave the executors; the driver holds trees and a few sums. The scores
+of all rows are state: each round moves them by one tree, and what the model predicts for them is
+the state of its best round, so no later job has to walk the trees again.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelfill.functions import focal
@@ -23,11 +25,15 @@ from panelfill.functions.rng import hash_uniform, hash_uniform_py
 from panelfill.functions.survey import is_binomial
 from panelfill.operators import scores as osc
 from panelfill.operators.running import hash_buckets, running_totals
+from panelfill.operators.sampling import random_sample
 from panelfill.session import checkpoint, in_parallel, new_folder, stored
 
 SPLITS = ("train", "test", "validation")
 FINAL_SEED = 47
 SEARCH_SEED = 42
+PENALTY_ROWS = 2000
+GRADIENT_STEPS = 64
+LEAST_GRADIENT = 2.0**-64
 
 
 # ---- rows and targets ------------------------------------------------------------------------
@@ -81,23 +87,60 @@ def effective_other_rate(top_rate: float, other_rate: float) -> float:
     return other_rate * (1.0 - top_rate)
 
 
-def goss_weights(df: DataFrame, gradient: str, top_rate: float, other_rate: float, seed: int) -> DataFrame:
-    """Keep the rows with the largest gradients, a sample of the others, and weigh the sample up.
+def gradient_bin(gradient: Column) -> Column:
+    """Bin of a gradient's size on a logarithmic scale: steps of about one percent, at most some 4,000 of them up to a size of 1."""
+    return F.floor(F.log2(F.greatest(F.abs(gradient), F.lit(LEAST_GRADIENT))) * GRADIENT_STEPS).cast("int")
 
-    ``other_rate`` is the sampled fraction of all rows. The threshold is an approximate quantile;
-    the sample is drawn by hash of (uid, seed).
-    """
-    size = F.abs(F.col(gradient))
-    if top_rate >= 1.0:
-        return df.withColumn("goss_weight", F.lit(1.0))
-    limit = df.select(size.alias("g")).approxQuantile("g", [1.0 - top_rate], 0.001)[0]
+
+def _top_edge(counts: dict[int, int], top_rate: float) -> tuple[int, float]:
+    """The bin in which the ``top_rate`` of all rows with the largest gradients end, and the share of its rows that belong to them."""
+    left = math.floor(top_rate * sum(counts.values()))
+    for bin_, n in sorted(counts.items(), reverse=True):
+        if left <= n:
+            return bin_, left / n
+        left -= n
+    return 0, 0.0
+
+
+def top_edges(histogram: DataFrame, group: Sequence[str], top_rate: float) -> DataFrame:
+    """The same for every group of a table (group, bin, n): (group, edge, share). A group has some thousand bins at most."""
+    whole = Window.partitionBy(*group)
+    above = F.coalesce(F.sum("n").over(whole.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.floor(F.sum("n").over(whole) * F.lit(float(top_rate))) - above
+    placed = histogram.select(*group, "bin", "n", left.alias("left"))
+    return placed.where("left >= 0 AND left <= n").groupBy(*group).agg(F.max(F.struct("bin", (F.col("left") / F.col("n")).alias("share"))).alias("e")).select(
+        *group, F.col("e.bin").alias("edge"), "e.share"
+    )
+
+
+def _one_sided(df: DataFrame, gradient: str, edge: Column, share: Column, top_rate: float, other_rate: float, seed: int) -> DataFrame:
+    bin_ = gradient_bin(F.col(gradient))
     rest = min(1.0, other_rate / (1.0 - top_rate))
-    large = size >= limit if top_rate > 0 else F.lit(False)
+    large = (bin_ > edge) | ((bin_ == edge) & (hash_uniform(F.col("uid"), seed, "edge") < share))
     kept = df.withColumn("_large", large).where(F.col("_large") | (hash_uniform(F.col("uid"), seed, "goss") < rest))
     up = (1.0 - top_rate) / other_rate if other_rate > 0 else 0.0
     return kept.withColumn("goss_weight", F.when(F.col("_large"), 1.0).otherwise(max(1.0, up))).drop("_large")
 
 
+def goss_weights(
+    df: DataFrame, gradient: str, top_rate: float, other_rate: float, seed: int, group: Sequence[str] = (), counts: dict[int, int] | None = None
+) -> DataFrame:
+    """Keep the rows with the largest gradients of every group, a sample of the others, and weigh the sample up.
+
+    ``other_rate`` is the sampled fraction of all rows. How many rows fall into each bin of gradient sizes says in which bin
+    the largest ``top_rate`` of them end; of that bin the missing share is drawn by hash of (uid, seed), and so is the sample.
+    Bins are counted by an aggregate; one that was counted already (``counts``, without groups) is not counted again.
+    """
+    if top_rate >= 1.0:
+        return df.withColumn("goss_weight", F.lit(1.0))
+    histogram = df.groupBy(*group, gradient_bin(F.col(gradient)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    if group:
+        edges = stored(top_edges(histogram, group, top_rate), "top-edges")
+        return _one_sided(df.join(edges, list(group)), gradient, F.col("edge"), F.col("share"), top_rate, other_rate, seed).drop("edge", "share")
+    edge, share = _top_edge(counts if counts is not None else {r.bin: r.n for r in histogram.collect()}, top_rate)
+    return _one_sided(df, gradient, F.lit(edge), F.lit(share), top_rate, other_rate, seed)
+
+
 # ---- fitting ---------------------------------------------------------------------------------
 
 
@@ -124,6 +167,7 @@ class BoostParams:
     seed: int = SEARCH_SEED
     checkpoint_every: int = 10
     features: tuple[int, ...] | None = None
+    least_bins: int = 2  # bins that the categories need, whatever max_bins says
 
     @property
     def depth(self) -> int:
@@ -161,6 +205,7 @@ class BoostModel:
     init: float
     steps: list[Step] = field(default_factory=list)
     history: list[tuple[float, float]] = field(default_factory=list)  # (train, test) loss after each round
+    scores: DataFrame | None = None  # (uid, y, is_train, score) of all rows of the fit, after the best round
 
     @property
     def best_iteration(self) -> int:
@@ -169,6 +214,7 @@ class BoostModel:
         return losses.index(min(losses)) + 1 if losses else 0
 
     def raw_score(self, df: DataFrame, column: str, features: str = "features") -> DataFrame:
+        """Scores of rows that were not in the fit, tree by tree."""
         out = df.withColumn(column, F.lit(self.init))
         for step in self.steps[: self.best_iteration]:
             out, value = step.values(out, features)
@@ -199,12 +245,48 @@ def _leaf_values(rows: DataFrame, params: BoostParams, tree: DecisionTreeRegress
     return values
 
 
+class NoRows(ValueError):
+    """A round's sample of the train rows is empty."""
+
+
+@dataclass
+class _Round:
+    """What one pass over the scores gives: the loss by split, and of the next round's sample its rows by gradient bin and its Hessian sum."""
+
+    loss: dict[bool, float]
+    counts: dict[int, int]
+    hessian: float
+
+
+def _in_bag(params: BoostParams, t: int) -> Column:
+    return F.lit(True) if params.bagging_fraction >= 1.0 else hash_uniform(F.col("uid"), params.seed, t, "bag") < params.bagging_fraction
+
+
+def _measure(state: DataFrame, params: BoostParams, t: int, row_weight: Column) -> _Round:
+    """One aggregate over the state before round ``t``; groups are splits, and gradient bins where a round samples by gradient."""
+    y, q = F.col("y"), F.col("_q")
+    bin_ = gradient_bin(F.col("_g")) if params.top_rate < 1.0 else F.lit(0)
+    bag = F.col("is_train") & _in_bag(params, t)
+    rows = state.where(F.col("is_train").isNotNull()).withColumn("_q", focal.true_class_probability(y, focal.sigmoid(F.col("score"))))
+    rows = rows.withColumn("_g", focal.focal_grad_at(y, q, params.gamma, params.alpha)).groupBy("is_train", bin_.alias("bin")).agg(
+        F.sum(focal.focal_loss_at(y, q, params.gamma, params.alpha)).alias("loss"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(bag).alias("bagged"),
+        F.sum(F.when(bag, focal.newton_hess_at(y, q, params.gamma, params.alpha) * row_weight)).alias("hessian"),
+    )
+    found = sorted(rows.collect(), key=lambda r: (r.is_train, r.bin))
+    loss = {k: sum(r.loss for r in found if r.is_train is k) / sum(r.n for r in found if r.is_train is k) for k in {r.is_train for r in found}}
+    return _Round(loss, {r.bin: r.bagged for r in found if r.bagged}, sum(r.hessian or 0.0 for r in found))
+
+
 def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
     """Boosted trees on ``rows`` (uid, features, y, is_train[, class_weight]).
 
-    Rows with ``is_train`` fit the trees, the others stop the rounds early. Scores are kept in a
-    persisted frame that can be recomputed from its parent; every ``checkpoint_every`` rounds it
-    is checkpointed to the shared folder, so lineage stays short.
+    Rows with ``is_train`` fit the trees, those without stop the rounds early, and rows where it is null are
+    only scored. Scores are kept in a persisted frame that can be recomputed from its parent; every
+    ``checkpoint_every`` rounds it is checkpointed to the shared folder, so lineage stays short. After a
+    round one aggregate gives its losses and what the next round needs to know of the gradients. The scores
+    after the best round are stored as ``scores`` of the model.
     """
     if not params.bagging_fraction > 0:
         raise ValueError("bagging_fraction must be above 0")
@@ -216,10 +298,15 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
     width = rows.select("features").schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
     model = BoostModel(params, init)
     state = base.withColumn("score", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
+    best = state
     y, q = F.col("y"), F.col("_q")
     true_class = focal.true_class_probability(y, focal.sigmoid(F.col("score")))
+    row_weight = F.col("class_weight") if extra else F.lit(1.0)
+    sampled = params.bagging_fraction < 1.0 or params.top_rate < 1.0 or params.min_sum_hessian_in_leaf > 0 or params.min_gain_to_split > 0
+    seen = _measure(state, params, 0, row_weight) if sampled else None
     for t in range(params.rounds):
-        row_weight = F.col("class_weight") if extra else F.lit(1.0)
+        if seen is not None and not seen.counts:
+            raise NoRows(f"no train row is in the sample of round {t}")
         grads = state.where("is_train").withColumn("_q", true_class).select(
             "uid",
             "features",
@@ -228,9 +315,9 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
             row_weight.alias("row_weight"),
         )
         if params.bagging_fraction < 1.0:
-            grads = grads.where(hash_uniform(F.col("uid"), params.seed, t, "bag") < params.bagging_fraction)
+            grads = grads.where(_in_bag(params, t))
         if params.top_rate < 1.0:
-            grads = goss_weights(grads, "g", params.top_rate, params.other_rate, params.seed + t)
+            grads = goss_weights(grads, "g", params.top_rate, params.other_rate, params.seed + t, counts=seen.counts)
             grads = grads.withColumn("row_weight", F.col("row_weight") * F.col("goss_weight"))
         picked = _picked_features(width, params, t) if width else params.features and list(params.features)
         source = "features"
@@ -239,7 +326,7 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
             source = "_slice"
         weight_fraction, least_gain, depth = 0.0, 0.0, params.depth
         if params.min_sum_hessian_in_leaf > 0 or params.min_gain_to_split > 0:
-            total = grads.agg(F.sum(F.col("h") * F.col("row_weight"))).first()[0] or 0.0
+            total = seen.hessian  # sampling by gradient keeps it in expectation
             # the tree's gain is per unit of weight, the parameter's is a sum over the rows
             least_gain = params.min_gain_to_split / total if total else 0.0
             weight_fraction = params.min_sum_hessian_in_leaf / total if total else 0.0
@@ -251,7 +338,7 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
             labelCol="target",
             weightCol="w",
             maxDepth=depth,
-            maxBins=params.max_bins,
+            maxBins=max(params.max_bins, params.least_bins),
             minInstancesPerNode=max(1, params.min_data_in_leaf),
             minWeightFractionPerNode=weight_fraction,
             minInfoGain=least_gain,
@@ -263,15 +350,16 @@ def fit_newton_boost(rows: DataFrame, params: BoostParams) -> BoostModel:
         grown = scored.withColumn("score", F.col("score") + F.lit(params.learning_rate) * value).select(*base.columns, "score")
         last, state = state, checkpoint(grown) if (t + 1) % params.checkpoint_every == 0 else grown
         state = state.persist(StorageLevel.MEMORY_AND_DISK)
-        loss = {
-            r.is_train: r.loss
-            for r in state.withColumn("_q", true_class)
-            .groupBy("is_train").agg(F.avg(focal.focal_loss_at(y, q, params.gamma, params.alpha)).alias("loss")).collect()
-        }
-        last.unpersist()
-        model.history.append((loss.get(True, math.nan), loss.get(False, loss.get(True, math.nan))))
+        seen = _measure(state, params, t + 1, row_weight)
+        model.history.append((seen.loss.get(True, math.nan), seen.loss.get(False, seen.loss.get(True, math.nan))))
+        improved = model.best_iteration == len(model.history)
+        for old in {id(x): x for x in ((last, best) if improved else (last,)) if x is not best or improved}.values():
+            old.unpersist()
+        best = state if improved else best
         if len(model.history) - model.best_iteration >= params.patience:
             break
+    model.scores = stored(best.select("uid", "y", "is_train", "score"), "scores")
+    best.unpersist()
     state.unpersist()
     return model
 
@@ -294,36 +382,57 @@ def predict_proba(models: dict[int, BoostModel], df: DataFrame, binomial: bool,
     return out.withColumn("probs", probs).drop(*[f"_score_{k}" for k in models])
 
 
+def state_proba(models: dict[int, BoostModel], people: DataFrame, binomial: bool) -> DataFrame:
+    """``people`` (with uid) with ``probs``, one entry per class, from the scores that the fits carried along; no tree is applied."""
+    if binomial:
+        one = focal.sigmoid(F.col("score"))
+        probs = models[1].scores.select("uid", F.array(1.0 - one, one).alias("probs"))
+    else:
+        long = [m.scores.select("uid", F.lit(k).alias("value"), focal.sigmoid(F.col("score")).alias("p")) for k, m in sorted(models.items())]
+        both = long[0]
+        for part in long[1:]:
+            both = both.union(part)
+        probs = both.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("value", "p"))), lambda x: x["p"]).alias("probs"))
+    return people.join(probs, "uid")
+
+
+def _nodes(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel]) -> DataFrame:
+    """Nodes of all trees in one table: tree (its place in the list), split, gain, impurityStats and the other node columns."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    held = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    ones = gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        held[i], ones[i] = tree._java_obj, 1.0
+    ensemble = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel("trees", held, ones))
+    path = new_folder(spark, "trees")
+    ensemble.write().overwrite().save(path)
+    return spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+
+
 def feature_importance(spark: SparkSession, models: dict[tuple[str, int], BoostModel], names: Sequence[str]) -> DataFrame:
     """Number of splits and total gain per model, class and feature, over the rounds in use.
 
-    The trees are saved and their node tables read back in one job.
+    All trees are saved as one ensemble, so their nodes are one table of one write, and read back in one job.
     """
-    root = new_folder(spark, "trees")
-    saves, used, sliced = [], [], []
+    trees, used, numbers = [], [], []
     for (attribute, k), model in models.items():
         on = model.params.features
         used.append((attribute, k, model.best_iteration, None if on is None else list(on)))
-        for i, step in enumerate(model.steps[: model.best_iteration]):
-            saves.append(lambda tree=step.tree, path=f"{root}/{attribute}={k}={i}": tree.write().overwrite().save(path))
-            if step.features is not None:
-                sliced.append((attribute, k, i, step.features))
-    in_parallel(saves, 8)
-    tree = F.split(F.url_decode(F.regexp_extract("_metadata.file_path", r"/([^/]+)/data/", 1)), "=")
+        for step in model.steps[: model.best_iteration]:
+            numbers.append((len(trees), attribute, k, step.features))
+            trees.append(step.tree)
+    numbered = spark.createDataFrame(numbers, "tree int, attribute_model string, svkey_index int, entries array<int>")
     splits = (
-        spark.read.parquet(f"{root}/*/data")
+        _nodes(spark, trees)
         .select(
-            tree[0].alias("attribute_model"), tree[1].cast("int").alias("svkey_index"), tree[2].cast("int").alias("step"),
-            F.col("split.featureIndex").alias("position"),
+            "tree", F.col("split.featureIndex").alias("position"),
             (F.col("gain") * F.col("impurityStats")[0]).alias("gain"),  # the first statistic is the node's weight
         )
         .where(F.col("position") >= 0)
+        .join(numbered, "tree")
     )
     # a tree that saw only some entries counts positions among those
-    slices = spark.createDataFrame(sliced, "attribute_model string, svkey_index int, step int, entries array<int>")
-    named = splits.join(slices, ["attribute_model", "svkey_index", "step"], "left").withColumn(
-        "idx", F.when(F.col("entries").isNull(), F.col("position")).otherwise(F.get("entries", F.col("position")))
-    )
+    named = splits.withColumn("idx", F.when(F.col("entries").isNull(), F.col("position")).otherwise(F.get("entries", F.col("position"))))
     sums = named.groupBy("attribute_model", "svkey_index", "idx").agg(F.count("gain").alias("split"), F.sum("gain").alias("gain"))
     features = spark.createDataFrame(list(enumerate(names)), "idx int, feature string")
     # one row per feature switched on, also where no split uses it
@@ -352,6 +461,7 @@ SPACE = {
     "max_delta_step": ("uniform", -1.0, 30.0),
     "num_leaves": ("even", 2, 4096),
     "max_depth": ("integer", 3, 11),
+    "max_bins": ("integer", 2, 256),
     "min_data_in_leaf": ("integer", 1, 1024),
     "min_sum_hessian_in_leaf": ("lognormal", 3.0, 3.0),
     "min_gain_to_split": ("lognormal", 3.0, 3.0),
@@ -367,8 +477,8 @@ SPACE = {
 }
 
 
-def _draw(name: str, kind: str, low: float, high: float, seed: int) -> Column:
-    unit = hash_uniform(F.col("trial"), name, seed)
+def _draw(name: str, kind: str, low: float, high: float, seed: int, key: str) -> Column:
+    unit = hash_uniform(F.col("trial"), name, seed, key)
     if kind == "uniform":
         return F.lit(low) + unit * (high - low)
     if kind == "integer":
@@ -378,19 +488,24 @@ def _draw(name: str, kind: str, low: float, high: float, seed: int) -> Column:
     if kind == "choice":
         return (unit < 0.5).cast("double")
     # lognormal: Box-Muller with a second draw
-    other = hash_uniform(F.col("trial"), name, seed, "angle")
+    other = hash_uniform(F.col("trial"), name, seed, key, "angle")
     normal = F.sqrt(-2.0 * F.log(1.0 - unit)) * F.cos(2.0 * math.pi * other)
     return F.exp(F.lit(low) + F.lit(high) * normal)
 
 
-def trial_table(spark: SparkSession, n: int, features: Sequence[str], seed: int = SEARCH_SEED, space: dict | None = None) -> DataFrame:
-    """One row per trial: a value for every range, and an on/off flag for every feature."""
+def trial_table(
+    spark: SparkSession, n: int, features: Sequence[str], seed: int = SEARCH_SEED, space: dict | None = None, key: str = ""
+) -> DataFrame:
+    """One row per trial: a value for every range, and an on/off flag for every feature.
+
+    ``key`` names what is searched for, such as a model and its class: each has draws of its own.
+    """
     space = space if space is not None else SPACE
     on = F.transform(
         F.sequence(F.lit(0), F.lit(len(features) - 1)),
-        lambda i: hash_uniform(F.col("trial"), i, "feature", seed) < 0.5,
+        lambda i: hash_uniform(F.col("trial"), i, "feature", seed, key) < 0.5,
     )
-    columns = [_draw(name, *spec, seed).alias(name) for name, spec in space.items()]
+    columns = [_draw(name, *spec, seed, key).alias(name) for name, spec in space.items()]
     return spark.range(n).select(F.col("id").cast("int").alias("trial"), *columns, on.alias("feature_on"))
 
 
@@ -400,7 +515,7 @@ def params_of(row, base: BoostParams) -> BoostParams:
     kept = {}
     for name, value in given.items():
         if name in BoostParams.__dataclass_fields__ and name not in ("features", "alpha"):
-            kept[name] = int(value) if name in ("num_leaves", "max_depth", "min_data_in_leaf") else float(value)
+            kept[name] = int(value) if name in ("num_leaves", "max_depth", "max_bins", "min_data_in_leaf") else float(value)
     if "other_rate" in kept:
         kept["other_rate"] = effective_other_rate(kept.get("top_rate", base.top_rate), kept["other_rate"])
     if "alpha" in given:
@@ -409,21 +524,26 @@ def params_of(row, base: BoostParams) -> BoostParams:
     return replace(base, **kept, features=on or base.features)
 
 
-def test_quality(model: BoostModel, rows: DataFrame) -> tuple[float, float | None]:
-    """(log loss, AUC) of the rows that were not trained on."""
-    test = model.raw_score(rows.where(~F.col("is_train")), "_raw").select(
-        F.lit("test").alias("set_uid"), "y", focal.sigmoid(F.col("_raw")).alias("p")
-    )
-    test = checkpoint(test)
+def test_quality(model: BoostModel) -> tuple[float, float | None]:
+    """(log loss, AUC) of the rows of the fit that were not trained on."""
+    test = model.scores.where(~F.col("is_train")).select(F.lit("test").alias("set_uid"), F.col("y").cast("int").alias("y"), focal.sigmoid(F.col("score")).alias("p"))
     loss = osc.log_loss(test, ["set_uid"]).first()
     auc = osc.roc_auc(test, ["set_uid"]).first()
     return (loss.log_loss if loss else math.nan), (auc.roc_score if auc else None)
 
 
+def constancy(model: BoostModel, rows: int = PENALTY_ROWS) -> float:
+    """Penalty of a model that predicts few values: 1 - distinct predictions / rows, over a hash-chosen sample of respondents."""
+    sample = random_sample(model.scores.select("uid", F.col("score").alias("p")), rows, ["uid"])
+    found = osc.constant_prediction_penalty(sample, []).first()
+    return float(found.penalty) if found and found.penalty is not None else 1.0
+
+
 @dataclass
 class SearchResult:
     trials: DataFrame
     params: BoostParams
+    loss: float
     log_loss: float
     roc_score: float | None
     retried: bool
@@ -431,29 +551,32 @@ class SearchResult:
 
 def random_search(
     rows: DataFrame, features: Sequence[str], n: int, base: BoostParams, seed: int = SEARCH_SEED, space: dict | None = None,
-    threads: int = 4,
+    threads: int = 4, key: str = "",
 ) -> SearchResult:
-    """Fit every trial on the train rows, keep the one with the least test loss.
+    """Fit every trial on the train rows, keep the one with the least loss.
 
-    A trial whose AUC is exactly one half predicts nothing and has failed; when all fail the
-    best of all is taken and ``retried`` is set.
+    The loss of a trial is the log loss of the test rows plus the penalty for few distinct predictions. A trial
+    whose AUC is exactly one half predicts nothing and has failed, and so has one whose sample of rows is
+    empty; when all fail the best of all is taken and ``retried`` is set.
     """
     spark = rows.sparkSession
-    table = trial_table(spark, n, features, seed, space)
+    table = trial_table(spark, n, features, seed, space, key)
     drawn = table.collect()
 
     def run(row):
-        params = params_of(row, base)
-        loss, auc = test_quality(fit_newton_boost(rows, params), rows)
-        return (row.trial, float(loss), None if auc is None else float(auc), auc == 0.5)
+        try:
+            model = fit_newton_boost(rows, params_of(row, base))
+        except NoRows:
+            return (row.trial, math.inf, math.inf, None, 1.0, True)
+        log_loss, auc = test_quality(model)
+        penalty = constancy(model)
+        return (row.trial, float(log_loss) + penalty, float(log_loss), None if auc is None else float(auc), penalty, auc == 0.5)
 
     results = in_parallel([lambda row=row: run(row) for row in drawn], threads)
-    usable = [r for r in results if not r[3]]
+    usable = [r for r in results if not r[-1]]
     chosen = min(usable or results, key=lambda r: (r[1], r[0]))
-    outcome = spark.createDataFrame(results, "trial int, log_loss double, roc_score double, failed boolean")
-    return SearchResult(
-        table.join(outcome, "trial"), params_of(drawn[chosen[0]], base), chosen[1], chosen[2], not usable
-    )
+    outcome = spark.createDataFrame(results, "trial int, loss double, log_loss double, roc_score double, random_score double, failed boolean")
+    return SearchResult(table.join(outcome, "trial"), params_of(drawn[chosen[0]], base), *chosen[1:4], not usable)
 
 
 def search_log(trials: DataFrame, model: str) -> DataFrame:

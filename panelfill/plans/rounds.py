@@ -18,7 +18,7 @@ from panelfill.operators import scores as osc
 from panelfill.operators import shares as osh
 from panelfill.operators.association import chi2_before_after
 from panelfill.operators.bootstrap import bootstrap_share_bounds
-from panelfill.operators.features import FeatureSpec, assemble_features
+from panelfill.operators.features import FeatureSpec, assemble_features, covered_levels
 from panelfill.operators.joins import not_in_keys
 from panelfill.operators.labels import wide_labels
 from panelfill.session import in_parallel
@@ -85,12 +85,15 @@ class RoundConfig:
     seed: int = 0
     keep_own_imputation: bool = False
     excluded: tuple[str, ...] = ()  # attributes that are never features, such as demographics
+    min_share: float = 0.6  # round-0 features, where no core is given: attributes that more respondents than this answered
 
 
 @dataclass
 class RoundInputs:
     """Tables of one survey: respondents (uid, wavekey, set_uid, respondentweight), long labels
-    (uid, wavekey, attribute, label, kind), plan, codes, latent layer, and the class count of each attribute."""
+    (uid, wavekey, attribute, label, kind), plan, codes, latent layer, and the class count of each attribute.
+
+    ``core`` lists the first-round features; without it they are chosen by coverage."""
 
     respondents: DataFrame
     labels: DataFrame
@@ -99,22 +102,33 @@ class RoundInputs:
     latent: DataFrame
     latent_columns: tuple[str, ...]
     sizes: dict[str, int]
-    core: tuple[str, ...]
+    core: tuple[str, ...] | None = None
+
+
+def core_levels(inputs: RoundInputs, config: RoundConfig) -> dict[str, int]:
+    """Answers that are features from the first round on, with their number of codes."""
+    if inputs.core is not None:
+        return {a: inputs.sizes[a] for a in inputs.core}
+    return covered_levels(inputs.labels, config.min_share, inputs.sizes, inputs.plan.where("proposed_round = 0"))
 
 
 def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: FeatureSpec, config: RoundConfig):
-    """Search and final fit of every class of one attribute: (models, best trials, retried)."""
+    """Search and final fit of every class of one attribute: (models, best trials, retried).
+
+    Every respondent of ``frame`` is scored along the final fit; only train and test rows with a label are searched on.
+    """
     own = [] if config.keep_own_imputation else [attribute]
     allowed = tuple(i for i, n in enumerate(spec.names) if n not in (*config.excluded, *own))
     classes = [1] if "_" in attribute else list(range(num_class))
-    rows = frame.where(F.col("set_uid").isin("train", "test") & F.col("label").isNotNull())
+    used = F.col("set_uid").isin("train", "test") & F.col("label").isNotNull()
 
     def run(k):
-        target = rows.withColumns({"y": (F.col("label") == k).cast("double"), "is_train": F.col("set_uid") == "train"})
-        base = replace(config.params, features=allowed, max_bins=max(config.params.max_bins, spec.max_bins))
+        target = frame.withColumns({"y": (F.col("label") == k).cast("double"), "is_train": F.when(used, F.col("set_uid") == "train")})
+        base = replace(config.params, features=allowed, least_bins=spec.max_bins)
         found = None
         if config.search_trials:
-            found = ob.random_search(target, spec.names, config.search_trials, base, threads=1)
+            known = target.where("is_train IS NOT NULL")
+            found = ob.random_search(known, spec.names, config.search_trials, base, ob.SEARCH_SEED + config.seed, threads=1, key=f"{attribute}:{k}")
             picked = tuple(i for i in (found.params.features or allowed) if i in allowed) or allowed
             base = replace(found.params, features=picked)
         return k, ob.final_fit(target, base), found
@@ -125,6 +139,14 @@ def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: Featur
     return models, trials, any(f.retried for *_, f in done if f is not None)
 
 
+def read_journal(spark: SparkSession, path: str, iteration: int) -> DataFrame:
+    """The newest record of every model of a round, from a ledger or a journal; empty if there is none yet."""
+    if not tables.path_exists(spark, path):
+        return spark.createDataFrame([], schemas.LEDGER)
+    rows = spark.read.schema(schemas.LEDGER).option("recursiveFileLookup", True).parquet(path).where(F.col("iteration") == iteration)
+    return rows.groupBy("model").agg(F.max_by(F.struct("*"), "finish_time").alias("r")).select("r.*")
+
+
 def run_round(
     spark: SparkSession, inputs: RoundInputs, root: str, iteration: int, config: RoundConfig, previous: DataFrame | None = None, redo: bool = False
 ) -> DataFrame:
@@ -133,23 +155,28 @@ def run_round(
     Models are fitted side by side from the driver's threads; calibration, bounds, shares and
     chi-square then run once for all attributes. Results are written before they are read
     again, so a later round starts from files, and small ones are joined by their known size.
+
+    A fitted model is committed on its own: its scores, importance and search trials first, and then one row of the
+    round's ``journal``, written last so that it stands for all of them. A model that has its row is not
+    fitted again when the round is run again; the ``ledger`` gets the models' rows once the shared results are
+    written. ``redo`` fits all models anew.
     """
     folder, ledger_path = f"{root}/iteration_{iteration}", f"{root}/ledger"
-    expected = sorted(r.model for r in expected_models(inputs.plan).collect())
-    if tables.path_exists(spark, ledger_path):
-        ledger = spark.read.schema(schemas.LEDGER).parquet(ledger_path).where(F.col("iteration") == iteration)
-        table = spark.createDataFrame([(m,) for m in expected], "model string")
-        pending = sorted(r.model for r in tables.pending_models(table, ledger, redo).collect())
-    else:
-        pending = expected
-
-    core = {a: inputs.sizes[a] for a in inputs.core}
+    journal_path = f"{folder}/journal"
+    expected = spark.createDataFrame([(r.model,) for r in expected_models(inputs.plan).collect()], "model string")
+    open_ = tables.pending_models(expected, read_journal(spark, ledger_path, iteration), redo)
+    pending = sorted(r.model for r in open_.collect())
+    unfitted = sorted(r.model for r in tables.pending_models(open_, read_journal(spark, journal_path, iteration), redo).collect())
+    if not pending:
+        return read_predictions(spark, folder)
+
+    core = core_levels(inputs, config)
     answers = inputs.labels.where(F.col("attribute").isin(list(core))).select("uid", "attribute", F.col("label").alias("code"))
     levels = dict(core)
     if previous is not None:
         filled = next_round_long(previous, inputs.plan)
         answers = answers.unionByName(filled.select("uid", F.col("attribute_model").alias("attribute"), F.col("selected_value").alias("code")))
-        levels |= {a: inputs.sizes[a] for a in expected if a not in core}
+        levels |= {r.model: inputs.sizes[r.model] for r in expected.orderBy("model").collect() if r.model not in core}
     spec = FeatureSpec(levels, inputs.latent_columns)
     people = inputs.respondents.select(
         "uid", "wavekey", "set_uid", "respondentweight", F.col("respondentweight").cast("double").alias("weight")
@@ -157,35 +184,32 @@ def run_round(
     base = assemble_features(people, answers, spec, inputs.latent).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(attribute):
-        """Models of one attribute; its scores go to their own partition of the round's table."""
+        """Fit one attribute, write what belongs to it to its own partitions, and record it."""
         start = time.time()
         num_class = inputs.sizes[attribute]
         own = inputs.labels.where(F.col("attribute") == attribute).select("uid", F.col("label").cast("int").alias("label"))
         frame = base.join(own, "uid", "left").persist(StorageLevel.MEMORY_AND_DISK)
         models, trials, retried = fit_attribute(frame, attribute, num_class, spec, config)
-        result = ob.predict_proba(models, frame, "_" in attribute).select(
+        scores = ob.state_proba(models, frame, "_" in attribute).select(
             "uid", "set_uid", "wavekey", "respondentweight", "weight", F.lit(attribute).alias("attribute_model"), F.lit(num_class).alias("num_class"), "label", "probs"
         )
-        tables.write_result_bundle(folder, {"scores": result})
+        written = {"scores": scores, "featureImportance": ob.feature_importance(spark, {(attribute, k): m for k, m in models.items()}, spec.names)}
+        if trials:
+            written["trials"] = spark.createDataFrame(trials, "attribute_model string, value int, log_loss double, roc_score double")
+        tables.write_result_bundle(folder, written)
         frame.unpersist()
         finish = time.time()
-        return models, trials, (attribute, num_class, iteration, start, finish, finish - start, retried)
+        tables.commit_record(spark.createDataFrame([(attribute, num_class, iteration, start, finish, finish - start, retried)], schemas.LEDGER), journal_path)
 
-    done = in_parallel([lambda a=a: fit(a) for a in pending], config.threads)
-    scored = pending
-    fitted = {(a, k): m for a, (models, _, _) in zip(pending, done) for k, m in models.items()}
-    trial_rows = [t for _, trials, _ in done for t in trials]
-    times = [t for *_, t in done]
+    in_parallel([lambda a=a: fit(a) for a in unfitted], config.threads)
     base.unpersist()
-    if not pending:
-        return read_predictions(spark, folder)
 
     keep = ["uid", "set_uid", "wavekey", "respondentweight", "weight", "attribute_model", "num_class", "label", "probs"]
-    results = read_kind(spark, folder, "scores").where(F.col("attribute_model").isin(scored)).select(*keep)
+    results = read_kind(spark, folder, "scores").where(F.col("attribute_model").isin(pending)).select(*keep)
     classes = results.select("attribute_model", "num_class").distinct()
     labeled = results.where(F.col("label").isNotNull())
     tables.write_result_bundle(folder, {"bounds": bootstrap_share_bounds(labeled, classes, config.reps, config.seed)})
-    bounds = read_kind(spark, folder, "bounds").where(F.col("attribute_model").isin(scored))
+    bounds = read_kind(spark, folder, "bounds").where(F.col("attribute_model").isin(pending))
     tables.write_result_bundle(
         folder,
         {"multipliers": ocal.calibrate_waves(results, bounds, config.evals, config.seed), "thresholds": test_thresholds(results)},
@@ -197,25 +221,23 @@ def run_round(
     probabilities = results.select("uid", "set_uid", "wavekey", "attribute_model", "label", "probs")
     tables.write_result_bundle(folder, {"predictions": predictions, "probabilities": probabilities})
 
-    back = read_predictions(spark, folder).where(F.col("attribute_model").isin(scored))
+    back = read_predictions(spark, folder).where(F.col("attribute_model").isin(pending))
     weighted = back.withColumn("weight", F.col("respondentweight").cast("double"))
     histogram = osh.class_histogram(weighted, osh.wave_list(inputs.respondents), "selected_value", "attribute_model", classes)
     report = ocal.wave_distribution_report(histogram.withColumnRenamed("selected_value", "value"), bounds, inputs.codes)
-    trials = spark.createDataFrame(trial_rows, "attribute_model string, value int, log_loss double, roc_score double") if trial_rows else None
+    trials = None
+    if tables.path_exists(spark, f"{folder}/trials"):
+        trials = read_kind(spark, folder, "trials").where(F.col("attribute_model").isin(pending)).select("attribute_model", "value", "log_loss", "roc_score")
     metrics = osc.metrics_table(results, trials).withColumn("attribute_model", F.col("model"))
-    importance = ob.feature_importance(spark, fitted, spec.names)
     long = answers.select("uid", F.col("attribute").alias("feature"), F.col("code").cast("double").alias("value"))
     chi2 = chi2_before_after(
         long, labeled.select("uid", "attribute_model", "label"), back.select("uid", "attribute_model", F.col("selected_value").alias("label"))
     )
     tables.write_result_bundle(
-        folder,
-        {
-            "distributions": report.withColumnRenamed("attribute", "attribute_model"),
-            "metrics": metrics, "featureImportance": importance, "chiSquare": chi2,
-        },
+        folder, {"distributions": report.withColumnRenamed("attribute", "attribute_model"), "metrics": metrics, "chiSquare": chi2}
     )
-    tables.append_ledger(spark.createDataFrame(times, schemas.LEDGER), ledger_path)
+    finished = read_journal(spark, journal_path, iteration).where(F.col("model").isin(pending))
+    tables.append_ledger(finished.select(*schemas.LEDGER.names).coalesce(1), ledger_path)
     return read_predictions(spark, folder)
 
 

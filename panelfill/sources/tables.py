@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,6 +156,11 @@ def append_ledger(times: DataFrame, path: str) -> None:
     times.write.mode("append").parquet(path)
 
 
+def commit_record(record: DataFrame, root: str) -> None:
+    """One record in a folder of its own, so that writers side by side do not meet; it is there as a whole or not at all."""
+    record.coalesce(1).write.parquet(f"{root}/{uuid.uuid4().hex}")
+
+
 def pending_models(expected: DataFrame, ledger: DataFrame, redo: bool = False) -> DataFrame:
     """Expected models (column ``model``) that have no completion record yet."""
     return expected if redo else expected.join(ledger.select("model"), "model", "left_anti")

@@ -42,7 +42,7 @@ def test_loss_falls_and_beats_a_constant(rows, model):
     assert all(b < a for a, b in zip(train, train[1:]))
     constant = rows.where("NOT is_train").select(F.avg(focal.focal_loss(F.col("y"), F.lit(1 / (1 + math.exp(-model.init))), 0.5))).first()[0]
     assert model.history[model.best_iteration - 1][1] < constant * 0.9
-    loss, auc = ob.test_quality(model, rows)
+    loss, auc = ob.test_quality(model)
     assert auc > 0.8 and loss < math.log(2)
 
 
@@ -108,6 +108,77 @@ def test_feature_switches_are_respected(spark, rows):
     assert {r.feature for r in got} == {"noise"}
 
 
+def _tree_nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("UDF(")
+
+
+def test_state_scores_equal_the_chain_of_trees(rows, spark):
+    """Also of rows outside the fit, after an early stop, and without a tree in the plan."""
+    some = rows.withColumn("is_train", F.when(F.col("uid") % 5 != 2, F.col("is_train"))).withColumn("y", F.when(F.col("is_train").isNotNull(), F.col("y")))
+    for params in (SMALL, ob.replace(SMALL, rounds=8, patience=2, learning_rate=3.0), ob.replace(SMALL, lambda_l2=1.0, feature_fraction=0.7, checkpoint_every=2, top_rate=0.4, other_rate=0.3)):
+        model = ob.fit_newton_boost(some, params)
+        chain = {r.uid: r.raw for r in model.raw_score(some, "raw").select("uid", "raw").collect()}
+        state = {r.uid: r.score for r in model.scores.collect()}
+        assert state.keys() == chain.keys() and all(state[u] == pytest.approx(chain[u], abs=1e-12) for u in chain)
+        people = spark.range(1500).withColumnRenamed("id", "uid")
+        probs = ob.state_proba({1: model}, people, True)
+        assert _tree_nodes(probs) == 0 and _tree_nodes(ob.predict_proba({1: model}, some, True)) > 0
+        assert {r.uid: r.probs[1] for r in probs.collect()} == pytest.approx({u: 1 / (1 + math.exp(-x)) for u, x in chain.items()})
+    many = ob.state_proba({0: model, 1: model, 2: model}, people, False).first().probs
+    assert len(many) == 3 and many[0] == many[2]
+
+
+def test_node_table_holds_the_gain_of_a_split(spark):
+    """One split on a category: weighted impurity before and after, by hand."""
+    data = [(i, [float(i % 2)], float(i % 10 < (8 if i % 2 else 2)), True) for i in range(400)]
+    spec = {"ml_attr": {"attrs": {"nominal": [{"idx": 0, "name": "c", "vals": ["0", "1"]}]}, "num_attrs": 1}}
+    df = spark.createDataFrame(data, "uid long, v array<double>, y double, is_train boolean")
+    df = df.select("uid", array_to_vector("v").alias("features", metadata=spec), "y", "is_train")
+    model = ob.fit_newton_boost(df, ob.BoostParams(rounds=2, max_depth=1, gamma=0.0, learning_rate=0.5))
+    got = {(r.svkey_index, r.importance_type): r.importance for r in ob.feature_importance(spark, {("a", 0): model, ("a", 1): model}, ["c"]).collect()}
+    y = np.array([r[2] for r in data])
+    side = np.array([r[1][0] for r in data])
+    score, gain = np.full(400, math.log(y.sum() / (400 - y.sum()))), 0.0
+    for _ in range(model.best_iteration):
+        p = 1 / (1 + np.exp(-score))
+        h, target = p * (1 - p), (y - p) / (p * (1 - p))
+        spread = lambda at: (h[at] * (target[at] - np.average(target[at], weights=h[at])) ** 2).sum()
+        gain += spread(side >= 0) - spread(side == 0) - spread(side == 1)
+        for c in (0, 1):
+            score[side == c] += 0.5 * np.average(target[side == c], weights=h[side == c])
+    assert got == {(k, t): pytest.approx(v) for k in (0, 1) for t, v in (("gain", gain), ("split", model.best_iteration))}
+
+
+def test_goss_weights_like_a_sorted_reference(spark):
+    from panelfill.functions.rng import hash_uniform_py
+
+    df = spark.range(600).select(F.col("id").alias("uid"), (F.pow(F.lit(0.97), F.col("id") % 300) * F.when(F.col("id") % 2 == 0, -1).otherwise(1)).alias("g"), (F.col("id") >= 300).cast("int").alias("part"))
+    rows = [(r.uid, abs(r.g), r.part) for r in df.collect()]
+    grouped = {r.uid: r.goss_weight for r in ob.goss_weights(df, "g", 0.2, 0.4, 9, ["part"]).collect()}
+    whole = {r.uid: r.goss_weight for r in ob.goss_weights(df, "g", 0.2, 0.4, 9).collect()}
+    for got, groups in ((grouped, [[r for r in rows if r[2] == p] for p in (0, 1)]), (whole, [rows])):
+        want = {}
+        for group in groups:
+            ordered = sorted(group, key=lambda r: -r[1])
+            top = {u for u, *_ in ordered[: len(group) // 5]}
+            want |= {u: 1.0 for u in top} | {u: 2.0 for u, *_ in group if u not in top and hash_uniform_py(u, 9, "goss") < 0.5}
+        assert got == want
+
+
+def test_a_sample_without_rows_is_a_failed_trial(spark, rows):
+    few = rows.where("uid < 40")
+    space = {"bagging_fraction": ("uniform", 0.0, 1e-6)}
+    with pytest.raises(ob.NoRows):
+        ob.fit_newton_boost(few, ob.replace(SMALL, bagging_fraction=1e-9))
+    found = ob.random_search(few, ["c", "x", "noise"], 2, ob.replace(SMALL, rounds=1), space=space, threads=1)
+    assert found.retried and all(r.failed for r in found.trials.collect())
+
+
+def test_models_draw_trials_of_their_own(spark):
+    one, two, again = (ob.trial_table(spark, 5, ["a"], key=k).drop("trial").collect() for k in ("101:0", "101:1", "101:0"))
+    assert one == again and one != two
+
+
 def test_goss_keeps_large_gradients_and_the_total(spark):
     df = spark.range(20000).select(F.col("id").alias("uid"), ((F.col("id") % 100) / 100.0 - 0.3).alias("g"))
     kept = ob.goss_weights(df, "g", 0.2, 0.1, 1)
@@ -157,7 +228,8 @@ def test_search_picks_the_least_loss_and_falls_back(spark, rows):
     space = {"max_depth": ("integer", 1, 3), "learning_rate": ("uniform", 0.2, 0.6)}
     found = ob.random_search(rows, ["c", "x", "noise"], 3, ob.replace(SMALL, rounds=1), space=space, threads=3)
     trials = found.trials.collect()
-    assert found.log_loss == min(r.log_loss for r in trials if not r.failed) and not found.retried
+    assert found.loss == min(r.loss for r in trials if not r.failed) and not found.retried
+    assert all(r.loss == pytest.approx(r.log_loss + r.random_score) and 0 < r.random_score < 1 for r in trials)
     log = ob.search_log(found.trials, "m").collect()
     assert len(log) == 3 and all(r.n_features == sum(t.feature_on) for r in log for t in trials if t.trial == r.trial)
     # leaves this large are impossible, so every trial predicts a constant and all fail
@@ -257,7 +329,7 @@ def test_rounds_fill_hidden_answers(spark):
     got = second.where("attribute_model = '104_1043'").join(truth, "uid").agg(F.avg("selected_value").alias("share"), F.avg("truth").alias("truth"), F.count("truth").alias("n")).first()
     assert got.n > 200
     assert abs(got.share - got.truth) < abs(1.0 - got.truth)
-    # everything is in the ledger: a second run fits nothing and returns the same rows
+    # everything is in the ledger and the journal: a second run fits nothing and returns the same rows
     ledger = spark.read.parquet(f"{root}/ledger").count()
     again = pr.run_round(spark, inputs, root, 0, config)
     assert again.count() == first.count() and spark.read.parquet(f"{root}/ledger").count() == ledger == 4
@@ -267,3 +339,42 @@ def test_rounds_fill_hidden_answers(spark):
     assert {r.data_slice for r in metrics.collect()} == {"1_train", "1_test", "1_validation"}
     report = pr.read_kind(spark, f"{root}/iteration_1", "distributions").where("value = 1").collect()
     assert all(0 <= r.share <= 1 and r.lower_bound_distribution <= r.upper_bound_distribution for r in report)
+
+
+def test_a_round_resumes_after_the_last_committed_model(spark, monkeypatch):
+    """The second fit fails; the next run keeps the first model and fits the others."""
+    s = Survey(spark, FOLDER)
+    labels = s.labels.select("uid", "wavekey", "attribute", "label", "kind")
+    plan = s.model_plan.where(F.col("attribute").isin("101", "103_1031", "104_1041", "104_1043"))
+    inputs = pr.RoundInputs(s.respondents, labels, plan, s.answer_codes, s.latent, ("ld_0", "ld_1"), MODELS)
+    config = pr.RoundConfig(params=ob.replace(SMALL, rounds=1), search_trials=0, reps=20, evals=3, threads=1)
+    assert set(pr.core_levels(inputs, config)) == {"101", "103_1031", "103_1032"} & set(MODELS) | {a for a in ("104_1041", "104_1043") if labels.where(F.col("attribute") == a).count() > 0.6 * s.respondents.count()}
+    root, fitted = new_folder(spark, "rounds"), []
+    real = pr.fit_attribute
+
+    def failing(frame, attribute, *args):
+        fitted.append(attribute)
+        if len(fitted) == 2:
+            raise RuntimeError("lost")
+        return real(frame, attribute, *args)
+
+    monkeypatch.setattr(pr, "fit_attribute", failing)
+    with pytest.raises(RuntimeError):
+        pr.run_round(spark, inputs, root, 0, config)
+    assert fitted == ["104_1041", "104_1043"] and not tables.path_exists(spark, f"{root}/ledger")
+    journal = pr.read_journal(spark, f"{root}/iteration_0/journal", 0).collect()
+    assert [r.model for r in journal] == ["104_1041"]
+    before = pr.read_kind(spark, f"{root}/iteration_0", "scores").select("attribute_model", "uid", "probs").collect()
+    done = pr.run_round(spark, inputs, root, 0, config)
+    assert fitted == ["104_1041", "104_1043", "104_1043"]
+    assert {r.attribute_model for r in done.select("attribute_model").distinct().collect()} == {"104_1041", "104_1043"}
+    after = pr.read_kind(spark, f"{root}/iteration_0", "scores").where("attribute_model = '104_1041'").select("attribute_model", "uid", "probs").collect()
+    assert sorted(before) == sorted(after)
+    ledger = spark.read.parquet(f"{root}/ledger").collect()
+    assert sorted(r.model for r in ledger) == ["104_1041", "104_1043"] and journal[0].finish_time in {r.finish_time for r in ledger}
+    for kind in ("featureImportance", "metrics", "distributions"):
+        assert pr.read_kind(spark, f"{root}/iteration_0", kind).select("attribute_model").distinct().count() == 2
+    # a redo fits both again and leaves one set of results
+    n = done.count()
+    pr.run_round(spark, inputs, root, 0, config, redo=True)
+    assert fitted[3:] == ["104_1041", "104_1043"] and pr.read_predictions(spark, f"{root}/iteration_0").count() == n
