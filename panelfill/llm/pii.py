@@ -12,6 +12,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 GENERALISE = 0.85
 REMOVE = 0.95
+FILTER_BITS = 22
 
 # The base patterns, written so that no text makes them go back: a run of characters that a match may begin with
 # is entered at its first character or where the last match ended.
@@ -88,13 +89,49 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words, _term), lambda t: t.isNotNull()))
 
 
+def _bits(wanted: DataFrame, column: str) -> DataFrame:
+    """A filter of 2 ** ``FILTER_BITS`` bits of the column's values: (word, bits), at most 2 ** (FILTER_BITS - 6) rows at any size."""
+    place = wanted.select(F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).alias("place"))
+    return place.groupBy(F.shiftright("place", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("_bits"))
+
+
+def _passing(rows: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean: false only where the column's value is not in ``wanted``; the fuller the filter, the more pass."""
+    place = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    joined = rows.join(F.broadcast(_bits(wanted, column)), F.shiftright(place, 6) == F.col("_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.getbit("_bits", place.bitwiseAND(F.lit(63))) == 1, F.lit(False))).drop("_word", "_bits")
+
+
+def _log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!, by Stirling's series beyond 20."""
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(
+        n * F.log(n.cast("double")) - n + 0.5 * F.log(6.283185307179586 * n) + 1 / (12 * n)
+    )
+
+
+def disclosure(total: int, incidences: int) -> Column:
+    """How much of a protected value's information a term gives away, from ``both``, ``n_term``, ``n_value``, ``alike``, ``terms``, ``held``.
+
+    A term of ``n_term`` documents meets the value's documents, which hold ``held`` of all ``incidences`` of a term in a
+    document, ``both`` times by chance with a Poisson probability; ``terms`` terms of that many documents exist, so that
+    probability times ``terms`` of them are expected to, with two standard deviations above, and ``alike`` of them do. The share
+    beyond chance, times both / n_term, is a lower bound of the probability of the value where the term stands; the
+    result is its pointwise mutual information over the information of the value, 0 to 1.
+    """
+    rate = F.col("n_term") * F.col("held") / F.lit(float(max(1, incidences)))
+    expected = F.col("terms") * F.exp(F.col("both") * F.log(rate) - rate - _log_factorial(F.col("both")))
+    chance = F.least(F.lit(1.0), (expected + 2 * F.sqrt(expected)) / F.col("alike"))
+    probability = (1 - chance) * F.col("both") / F.col("n_term")
+    worth = F.log2(F.lit(float(total)) / F.col("n_value"))
+    return F.when((worth > 0) & (probability > 0), F.greatest(F.lit(0.0), 1 + F.log2(probability) / worth)).otherwise(0.0)
+
+
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(term, disclosure): how much of a protected value's information a term gives away at most, over all documents.
 
-    disclosure = pointwise mutual information of term and value / information of the value, both from numbers of
-    documents; the term counts as seen in one more document, without the value, so that few documents say less than
-    many. Terms are taken from the whole texts that hold the value. Values of the same documents share their numbers,
-    and are counted as one.
+    Numbers of documents are counted over whole texts; see :func:`disclosure` for what they say. One chance meeting says
+    nothing where such meetings are as many as chance gives, and something where they are not; repeated ones say much. Values
+    of the same documents share their numbers, and are counted as one.
     """
     holds = stored(found.select("key", F.explode("mentions").alias("m")).select("key", "m.value").distinct(), "holds")
     values = holds.groupBy("value").agg(F.count("*").alias("n_value"), F.bit_xor(F.xxhash64("key")).alias("same"))
@@ -104,20 +141,28 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = pairs.select(F.explode("alike").alias("v"), "terms").select("v.*", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("n_value", "same", "term").agg(F.count("*").alias("both"))
     seen = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.agg(F.count("*").alias("total"))
-    counted = pairs.join(seen, "term").crossJoin(F.broadcast(total))
-    gain = F.log2(F.col("total") * F.col("both") / ((F.col("n_term") + 1) * F.col("n_value")))
-    worth = F.log2(F.col("total") / F.col("n_value"))
-    told = counted.select("term", F.when(worth > 0, gain / worth).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
-    return told.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    seen = stored(seen, "seen")
+    spectrum = stored(seen.groupBy("n_term").agg(F.count("*").alias("terms")), "spectrum")
+    incidences = spectrum.agg(F.sum(F.col("n_term") * F.col("terms"))).first()[0] or 0
+    counted = stored(pairs.join(seen, "term"), "counted")
+    held = counted.groupBy("same").agg(F.sum("both").alias("held"))
+    kinds = counted.groupBy("same", "n_value", "both", "n_term").agg(F.count("*").alias("alike"))
+    kinds = kinds.join(spectrum, "n_term").join(held, "same").withColumn("disclosure", disclosure(docs.count(), incidences))
+    told = stored(kinds.filter(F.col("disclosure") >= GENERALISE).select("same", "n_value", "both", "n_term", "disclosure"), "kinds")
+    return counted.join(told, ["same", "n_value", "both", "n_term"]).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def _placed(docs: DataFrame, telling: DataFrame) -> DataFrame:
-    """(key, terms): every place of a telling term, in all documents."""
+    """(key, terms): every place of a telling term, in all documents.
+
+    Terms, and then texts, are chosen by a filter where they are read, so that only few of them are shuffled.
+    """
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    hits = texts.select("key", F.explode(_terms(F.col("text"))).alias("term")).join(telling, "term")
+    words = texts.select("key", F.explode(_terms(F.col("text"))).alias("term"))
+    hits = _passing(words, "term", telling, "maybe").filter("maybe").select("key", "term").join(telling, "term")
     hits = stored(hits.groupBy("key").agg(F.collect_set(F.struct("term", "disclosure")).alias("hits")), "hits")
-    chosen = texts.join(hits, "key").dropDuplicates(["key"]).withColumn("told", F.map_from_entries("hits"))
+    chosen = _passing(texts, "key", hits, "maybe").filter("maybe").drop("maybe").join(hits, "key").dropDuplicates(["key"])
+    chosen = chosen.withColumn("told", F.map_from_entries("hits"))
     spans = _spans(F.col("text"), WORD, lambda m: F.coalesce(F.map_contains_key("told", F.coalesce(_term(m), F.lit(""))), F.lit(False)))
     action = lambda s: F.when(F.element_at("told", _term(s["match"])) >= REMOVE, "remove").otherwise("generalise")
     return chosen.select("key", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), action(s).alias("action"))).alias("terms"))
@@ -144,7 +189,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("mentions", F.concat(*map(_mentions, KINDS)))
     rows = rows.select("doc_id", "key", *KINDS, "mentions", F.when(F.size("mentions") > 0, F.col("text")).alias("text"))
     rows = stored(rows, "personal")
-    found = rows.filter(F.size("mentions") > 0).dropDuplicates(["key"])
+    found = rows.filter(F.size("mentions") > 0).select("key", "mentions", "text").dropDuplicates(["key"])
     spans = _placed(docs, stored(disclosing(docs, found), "telling"))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
     joined = rows.join(spans, "key", "left").withColumn("terms", F.coalesce("terms", none))
@@ -160,9 +205,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Base spans are the patterns' leftmost matches, by kind; the method adds spans of kind ``term``: words whose
-    co-occurrence with a protected value over the whole corpus gives away at least ``GENERALISE`` of its information,
-    wherever they stand. They are generalised, or removed from ``REMOVE`` on. Values and terms are counted by aggregates
-    that combine in the tasks first; pairs are formed of a value and the terms of the texts that hold it.
+    co-occurrence with a protected value over the whole corpus, beyond what chance gives, gives away at least ``GENERALISE``
+    of its information (:func:`disclosure`), wherever they stand. They are generalised, or removed from ``REMOVE`` on. Values
+    and terms are counted by aggregates that combine in the tasks first; pairs are formed of a value and the terms of the
+    texts that hold it. What is broadcast are filters of 2 ** ``FILTER_BITS`` bits, 1 MB at any size of the input.
 
     Null text counts as empty and has no spans. Rows that repeat doc_id and text count once as evidence and get the same
     answer each. An empty table gives an empty table; further columns are ignored.
@@ -182,7 +228,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     Spans that overlap leave the text together, under the name of the one that starts first, the longer of two that
     start together. All columns and all
-    rows of ``docs`` are kept; a null text stays null.
+    rows of ``docs`` are kept; a null text stays null. Only documents that have a span, and few others that a filter lets
+    pass, are shuffled.
     """
     marked = find_spans(docs.select("doc_id", "text")).select(
         "key",
@@ -193,13 +240,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
             )
         ).alias("marks"),
     )
-    marked = marked.filter(F.size("marks") > 0).dropDuplicates(["key"]).toDF("_mark_key", "_marks")
-    rows = docs.join(marked, F.xxhash64(docs["doc_id"], docs["text"]) == marked["_mark_key"], "left")
+    marked = stored(marked.filter(F.size("marks") > 0).dropDuplicates(["key"]), "marks")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = _passing(rows, "key", marked, "maybe")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(state, m):
         part = F.substring(F.col("text"), state["at"] + 1, m["start"] - state["at"])
         return F.when(m["start"] < state["at"], F.struct(F.greatest(state["at"], -m["back"]).alias("at"), state["parts"].alias("parts"))).otherwise(F.struct((-m["back"]).alias("at"), F.concat(state["parts"], F.array(part, m["put"])).alias("parts")))
 
-    clean = F.aggregate("_marks", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.col("_marks").isNotNull(), clean).otherwise(F.col("text"))).select(docs.columns)
+    clean = F.aggregate("marks", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    hit = rows.filter("maybe").join(marked, "key", "left")
+    hit = hit.select(F.when(F.col("marks").isNotNull(), F.col("row").withField("text", clean)).otherwise(F.col("row")).alias("row"))
+    return rows.filter("NOT maybe").select("row").unionByName(hit).select("row.*")

@@ -1,11 +1,14 @@
 """Quality, fingerprints, pages, personal data and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -145,6 +148,61 @@ def test_terms_count_in_whole_documents_and_once_for_each(spark, table):
     assert spans[21] == ["Quint"] and not any(spans[100 + i] for i in range(300))
 
 
+def test_disclosure_like_a_plain_count(spark, table):
+    r = random.Random(11)
+    word = lambda: f"{r.choice('bcdfgklm')}{r.choice('aeiou')}{r.choice('klmn')}{int(r.expovariate(0.02))}"
+    rows = []
+    for i in range(250):
+        words = [word() for _ in range(r.randrange(20, 120))]
+        if i % 6 == 0:
+            who = r.randrange(12)
+            words += [f"Name{who}", f"mail{who}@x.org"] + [f"Town{who}"] * (r.random() < 0.8)
+        if r.random() < 0.01:
+            words.append(f"Name{r.randrange(12)}")
+        rows.append((i, " ".join(words)))
+    terms = {i: {w for w in (re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", w) for w in t.lower().split()) if len(w) >= 3} for i, t in rows}
+    n_term = Counter(t for ts in terms.values() for t in ts)
+    spectrum, incidences = Counter(n_term.values()), sum(n_term.values())
+    docs_of = defaultdict(set)
+    for i, t in rows:
+        for m in re.findall(BASE["email"].replace("(", "(?:"), t):
+            docs_of[m].add(i)
+    want: dict = {}
+    for docs in set(map(frozenset, docs_of.values())):
+        both = Counter(t for i in docs for t in terms[i])
+        held = sum(both.values())
+        kinds = Counter((j, n_term[t]) for t, j in both.items())
+        for t, j in both.items():
+            k = n_term[t]
+            rate = k * held / incidences
+            expected = spectrum[k] * math.exp(-rate) * rate**j / math.factorial(j)
+            p = (1 - min(1, (expected + 2 * math.sqrt(expected)) / kinds[j, k])) * j / k
+            if p > 0:
+                want[t] = max(want.get(t, 0), 1 + math.log2(p) / math.log2(len(rows) / len(docs)))
+    want = {t: x for t, x in want.items() if x >= pii.GENERALISE}
+    docs = table(rows)
+    found = pii.base_spans(docs).select("text", F.xxhash64("doc_id", "text").alias("key"), F.concat(*map(pii._mentions, pii.KINDS)).alias("mentions")).filter(F.size("mentions") > 0)
+    got = {x.term: x.disclosure for x in pii.disclosing(docs, found).collect()}
+    assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    assert sum(t.startswith("name") for t in want) > 6 and sum(not t.startswith(("name", "town", "mail")) for t in want) < 3
+    spans = {x.doc_id: x.spans for x in pii.personal_data(docs).collect()}
+    for i, t in rows:
+        hidden = [m.span() for m in re.finditer(r"\S+", t) if m.group().lower() in want and "@" not in m.group()]
+        assert [s for s in spans[i].split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b in hidden]
+
+
+def test_personal_data_with_clashing_names_nulls_and_repeats(spark):
+    inner = ["_marks", "_mark_key", "key", "row", "maybe", "marks", "_word", "_bits", "email", "terms"]
+    rows = [(1, "to a@b.org"), (1, "to a@b.org"), (None, "from 10.0.0.1 on"), (None, None), (2, ""), (3, "x" * 200_000 + " a@b.org")]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in inner]) for i, t in rows], ["doc_id", "text", *inner])
+    clean = pii.sanitise(docs)
+    text = {"to a@b.org": "to [EMAIL]", "from 10.0.0.1 on": "from [IP] on", rows[-1][1]: "x" * 200_000 + " [EMAIL]"}
+    assert clean.columns == docs.columns
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted(((i, text.get(t, t), *[f"{c}{i}" for c in inner]) for i, t in rows), key=repr)
+    assert sorted((x.doc_id or 0, x.n_email, x.n_ip) for x in pii.personal_data(docs).collect()) == [(0, 0, 0), (0, 0, 1), (1, 1, 0), (1, 1, 0), (2, 0, 0), (3, 1, 0)]
+    assert pii.sanitise(docs.limit(0)).count() == 0
+
+
 def test_overlapping_spans_leave_together(spark, table):
     got = pii.sanitise(table([(1, "call +49 30 1234567bob@x.org now"), (2, "a@b.org and 10.0.0.1")])).collect()
     assert {x.doc_id: x.text for x in got} == {1: "call [PHONE] now", 2: "[EMAIL] and [IP]"}
