@@ -29,10 +29,6 @@ def argmax(array: str) -> str:
     return f"(list_position({array}, list_max({array})) - 1)"
 
 
-_probs5 = ", ".join(f"(floor({u('p.uid', 'm.attribute_model', str(k))} * 1000) + 1) / 1001.0" for k in range(5))
-_p1 = f"(floor({u('p.uid', 'm.attribute_model', '1')} * 1000) + 1) / 1001.0::DOUBLE"
-_probs5 = _probs5.replace("1001.0", "1001.0::DOUBLE")
-
 VIEWS = {
     "respondents": """
         SELECT CAST(o_orderkey AS BIGINT) AS uid, CAST(year(o_orderdate) AS VARCHAR) AS wavekey,
@@ -111,11 +107,24 @@ VIEWS = {
         LEFT JOIN (SELECT attribute, count(DISTINCT uid) AS n_respondents FROM matrix GROUP BY attribute) n ON n.attribute = t.attribute""",
     "model_sizes": """
         SELECT * FROM (VALUES ('101', 5), ('102', 5), ('103_1031', 2), ('104_1041', 2), ('104_1042', 2), ('104_1043', 2)) m(attribute_model, num_class)""",
-    "scores": f"""
+    "alike": """
         SELECT p.uid, p.set_uid, p.wavekey, CAST(p.respondentweight AS DOUBLE) AS weight, m.attribute_model, m.num_class, l.label,
-               CASE WHEN m.num_class = 5 THEN [{_probs5}] ELSE [1.0::DOUBLE - {_p1}, {_p1}] END AS probs
+               CASE WHEN m.attribute_model = '101' THEN -1 ELSE coalesce(a.c101, -1) END AS c101,
+               CASE WHEN m.attribute_model = '103_1031' THEN -1 ELSE coalesce(a.c103, -1) END AS c103
         FROM respondents p CROSS JOIN model_sizes m
+        LEFT JOIN (SELECT uid, max(CASE WHEN attribute = '101' THEN label END) AS c101, max(CASE WHEN attribute = '103_1031' THEN label END) AS c103
+                   FROM coded_labels GROUP BY uid) a ON a.uid = p.uid
         LEFT JOIN coded_labels l ON l.uid = p.uid AND l.attribute = m.attribute_model""",
+    "class_counts": """
+        SELECT attribute_model, wavekey, c101, c103, count(*) AS n, [count(*) FILTER (label = 0), count(*) FILTER (label = 1), count(*) FILTER (label = 2),
+               count(*) FILTER (label = 3), count(*) FILTER (label = 4)] AS seen
+        FROM alike WHERE set_uid = 'train' AND label IS NOT NULL GROUP BY ALL""",
+    "scores": """
+        SELECT uid, set_uid, wavekey, weight, attribute_model, num_class, label,
+               CASE WHEN num_class = 2 THEN [1.0::DOUBLE - smooth[2], smooth[2]] ELSE smooth END AS probs
+        FROM (SELECT a.*, list_transform(range(1, a.num_class + 1), lambda k: CAST(coalesce(s.seen[k], 0) + 1 AS DOUBLE) / CAST(coalesce(s.n, 0) + a.num_class AS DOUBLE)) AS smooth
+              FROM alike a LEFT JOIN class_counts s
+                ON s.attribute_model = a.attribute_model AND s.wavekey = a.wavekey AND s.c101 = a.c101 AND s.c103 = a.c103)""",
     "predictions": f"""
         SELECT uid, set_uid, wavekey, attribute_model, label, CAST({argmax('probs')} AS INTEGER) AS max_prediction,
                CAST(coalesce(label, {argmax('probs')}) AS INTEGER) AS selected_value
@@ -268,7 +277,7 @@ def r6(column: str | Column, name: str | None = None) -> Column:
 
 
 def predictions_of(s: Survey) -> DataFrame:
-    """Predictions made of the hash-drawn scores: most probable class, observed label first."""
+    """Predictions made of the scores: most probable class, observed label first."""
     from panelfill.functions.survey import argmax_class, observed_wins
 
     best = argmax_class(F.col("probs"))

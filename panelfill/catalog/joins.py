@@ -179,6 +179,15 @@ def e8(s):
     return osa.random_sample(s.respondents.select("uid", "wavekey"), 2000, ["uid"], seed=8)
 
 
+@query(
+    "e8_shuffled",
+    f"SELECT uid, wavekey, row_number() OVER (ORDER BY {hashed('uid', '8')}, uid) - 1 AS position FROM respondents",
+)
+def e8_shuffled(s):
+    """All respondents in a random order."""
+    return osa.shuffled(s.respondents.select("uid", "wavekey"), ["uid"], seed=8).select("uid", "wavekey", "position")
+
+
 @query(
     "e9_pick_covariates",
     f"""SELECT attribute FROM (SELECT attribute FROM (SELECT DISTINCT attribute FROM model_plan WHERE n_respondents > 0 AND needs_imputation)
@@ -188,12 +197,3 @@ def e8(s):
 def e9(s):
     plan = s.model_plan.where((F.col("n_respondents") > 0) & F.col("needs_imputation"))
     return osa.pick_covariates(plan, "102", ["101", "103_1031"], 2, seed=9)
-
-
-@query(
-    "e10_top_k",
-    "SELECT uid, wavekey, CAST(respondentweight AS DOUBLE) AS weight FROM respondents ORDER BY respondentweight DESC, uid LIMIT 250",
-)
-def e10(s):
-    rows = s.respondents.select("uid", "wavekey", F.col("respondentweight").cast("double").alias("weight"))
-    return osa.top_k(rows, "weight", 250, ["uid"])

@@ -50,7 +50,19 @@ def scored_rows(s, attribute="104_1043", k=1):
     return rows.withColumns({"y": (F.col("label") == k).cast("double"), "is_train": F.when(used, F.col("set_uid") == "train")})
 
 
-@query("g3_assemble_features")
+@query(
+    "g3_assemble_features",
+    """WITH used AS (SELECT attribute FROM matrix WHERE attribute IN (SELECT attribute FROM model_plan WHERE proposed_round = 0) AND attribute IN (SELECT attribute_model FROM model_sizes)
+                     GROUP BY attribute HAVING count(DISTINCT uid) > 0.6 * (SELECT count(DISTINCT uid) FROM matrix))
+       SELECT r.uid, r.set_uid, u.attribute AS feature, round(CAST(coalesce(l.label + 1, 0) AS DOUBLE), 9) AS value
+       FROM respondents r CROSS JOIN used u LEFT JOIN coded_labels l ON l.uid = r.uid AND l.attribute = u.attribute
+       UNION ALL
+       SELECT r.uid, r.set_uid, v.feature, round(v.value, 9) FROM respondents r LEFT JOIN latent l ON l.uid = r.uid
+       CROSS JOIN (SELECT avg(ld_0) AS m0, avg(ld_1) AS m1, avg(ld_2) AS m2, avg(ld_3) AS m3 FROM latent) m,
+       LATERAL (SELECT unnest(['ld_0', 'ld_0_missing', 'ld_1', 'ld_1_missing', 'ld_2', 'ld_2_missing', 'ld_3', 'ld_3_missing']) AS feature,
+                       unnest([coalesce(l.ld_0, m0), CAST(l.ld_0 IS NULL AS DOUBLE), coalesce(l.ld_1, m1), CAST(l.ld_1 IS NULL AS DOUBLE),
+                               coalesce(l.ld_2, m2), CAST(l.ld_2 IS NULL AS DOUBLE), coalesce(l.ld_3, m3), CAST(l.ld_3 IS NULL AS DOUBLE)]) AS value) v""",
+)
 def g3(s):
     """First-round features: attributes that more than 60 % answered, and the latent layer."""
     from pyspark.ml.functions import vector_to_array
@@ -58,16 +70,101 @@ def g3(s):
     spec = FeatureSpec(covered_levels(s.labels, 0.6, MODELS, s.model_plan.where("proposed_round = 0")), LATENT)
     long = feature_frame(s, spec).select("uid", "set_uid", F.posexplode(vector_to_array("features")).alias("position", "value"))
     names = s.spark.createDataFrame(pa.table({"position": pa.array(range(len(spec.names)), pa.int32()), "feature": spec.names}))
-    return long.join(names, "position").select("uid", "set_uid", "feature", r6("value"))
+    return long.join(names, "position").select("uid", "set_uid", "feature", F.round("value", 9).alias("value"))
+
 
+_g = "((2 * y - 1) * (1 - q) ** 0.5::DOUBLE * (0.5::DOUBLE * q * ln(q) + q - 1))"
 
-@query("g6_goss_weights")
+
+@query(
+    "g6_goss_weights",
+    f"""WITH grads AS (SELECT uid, attribute_model, value, y, {_g} AS g FROM (SELECT *, CASE WHEN y = 1 THEN p ELSE 1 - p END AS q FROM class_scores WHERE set_uid = 'train')),
+        binned AS (SELECT *, CAST(floor(log2(greatest(abs(g), 2.0::DOUBLE ** -64)) * 64) AS INTEGER) AS bin FROM grads),
+        places AS (SELECT *, floor(sum(n) OVER (PARTITION BY attribute_model, value) * 0.2::DOUBLE)
+                         - coalesce(sum(n) OVER (PARTITION BY attribute_model, value ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open
+                   FROM (SELECT attribute_model, value, bin, count(*) AS n FROM binned GROUP BY ALL)),
+        edges AS (SELECT attribute_model, value, max(bin) AS edge, arg_max(open / n, bin) AS share FROM places WHERE open >= 0 AND open <= n GROUP BY ALL),
+        sided AS (SELECT b.*, b.bin > e.edge OR (b.bin = e.edge AND {u('b.uid', '42', "'edge'")} < e.share) AS large
+                  FROM binned b JOIN edges e ON e.attribute_model = b.attribute_model AND e.value = b.value)
+        SELECT uid, attribute_model, value, y, round(g, 6) AS g, CASE WHEN large THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS goss_weight
+        FROM sided WHERE large OR {u('uid', '42', "'goss'")} < 0.125""",
+)
 def g6(s):
-    """Gradients of the hash-drawn scores, reduced to the large ones and a weighted sample."""
-    train = osc.class_scores(ob.split_rows(s.scores, "train")).where((F.col("attribute_model") == "102") & (F.col("value") == 0))
+    """Gradients of all models and classes, reduced to the large ones and a weighted sample."""
+    train = osc.class_scores(ob.split_rows(s.scores, "train"))
     grads = train.withColumn("g", focal.focal_grad(F.col("y"), F.col("p"), 0.5))
     rate = ob.effective_other_rate(0.2, 0.125)
-    return ob.goss_weights(grads, "g", 0.2, rate, 42).select("uid", "y", r6("g"), "goss_weight")
+    kept = ob.goss_weights(grads, "g", 0.2, rate, 42, ["attribute_model", "value"])
+    return kept.select("uid", "attribute_model", "value", "y", r6("g"), F.round("goss_weight", 9).alias("goss_weight"))
+
+
+# one tree of one split on the two answers that everybody gave; without focusing its parts have closed forms
+ONE_SPLIT = ob.BoostParams(rounds=1, max_depth=1, learning_rate=0.3, gamma=0.0)
+SPLIT_SQL = """
+    cells AS (SELECT r.uid, r.set_uid, l.label AS y, a.label + 1 AS f0, b.label + 1 AS f1 FROM respondents r
+              LEFT JOIN coded_labels l ON l.uid = r.uid AND l.attribute = '104_1043'
+              JOIN coded_labels a ON a.uid = r.uid AND a.attribute = '101' JOIN coded_labels b ON b.uid = r.uid AND b.attribute = '103_1031'),
+    train AS (SELECT * FROM cells WHERE set_uid = 'train' AND y IS NOT NULL),
+    start AS (SELECT s, 1 / (1 + exp(-s)) AS p, 1 / (1 + exp(-s)) * (1 - 1 / (1 + exp(-s))) AS h FROM (SELECT ln(sum(y)::DOUBLE / sum(1 - y)) AS s FROM train)),
+    levels AS (SELECT f, v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS pos FROM (SELECT 0 AS f, f0 AS v, y FROM train UNION ALL SELECT 1, f1, y FROM train) GROUP BY f, v),
+    cuts AS (SELECT *, sum(n) OVER w AS nl, sum(pos) OVER w AS pl, sum(n) OVER (PARTITION BY f) AS na, sum(pos) OVER (PARTITION BY f) AS pa,
+                    row_number() OVER (PARTITION BY f ORDER BY pos / n, v) AS place
+             FROM levels WINDOW w AS (PARTITION BY f ORDER BY pos / n, v ROWS UNBOUNDED PRECEDING)),
+    cut AS (SELECT *, pl * pl / nl + (pa - pl) * (pa - pl) / (na - nl) - pa * pa / na AS gain FROM cuts WHERE nl < na ORDER BY gain DESC LIMIT 1),
+    stepped AS (SELECT c.*, CASE WHEN w.v IS NOT NULL THEN (k.pl / k.nl - t.p) / t.h ELSE ((k.pa - k.pl) / (k.na - k.nl) - t.p) / t.h END AS step
+                FROM cells c CROSS JOIN cut k CROSS JOIN start t
+                LEFT JOIN (SELECT u.v FROM cuts u JOIN cut k ON u.f = k.f AND u.place <= k.place) w ON w.v = CASE k.f WHEN 0 THEN c.f0 ELSE c.f1 END),
+    moved AS (SELECT s.*, 1 / (1 + exp(-(t.s + 0.3::DOUBLE * s.step))) AS p FROM stepped s CROSS JOIN start t)"""
+
+
+def one_split(s):
+    """Respondents with the two answers as levels, and the model of one split."""
+    spec = FeatureSpec(CORE)
+    own = s.labels.where(F.col("attribute") == "104_1043").select("uid", "label")
+    rows = feature_frame(s, spec).join(own, "uid", "left")
+    used = F.col("set_uid").isin("train", "test") & F.col("label").isNotNull()
+    rows = rows.withColumns({"y": F.col("label").cast("double"), "is_train": F.when(used, F.col("set_uid") == "train")})
+    return rows, ob.fit_newton_boost(rows, ONE_SPLIT)
+
+
+@query(
+    "g7_one_split",
+    f"""WITH {SPLIT_SQL}
+        SELECT f0, f1, count(*) FILTER (set_uid = 'train' AND y IS NOT NULL) AS n_train, round(max(step), 6) AS step,
+               (SELECT round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) FROM moved WHERE set_uid = 'train' AND y IS NOT NULL) AS train_loss,
+               (SELECT round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 6) FROM moved WHERE set_uid = 'test' AND y IS NOT NULL) AS test_loss
+        FROM moved GROUP BY f0, f1""",
+)
+def g7_one_split(s):
+    """Newton step of every pair of answers after one round, and the losses."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows, model = one_split(s)
+    scored, step = model.steps[0].values(rows, "features")
+    level = vector_to_array("features")
+    train, test = model.history[0]
+    return scored.groupBy(level[0].cast("int").alias("f0"), level[1].cast("int").alias("f1")).agg(
+        F.count_if("is_train").alias("n_train"), r6(F.max(step), "step"), r6(F.lit(train), "train_loss"), r6(F.lit(test), "test_loss")
+    )
+
+
+@query("g8_one_split_scores", f"WITH {SPLIT_SQL} SELECT uid, set_uid, round(p, 6) AS p FROM moved")
+def g8_one_split(s):
+    """Probabilities of every respondent, from the state of the fit."""
+    rows, model = one_split(s)
+    return ob.state_proba({1: model}, rows, binomial=True).select("uid", "set_uid", r6(F.col("probs")[1], "p"))
+
+
+@query(
+    "g9_one_split_importance",
+    f"""WITH {SPLIT_SQL}
+        SELECT '104_1043' AS attribute_model, 1 AS svkey_index, CASE x.f WHEN 0 THEN '101' ELSE '103_1031' END AS feature, 1 AS best_iteration, i.importance_type,
+               CASE WHEN x.f <> k.f THEN 0.0 WHEN i.importance_type = 'split' THEN 1.0 ELSE round(k.gain / t.h, 6) END::DOUBLE AS importance
+        FROM (VALUES (0), (1)) x(f) CROSS JOIN cut k CROSS JOIN start t CROSS JOIN (VALUES ('split'), ('gain')) i(importance_type)""",
+)
+def g9_one_split(s):
+    _, model = one_split(s)
+    return ob.feature_importance(s.spark, {("104_1043", 1): model}, FeatureSpec(CORE).names).withColumn("importance", r6("importance"))
 
 
 @query("g7_fit_newton_boost")

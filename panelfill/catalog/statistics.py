@@ -15,10 +15,12 @@ from panelfill.operators import scores as osc
 from panelfill.operators import shares as osh
 from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.session import stored
+from panelfill.sources.survey import MODELS
 
 REPS = 100
 EVALS = 8
 G3 = "attribute_model, value, set_uid"
+LATENT = ("ld_0", "ld_1", "ld_2", "ld_3")
 
 
 def labeled(s):
@@ -45,18 +47,19 @@ def f1(s):
 def long_features(s):
     """Observed labels and the non-negative latent values as one long table."""
     answers = s.labels.select("uid", F.col("attribute").alias("feature"), F.col("label").cast("double").alias("value"))
-    latent = s.latent.unpivot(["uid"], ["ld_0", "ld_1", "ld_2"], "feature", "value").where(F.col("value").isNotNull())
+    latent = s.latent.unpivot(["uid"], list(LATENT), "feature", "value").where(F.col("value").isNotNull())
     return answers.unionByName(latent)
 
 
 FEATURES = """(SELECT uid, attribute AS feature, CAST(label AS DOUBLE) AS value FROM coded_labels
      UNION ALL SELECT uid, 'ld_0', ld_0 FROM latent WHERE ld_0 IS NOT NULL
      UNION ALL SELECT uid, 'ld_1', ld_1 FROM latent WHERE ld_1 IS NOT NULL
-     UNION ALL SELECT uid, 'ld_2', ld_2 FROM latent WHERE ld_2 IS NOT NULL)"""
+     UNION ALL SELECT uid, 'ld_2', ld_2 FROM latent WHERE ld_2 IS NOT NULL
+     UNION ALL SELECT uid, 'ld_3', ld_3 FROM latent WHERE ld_3 IS NOT NULL)"""
 
 
 def chi2_sql(targets: str) -> str:
-    return f"""(SELECT t.attribute_model, t.feature, sum((coalesce(o.observed, 0) - p.prior * t.total) ** 2 / nullif(p.prior * t.total, 0)) AS chi2
+    return f"""(SELECT t.attribute_model, t.feature, count(*) - 1 AS df, sum((coalesce(o.observed, 0) - p.prior * t.total) ** 2 / nullif(p.prior * t.total, 0)) AS chi2
         FROM (SELECT y.attribute_model, f.feature, sum(f.value) AS total FROM {FEATURES} f JOIN {targets} y ON y.uid = f.uid GROUP BY ALL) t
         JOIN (SELECT attribute_model, label, n / sum(n) OVER (PARTITION BY attribute_model) AS prior
               FROM (SELECT attribute_model, label, count(*) AS n FROM {targets} GROUP BY ALL)) p ON p.attribute_model = t.attribute_model
@@ -65,41 +68,46 @@ def chi2_sql(targets: str) -> str:
         GROUP BY t.attribute_model, t.feature)"""
 
 
-OBSERVED = "(SELECT uid, attribute AS attribute_model, label FROM coded_labels WHERE attribute IN ('102', '104_1041'))"
-FINAL = "(SELECT uid, attribute_model, selected_value AS label FROM predictions WHERE attribute_model IN ('102', '104_1041'))"
+OBSERVED = "(SELECT uid, attribute AS attribute_model, label FROM coded_labels WHERE attribute IN (SELECT attribute_model FROM model_sizes))"
+FINAL = "(SELECT uid, attribute_model, selected_value AS label FROM predictions)"
+
+# upper tail of chi-square for 1 to 4 degrees of freedom: closed forms, and the series of the error function with positive terms
+_x = "(chi2 / 2)"
+_erfc = f"""(CASE WHEN {_x} > 30 THEN 0 WHEN {_x} <= 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-{_x}) * list_sum(list_transform(range(0, 300),
+    lambda n: exp(2 * n * ln(2.0::DOUBLE) + (2 * n + 1) * ln(sqrt({_x})) + lgamma(n + 1.0::DOUBLE) - lgamma(2 * n + 2.0::DOUBLE)))) END)"""
+P_VALUE = f"""round(CASE df WHEN 1 THEN {_erfc} WHEN 2 THEN exp(-{_x}) WHEN 3 THEN {_erfc} + 2 * sqrt({_x} / pi()) * exp(-{_x})
+    WHEN 4 THEN exp(-{_x}) * (1 + {_x}) END, 6) AS p_value"""
 
 
 def targets(s):
-    return s.labels.where(F.col("attribute").isin("102", "104_1041")).select("uid", F.col("attribute").alias("attribute_model"), "label")
+    return s.labels.where(F.col("attribute").isin(list(MODELS))).select("uid", F.col("attribute").alias("attribute_model"), "label")
 
 
-@query("f2_chi2_scores", f"SELECT attribute_model, feature, round(chi2, 4) AS chi2 FROM {chi2_sql(OBSERVED)}")
+@query("f2_chi2_scores", f"SELECT attribute_model, feature, round(chi2, 4) AS chi2, {P_VALUE} FROM {chi2_sql(OBSERVED)}")
 def f2(s):
-    return oa.chi2_scores(long_features(s), targets(s)).select("attribute_model", "feature", F.round("chi2", 4).alias("chi2"))
+    return oa.chi2_scores(long_features(s), targets(s)).select("attribute_model", "feature", F.round("chi2", 4).alias("chi2"), r6("p_value"))
 
 
 @query(
     "f3_chi2_before_after",
-    f"""SELECT 'preImputation' AS phase, attribute_model, feature, round(chi2, 4) AS chi2 FROM {chi2_sql(OBSERVED)}
-        UNION ALL SELECT 'postImputation', attribute_model, feature, round(chi2, 4) FROM {chi2_sql(FINAL)}""",
+    f"""SELECT 'preImputation' AS phase, attribute_model, feature, round(chi2, 4) AS chi2, {P_VALUE} FROM {chi2_sql(OBSERVED)}
+        UNION ALL SELECT 'postImputation', attribute_model, feature, round(chi2, 4), {P_VALUE} FROM {chi2_sql(FINAL)}""",
 )
 def f3(s):
-    final = predictions_of(s).where(F.col("attribute_model").isin("102", "104_1041")).select(
-        "uid", "attribute_model", F.col("selected_value").alias("label")
-    )
+    final = predictions_of(s).select("uid", "attribute_model", F.col("selected_value").alias("label"))
     return oa.chi2_before_after(long_features(s), targets(s), final).select(
-        "phase", "attribute_model", "feature", F.round("chi2", 4).alias("chi2")
+        "phase", "attribute_model", "feature", F.round("chi2", 4).alias("chi2"), r6("p_value")
     )
 
 
 @query(
     "f4_chi2_with_taxonomy",
-    f"""SELECT c.attribute_model, c.feature, round(c.chi2, 4) AS chi2, t.sakey, t.svkey, t.is_display_logic_sakey, t.min_level, t.proposed_round
-        FROM {chi2_sql(OBSERVED)} c JOIN taxonomy t ON t.attribute = c.feature""",
+    f"""SELECT c.attribute_model, c.feature, round(c.chi2, 4) AS chi2, c.p_value, t.sakey, t.svkey, t.is_display_logic_sakey, t.min_level, t.proposed_round
+        FROM (SELECT *, {P_VALUE} FROM {chi2_sql(OBSERVED)}) c JOIN taxonomy t ON t.attribute = c.feature""",
 )
 def f4(s):
     return oa.chi2_with_taxonomy(oa.chi2_scores(long_features(s), targets(s)), s.taxonomy).select(
-        "attribute_model", "feature", F.round("chi2", 4).alias("chi2"), "sakey", "svkey", "is_display_logic_sakey", "min_level", "proposed_round"
+        "attribute_model", "feature", F.round("chi2", 4).alias("chi2"), r6("p_value"), "sakey", "svkey", "is_display_logic_sakey", "min_level", "proposed_round"
     )
 
 
@@ -110,23 +118,56 @@ def latent_with_flag(s):
     return long.join(answered, "uid", "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
-@query(
-    "f5_ks_two_sample",
-    """SELECT feature, round(max(abs(f1 - f0)), 6) AS statistic, CAST(max(n1) AS BIGINT) AS n1, CAST(max(n0) AS BIGINT) AS n0
-       FROM (SELECT feature, sum(c1) OVER w / sum(c1) OVER (PARTITION BY feature) AS f1, sum(c0) OVER w / sum(c0) OVER (PARTITION BY feature) AS f0,
+def ks_sql(rows: str) -> str:
+    """KS statistic, sizes and asymptotic p-value per group of (feature, value, flag)."""
+    return f"""(SELECT *, CASE WHEN t < 0.04 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101),
+              lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * k * k * t * t))))) END AS p_value
+       FROM (SELECT *, statistic * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0)) AS t
+       FROM (SELECT feature, max(abs(f1 - f0)) AS statistic, CAST(max(n1) AS BIGINT) AS n1, CAST(max(n0) AS BIGINT) AS n0
+       FROM (SELECT feature, sum(c1) OVER w / nullif(sum(c1) OVER (PARTITION BY feature), 0) AS f1, sum(c0) OVER w / nullif(sum(c0) OVER (PARTITION BY feature), 0) AS f0,
                     sum(c1) OVER (PARTITION BY feature) AS n1, sum(c0) OVER (PARTITION BY feature) AS n0
-             FROM (SELECT feature, value, sum(answered) AS c1, sum(1 - answered) AS c0
-                   FROM (SELECT f.feature, f.value, CAST(m.uid IS NOT NULL AS INTEGER) AS answered
-                         FROM (SELECT uid, 'ld_0' AS feature, ld_0 AS value FROM latent UNION ALL SELECT uid, 'ld_1', ld_1 FROM latent
-                               UNION ALL SELECT uid, 'ld_2', ld_2 FROM latent UNION ALL SELECT uid, 'ld_3', ld_3 FROM latent) f
-                         LEFT JOIN (SELECT uid FROM matrix WHERE attribute = '102') m ON m.uid = f.uid
-                         WHERE f.value IS NOT NULL)
-                   GROUP BY feature, value)
-             WINDOW w AS (PARTITION BY feature ORDER BY value))
-       GROUP BY feature""",
-)
+             FROM (SELECT feature, value, sum(flag) AS c1, sum(1 - flag) AS c0 FROM {rows} GROUP BY feature, value)
+             WINDOW w AS (PARTITION BY feature ORDER BY value)) GROUP BY feature)))"""
+
+
+LATENT_FLAGGED = """(SELECT f.feature, f.value, CAST(m.uid IS NOT NULL AS INTEGER) AS flag
+         FROM (SELECT uid, 'ld_0' AS feature, ld_0 AS value FROM latent UNION ALL SELECT uid, 'ld_1', ld_1 FROM latent
+               UNION ALL SELECT uid, 'ld_2', ld_2 FROM latent UNION ALL SELECT uid, 'ld_3', ld_3 FROM latent) f
+         LEFT JOIN (SELECT uid FROM matrix WHERE attribute = '102') m ON m.uid = f.uid WHERE f.value IS NOT NULL)"""
+KS_LATENT = ks_sql(LATENT_FLAGGED)
+
+
+@query("f5_ks_two_sample", f"SELECT feature, round(statistic, 6) AS statistic, n1, n0, round(p_value, 6) AS p_value FROM {KS_LATENT}")
 def f5(s):
-    return oa.ks_two_sample(latent_with_flag(s), "value", "answered", ["feature"]).select("feature", r6("statistic"), "n1", "n0")
+    return oa.ks_two_sample(latent_with_flag(s), "value", "answered", ["feature"]).select("feature", r6("statistic"), "n1", "n0", r6("p_value"))
+
+
+SCORES_FLAGGED = """(SELECT s.attribute_model || ':' || k.value AS feature, s.probs[k.value + 1] AS value, CAST(s.label IS NULL AS INTEGER) AS flag
+         FROM scores s JOIN (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS value) k ON k.value < s.num_class
+         WHERE s.label IS NULL OR s.set_uid = 'validation')"""
+
+
+@query(
+    "f5_ks_predicted_scores",
+    f"SELECT feature, round(statistic, 6) AS statistic, n1, n0, round(p_value, 6) AS p_value FROM {ks_sql(SCORES_FLAGGED)} WHERE statistic IS NOT NULL",
+)
+def f5_scores(s):
+    """Scores of each class: unlabelled respondents against labelled ones of the validation split."""
+    kept = s.scores.where(F.col("label").isNull() | (F.col("set_uid") == "validation"))
+    long = kept.select("attribute_model", F.col("label").isNull().alias("open"), F.posexplode("probs").alias("value", "p"))
+    long = long.withColumn("feature", F.concat_ws(":", "attribute_model", "value"))
+    return oa.ks_two_sample(long, "p", "open", ["feature"]).where("statistic IS NOT NULL").select("feature", r6("statistic"), "n1", "n0", r6("p_value"))
+
+
+@query(
+    "e10_top_k",
+    f"""SELECT feature, CAST(rank AS INTEGER) AS rank, round(p_value, 6) AS p_value FROM (
+          SELECT *, row_number() OVER (ORDER BY p_value DESC, statistic, feature) AS rank FROM {KS_LATENT}) WHERE rank <= 250""",
+)
+def e10(s):
+    """The 250 latent columns that tell respondents with an answer to 102 from the others least."""
+    ks = oa.ks_two_sample(latent_with_flag(s), "value", "answered", ["feature"])
+    return oa.closest_features(ks, 250).select("feature", "rank", r6("p_value"))
 
 
 @query("f6_roc_auc", f"SELECT {G3}, round(roc_score, 6) AS roc_score FROM auc")

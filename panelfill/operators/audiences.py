@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from panelfill.functions.survey import pair_key, ratio
 from panelfill.operators.joins import lookup_both_sides
 from panelfill.operators.sampling import random_sample
 from panelfill.operators.shares import wave_totals, with_weights
-from panelfill.session import stored
+from panelfill.session import ship, stored
 
+AUDIENCES_A_BLOCK = 1 << 16
+RESPONDENTS_AT_ONCE = 1024
 PAIR = ["attribute1", "attribute2", "sakey_1", "sakey_2", "svkey_1", "svkey_2"]
 
 
@@ -65,37 +69,95 @@ def _with_id(audiences: DataFrame) -> DataFrame:
     return audiences.select(*PAIR, key.alias("custom_audience_expression"))
 
 
-def audience_wave_weights(predictions: DataFrame, codes: DataFrame, respondents: DataFrame, audiences: DataFrame) -> DataFrame:
+class AudienceIndex:
+    """A bounded block of audiences, by answer: of each first answer the audiences it opens and the answers that complete them."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray):
+        self.first, self.second = first, second
+        self.answers = np.unique(np.concatenate([first, second]))
+        self.other = np.searchsorted(self.answers, second)
+        own = np.searchsorted(self.answers, first)
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(len(self.answers) + 1))
+        self.opens = [order[x:y] for x, y in zip(bounds, bounds[1:])]
+
+    def add(self, totals: np.ndarray, offsets: np.ndarray, held: np.ndarray, wave: np.ndarray, cents: np.ndarray) -> None:
+        """Add the weights of some respondents to (wave, audience) totals; sums of whole numbers below 2 ** 53 are exact."""
+        place = np.minimum(np.searchsorted(self.answers, held), len(self.answers) - 1)
+        known = self.answers[place] == held
+        has = np.zeros((len(wave), len(self.answers)), bool)
+        has[np.repeat(np.arange(len(wave)), np.diff(offsets))[known], place[known]] = True
+        by_wave = np.zeros((len(totals), len(wave)))
+        by_wave[wave, np.arange(len(wave))] = cents
+        for answer in np.flatnonzero(has.any(axis=0)).tolist():
+            opened = self.opens[answer]
+            if len(opened):
+                rows = np.flatnonzero(has[:, answer])
+                totals[:, opened] += (by_wave[:, rows] @ has[rows][:, self.other[opened]].astype(np.float64)).astype(np.int64)
+
+
+def _audience_sums(index):
+    """Weight of each wave and audience over all respondents of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waves: dict = {}
+        own = index.value
+        totals = np.zeros((0, len(own.first)), np.int64)
+        for batch in batches:
+            lists, names, cents = batch["held"], batch["wavekey"].to_pylist(), batch["cents"].to_numpy(zero_copy_only=False)
+            wave = np.array([waves.setdefault(w, len(waves)) for w in names], np.int64)
+            totals = np.concatenate([totals, np.zeros((len(waves) - len(totals), len(own.first)), np.int64)])
+            offsets, held = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for at in range(0, len(wave), RESPONDENTS_AT_ONCE):
+                part = slice(at, min(len(wave), at + RESPONDENTS_AT_ONCE))
+                ends = offsets[part.start : part.stop + 1]
+                own.add(totals, ends - ends[0], held[ends[0] : ends[-1]], wave[part], cents[part])
+        for name, k in waves.items():
+            some = np.flatnonzero(totals[k])
+            columns = [pa.array(own.first[some], pa.int32()), pa.array(own.second[some], pa.int32()), pa.array([name] * len(some), pa.string()), pa.array(totals[k][some])]
+            yield pa.record_batch(columns, ["svkey_1", "svkey_2", "wavekey", "cents"])
+
+    return run
+
+
+def held_answers(predictions: DataFrame, codes: DataFrame, respondents: DataFrame, audiences: DataFrame) -> DataFrame:
+    """One row per respondent: uid, wavekey, the sorted answers that occur in an audience, and the weight in hundredths.
+
+    Answers are shuffled once, by respondent, however many audiences there are. Predictions that carry their weight need no
+    join with the respondents.
+    """
+    weight = ["respondentweight"] if "respondentweight" in predictions.columns else []
+    asked = codes.join(either_side(audiences, "svkey"), "svkey", "left_semi")
+    named = asked.select(F.col("attribute").alias("attribute_model"), F.col("attribute_value").alias("selected_value"), "svkey")
+    rows = predictions.select("uid", "wavekey", "attribute_model", "selected_value", *weight).join(stored(named, "asked-answers"), ["attribute_model", "selected_value"])
+    held = rows.groupBy("uid", "wavekey").agg(F.sort_array(F.collect_set(F.col("svkey").cast("int"))).alias("held"), *[F.max(w).alias(w) for w in weight])
+    cents = (F.col("respondentweight").cast("decimal(18,2)") * 100).cast("long")
+    return with_weights(held, respondents).select("wavekey", "held", F.coalesce(cents, F.lit(0)).alias("cents"))
+
+
+def audience_wave_weights(
+    predictions: DataFrame, codes: DataFrame, respondents: DataFrame, audiences: DataFrame, block: int = AUDIENCES_A_BLOCK
+) -> DataFrame:
     """Weight per audience and wave of the respondents who hold both answers, for all audiences at once.
 
-    Every final answer becomes a row per audience side it stands for (answers in no audience drop
-    out here). These rows are shuffled once, by respondent; counting the sides and joining the
-    weights reuse that partitioning, and only sums per (audience, wave) are shuffled after it.
-    An audience is identified by its two answer keys. Predictions that carry their weight need
-    no join with the respondents.
+    Every respondent becomes one array of held answers. An index from answer to audiences, of at most about
+    ``block`` audiences, is sent to the tasks and met with the arrays there; a task sends on one sum for each audience and wave.
+    More audiences than that are several passes over the stored arrays. An audience is identified by its two answer keys.
     """
-    weight = ["respondentweight"] if "respondentweight" in predictions.columns else []
-    pair = audiences.select("svkey_1", "svkey_2").distinct()
-    side = F.explode(F.array(F.struct(F.col("svkey_1").alias("svkey"), F.lit(1).alias("side")), F.struct(F.col("svkey_2").alias("svkey"), F.lit(2).alias("side"))))
-    sides = (
-        pair.select("svkey_1", "svkey_2", side.alias("s"))
-        .select("svkey_1", "svkey_2", "s.*")
-        .join(codes.select("svkey", "attribute", "attribute_value"), "svkey")
-        .select(F.col("attribute").alias("attribute_model"), F.col("attribute_value").alias("selected_value"), "svkey_1", "svkey_2", "side")
-    )
-    held = (
-        predictions.select("uid", "wavekey", "attribute_model", "selected_value", *weight)
-        .join(stored(sides, "audience-sides"), ["attribute_model", "selected_value"])
-        .repartition("uid", "wavekey")
-        .groupBy("uid", "wavekey", "svkey_1", "svkey_2")
-        .agg(F.min("side").alias("first_side"), F.max("side").alias("last_side"), *[F.max(w).alias(w) for w in weight])
-        .where("first_side = 1 AND last_side = 2")
-    )
-    return (
-        with_weights(held, respondents)
-        .groupBy("svkey_1", "svkey_2", "wavekey")
-        .agg(F.sum("respondentweight").cast("double").alias("wave_audience_weight"))
-    )
+    spark = predictions.sparkSession
+    ship(spark)
+    pairs = stored(audiences.select(F.col("svkey_1").cast("int").alias("svkey_1"), F.col("svkey_2").cast("int").alias("svkey_2")).distinct(), "audience-pairs")
+    blocks = max(1, -(-pairs.count() // block))
+    held = held_answers(predictions, codes, respondents, pairs)
+    held = stored(held, "held-answers") if blocks > 1 else held
+    sums = None
+    for i in range(blocks):
+        some = pairs.where(F.pmod(F.xxhash64("svkey_1", "svkey_2"), F.lit(blocks)) == i).toArrow()
+        index = spark.sparkContext.broadcast(AudienceIndex(some["svkey_1"].to_numpy(), some["svkey_2"].to_numpy()))
+        part = held.mapInArrow(_audience_sums(index), "svkey_1 int, svkey_2 int, wavekey string, cents long")
+        sums = part if sums is None else sums.union(part)
+    total = (F.sum("cents").cast("decimal(38,2)") / 100).cast("double")
+    return sums.groupBy("svkey_1", "svkey_2", "wavekey").agg(total.alias("wave_audience_weight"))
 
 
 def audience_shares(

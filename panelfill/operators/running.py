@@ -1,41 +1,35 @@
 """Running totals that never gather one group in one task.
 
-A window over a whole group would run in a single task however large the group is. Here the
-order column is cut at its quantiles, totals are first summed per (group, bucket), and the
-window runs inside a bucket only; what precedes the bucket comes from the small table of bucket
-totals. The cuts are taken over all rows, so a bucket holds at most about 1/buckets of them even
-when one group dominates.
+A window over a whole group would run in a single task however large the group is. Here the rows are
+partitioned by ranges of the order column and stored with the number of their range; totals are first summed
+per (group, range), and the window runs inside a range only; what precedes the range comes from the small table
+of totals. Ranges are taken over all rows, so that each holds about as many, also when one group dominates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 250_000
+from panelfill.session import stored
+
 MIN_BUCKETS = 8
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for the rows at hand: enough that none is large for one task."""
-    return max(MIN_BUCKETS, -(-df.count() // ROWS_PER_BUCKET))
+    """Ranges that the rows are cut into: those of a shuffle, which the session sizes for its data."""
+    return max(MIN_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def quantile_buckets(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
-    """Adds ``_bucket``, a non-decreasing function of ``order`` with about equal numbers of rows.
+def range_buckets(df: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
+    """Adds ``_bucket``, a non-decreasing function of ``order`` with about equal numbers of rows, and stores the result.
 
-    ``df`` is read more than once, so it should be a checkpointed or stored table.
+    The bucket is the number of a range partition; equal values share one. Stored, since ranges taken again could differ.
     """
-    buckets = buckets or bucket_count(df)
-    points = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(order, points, 1.0 / (4 * buckets)))) if buckets > 1 else []
-    if not cuts:
-        return df.withColumn("_bucket", F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(df)
+    ranged = df.repartitionByRange(buckets or bucket_count(df), order)
+    return stored(ranged.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def hash_buckets(df: DataFrame, uniform: str, buckets: int | None = None) -> DataFrame:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from panelfill.functions.focal import clip_probability
 from panelfill.functions.survey import is_binomial, ratio, slice_set, slice_value
 from panelfill.operators.joins import with_answer_codes
-from panelfill.operators.running import quantile_buckets, running_totals
-from panelfill.session import checkpoint
+from panelfill.operators.running import range_buckets, running_totals
 
 GROUP = ["attribute_model", "value", "set_uid"]
 
@@ -37,9 +36,8 @@ def score_counts(scores: DataFrame, group: Sequence[str] = GROUP, score: str = "
 
 
 def _cumulated(scores: DataFrame, group: Sequence[str], score: str, buckets: int | None) -> DataFrame:
-    counts = checkpoint(score_counts(scores, group, score))
     return running_totals(
-        quantile_buckets(counts, score, buckets), group, [score], {"pos": "pos_below", "neg": "neg_below"}
+        range_buckets(score_counts(scores, group, score), score, buckets), group, [score], {"pos": "pos_below", "neg": "neg_below"}
     )
 
 

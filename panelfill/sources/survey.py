@@ -20,7 +20,7 @@ from panelfill import schemas
 from panelfill.functions.rng import hash_uniform
 from panelfill.functions.survey import attribute_kind, attribute_value, zero_based
 from panelfill.operators.labels import attribute_matrix
-from panelfill.session import shared_dir, ship
+from panelfill.session import shared_dir, ship, stored
 from panelfill.sources.tables import materialize_once
 
 # fixed values: the code book of the derived survey
@@ -222,8 +222,10 @@ class Survey:
         return self.stored("scores", self._scores)
 
     def _scores(self) -> DataFrame:
-        """Scores of every respondent for every modelled attribute, drawn by hash (no model needed).
+        """Scores of every respondent for every modelled attribute: smoothed class frequencies of the train labels among alike respondents.
 
+        Alike are those of the same wave and the same answers to questions 101 and 103, but for the answer that is modelled. Adding
+        one to every class keeps probabilities above zero; where nobody alike has a label they are equal.
         Columns uid, set_uid, wavekey, weight, attribute_model, label, probs.
         """
         models = F.array(
@@ -232,19 +234,26 @@ class Survey:
                 for name, size in MODELS.items()
             ]
         )
-        people = self.respondents.select(
-            "uid", "set_uid", "wavekey", F.col("respondentweight").cast("double").alias("weight"), F.explode(models).alias("m")
-        ).select("uid", "set_uid", "wavekey", "weight", "m.*")
-
-        def draw(k):
-            u = hash_uniform(F.col("uid"), F.col("attribute_model"), k)
-            return (F.floor(u * 1000).cast("double") + 1.0) / 1001.0
-
-        probs = F.when(F.col("num_class") == 5, F.array(*[draw(k) for k in range(5)])).otherwise(
-            F.array(1.0 - draw(1), draw(1))
+        asked = self.labels.where(F.col("attribute").isin("101", "103_1031")).groupBy("uid").agg(
+            *[F.max(F.when(F.col("attribute") == a, F.col("label"))).alias(f"c{a[:3]}") for a in ("101", "103_1031")]
         )
+        alike = ["attribute_model", "wavekey", "c101", "c103"]
+        own = lambda a, c: F.when(F.col("attribute_model") == a, -1).otherwise(F.coalesce(c, F.lit(-1))).alias(c)
+        people = self.respondents.join(asked, "uid", "left").select(
+            "uid", "set_uid", "wavekey", F.col("respondentweight").cast("double").alias("weight"), "c101", "c103", F.explode(models).alias("m")
+        ).select("uid", "set_uid", "wavekey", "weight", "m.*", "c101", "c103")
+        people = people.withColumns({"c101": own("101", "c101"), "c103": own("103_1031", "c103")})
         labels = self.labels.select("uid", F.col("attribute").alias("attribute_model"), "label")
-        return people.withColumn("probs", probs).join(labels, ["uid", "attribute_model"], "left").select(
+        rows = people.join(labels, ["uid", "attribute_model"], "left")
+        seen = rows.where((F.col("set_uid") == "train") & F.col("label").isNotNull()).groupBy(*alike).agg(
+            F.array(*[F.count_if(F.col("label") == k) for k in range(max(MODELS.values()))]).alias("seen")
+        )
+        rows = rows.join(stored(seen, "seen"), alike, "left")
+        counts = F.coalesce("seen", F.array(*[F.lit(0).cast("long") for _ in range(max(MODELS.values()))]))
+        n = F.aggregate(counts, F.lit(0).cast("long"), lambda acc, x: acc + x)
+        smooth = F.transform(F.slice(counts, 1, F.col("num_class")), lambda x: (x + 1).cast("double") / (n + F.col("num_class")).cast("double"))
+        binomial = F.array(1.0 - F.get(smooth, F.lit(1)), F.get(smooth, F.lit(1)))
+        return rows.withColumn("probs", F.when(F.col("num_class") == 2, binomial).otherwise(smooth)).select(
             "uid", "set_uid", "wavekey", "weight", "attribute_model", "num_class", "label", "probs"
         )
 

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelfill.operators import association, joins, running, sampling, scores, shares
+from panelfill.operators import association, blocks, joins, running, sampling, scores, shares
 from panelfill.operators import labels as ol
-from panelfill.operators.audiences import audience_shares
+from panelfill.operators.audiences import audience_shares, audience_wave_weights, held_answers
 
 TAXONOMY = "sakey int, svkey int, multi boolean, alternate_svkey_binary_single int, attribute string, value int"
 
@@ -39,7 +39,7 @@ def test_running_totals_match_a_loop_under_skew(spark):
     table = [(g, v, int(i % 7)) for i, (g, v) in enumerate(sorted(rows))]
     df = spark.createDataFrame(table, "g string, v double, n int")
     for buckets in (1, 8, 64):
-        out = running.running_totals(running.quantile_buckets(df, "v", buckets), ["g"], ["v"], {"n": "below"}).collect()
+        out = running.running_totals(running.range_buckets(df, "v", buckets), ["g"], ["v"], {"n": "below"}).collect()
         assert len(out) == len(table)
         want, total = {}, {}
         for g, v, n in sorted(table):
@@ -50,13 +50,14 @@ def test_running_totals_match_a_loop_under_skew(spark):
 
 def test_buckets_stay_small_when_one_group_dominates(spark):
     df = spark.range(20000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("g"), (F.col("id") / 2e9).alias("v"))
-    sizes = running.quantile_buckets(df, "v", 50).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
+    sizes = running.range_buckets(df, "v", 50).groupBy("g", "_bucket").count().agg(F.max("count")).first()[0]
     assert sizes < 20000 / 50 * 2
 
 
-def test_bucket_count_follows_rows(spark):
-    assert running.bucket_count(spark.range(10)) == running.MIN_BUCKETS
-    assert running.bucket_count(spark.range(running.ROWS_PER_BUCKET * 20)) == 20
+def test_ranges_follow_the_order_and_keep_ties_together(spark):
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("v"))
+    out = running.range_buckets(df, "v", 30).groupBy("_bucket").agg(F.min("v").alias("low"), F.max("v").alias("high")).orderBy("_bucket").collect()
+    assert len(out) > 20 and all(a.high < b.low for a, b in zip(out, out[1:]))
 
 
 def brute_auc(y, p):
@@ -155,6 +156,35 @@ def test_chi2_by_hand(spark):
     assert got.p_value == pytest.approx(0.6170750774519738, rel=1e-9)
 
 
+def test_block_products_of_many_models(spark):
+    """3,000 models: blocks against a plain double loop, and no row for each answer and model."""
+    rng = np.random.default_rng(7)
+    features = {(u, f"f{int(f)}"): float(rng.integers(0, 4)) for u in range(120) for f in rng.choice(90, 12, replace=False)}
+    labels = {(u, f"m{int(m)}"): int(rng.integers(0, 2)) for u in range(0, 130, 2) for m in rng.choice(3000, 40, replace=False)}
+    want = {}
+    for (u, f), v in features.items():
+        for (w, m), y in labels.items():
+            if u == w:
+                want[m, y, f] = want.get((m, y, f), 0.0) + v
+    left = spark.createDataFrame([(u, f, v) for (u, f), v in features.items()], "uid long, feature string, value double")
+    right = spark.createDataFrame([(u, m, y) for (u, m), y in labels.items()], "uid long, attribute_model string, label int")
+    got = {(r.attribute_model, r.label, r.feature): r.observed for r in association.class_totals(left, right).collect()}
+    assert got == pytest.approx(want)
+    rows, cols = blocks.numbered(left, "feature", "row"), blocks.numbered(right.select(F.struct("attribute_model", "label").alias("c")), "c", "col")
+    x = left.join(rows, "feature").select("uid", "row", "value")
+    y = right.select("uid", F.struct("attribute_model", "label").alias("c")).join(cols, "c").select("uid", "col")
+    names = {r.row: r.feature for r in rows.collect()}, {r.col: tuple(r.c) for r in cols.collect()}
+    small = blocks.block_product(x, y, 130, size=64, people_a_block=50)
+    assert {(*names[1][r.col], names[0][r.row]): r.total for r in small.collect()} == pytest.approx(want)
+
+
+def test_closest_features(spark):
+    rows = [("a", f"f{i}", 0.1 * (i % 5), 0.5 + i) for i in range(20)] + [("b", "z", 0.2, 0.1), ("b", "y", 0.2, 0.1), ("b", "n", None, 0.0)]
+    ks = spark.createDataFrame(rows, "g string, feature string, p_value double, statistic double")
+    got = sorted((r.g, r["rank"], r.feature) for r in association.closest_features(ks, 3, ["g"]).collect())
+    assert got == [("a", 1, "f4"), ("a", 2, "f9"), ("a", 3, "f14"), ("b", 1, "y"), ("b", 2, "z")]
+
+
 RESPONDENTS = [(1, "w1", 2.0), (2, "w1", 2.0), (3, "w2", 1.0), (4, "w2", 3.0), (5, "w3", 5.0)]
 
 
@@ -201,6 +231,44 @@ def test_audiences_need_both_answers(spark):
         assert got[11, 12].average_imputed_distribution == 0.0 and got[12, 21].average_imputed_distribution == 0.0
 
 
+def test_audiences_of_many_answers_like_a_double_loop(spark):
+    rng = np.random.default_rng(5)
+    codes = [(1, 100 + k, False, str(k), v) for k in range(12) for v in range(1)] + [(1, 200 + k, False, str(k), 1) for k in range(12)]
+    codes = spark.createDataFrame(codes, "sakey int, svkey int, multi boolean, attribute string, attribute_value int")
+    people = [(u, f"w{u % 3}", float(rng.integers(1, 10**7)) / 100) for u in range(300)]
+    answers = [(u, w, str(k), int(rng.integers(0, 2))) for u, w, _ in people for k in range(12) if rng.random() < 0.6]
+    respondents = spark.createDataFrame(people, "uid long, wavekey string, w double").select("uid", "wavekey", F.col("w").cast("decimal(18,2)").alias("respondentweight"))
+    predictions = spark.createDataFrame(answers, "uid long, wavekey string, attribute_model string, selected_value int")
+    keys = [*range(100, 112), *range(200, 212)]
+    pairs = [(a, b) for a in keys for b in keys if a <= b] + [(999, 100)]
+    held = {}
+    for u, w, k, v in answers:
+        held.setdefault(u, set()).add((200 if v else 100) + int(k))
+    want = {}
+    for u, w, x in people:
+        for a, b in pairs:
+            if {a, b} <= held.get(u, set()):
+                want[a, b, w] = want.get((a, b, w), 0) + round(100 * x)
+    audiences = spark.createDataFrame(pairs, "svkey_1 int, svkey_2 int")
+    for size in (1 << 16, 100):
+        got = audience_wave_weights(predictions, codes, respondents, audiences, size).collect()
+        assert {(r.svkey_1, r.svkey_2, r.wavekey): round(100 * r.wave_audience_weight) for r in got} == want
+    # what is shuffled for a respondent does not depend on the number of audiences
+    one = held_answers(predictions, codes, respondents, audiences).groupBy().agg(F.count("*"), F.sum(F.size("held"))).first()
+    assert tuple(one) == (len(held), sum(map(len, held.values())))
+
+
+def test_shuffled_is_a_permutation(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("x"))
+    a = {r.id: r.position for r in sampling.shuffled(df, ["id"], 4).collect()}
+    assert sorted(a.values()) == list(range(3000)) and a == {r.id: r.position for r in sampling.shuffled(df.repartition(11), ["id"], 4).collect()}
+    import hashlib
+
+    order = sorted(range(3000), key=lambda i: (hashlib.md5(f"{i}|4".encode()).hexdigest(), i))
+    assert [order[a[i]] for i in range(3000)] == list(range(3000))
+    assert sampling.shuffled(df.limit(0), ["id"]).count() == 0
+
+
 def test_key_pairs_and_first_match(spark):
     df = spark.createDataFrame([("x", [3, 1, 2, 1]), ("y", [5])], "a string, keys array<int>")
     got = sorted((r.key_1, r.key_2, r.expression) for r in joins.key_pairs(df).collect())
