@@ -202,7 +202,7 @@ def _golden(number: str) -> str:
 
 
 VIEWS |= _mix_stages("mixed_uids", "(SELECT DISTINCT uid FROM labeled)", _golden("uid"))
-VIEWS["reps"] = "SELECT unnest(range(1, 101)) AS rep"
+VIEWS["reps"] = "SELECT unnest(range(1, 1001)) AS rep"
 VIEWS |= _mix_stages(
     "mixed_draws", f"(SELECT m.uid, r.rep, xor(m.z, {_golden('r.rep')}) AS mixed FROM mixed_uids m CROSS JOIN reps r)", "mixed"
 )

@@ -11,6 +11,7 @@ from panelfill.operators import boosting as ob
 from panelfill.operators import chained as och
 from panelfill.operators import scores as osc
 from panelfill.operators.features import FeatureSpec, assemble_features, covered_levels
+from panelfill.plans import chains as pc
 from panelfill.plans import rounds as pr
 from panelfill.session import new_folder
 from panelfill.sources.survey import MODELS
@@ -300,14 +301,19 @@ def i3(s):
     )
 
 
+def chain(s):
+    """Folder and tables of the chained imputation of question 102: run once with its defaults, then found finished."""
+    root = s.place("chain")
+    out = pc.run_chain(s.spark, round_inputs(s), root, 0, "102", pc.ChainConfig())
+    return root, out
+
+
 @query("i4_mice")
 def i4(s):
-    """Two sweeps over three variables; rows per sweep, variable and value."""
-    frame, labels, fixed = mice_inputs(s)
-    run = och.mice(frame, labels, MICE_VARIABLES, fixed, iterations=2, trees=5, depth=4)
-    return run.sweeps.groupBy("iteration", "attribute", "selected_value").agg(
-        F.count(F.lit(1)).alias("n"), F.count("label").alias("n_observed")
-    )
+    """Values after every sweep of the chained imputation of question 102, by sweep and value."""
+    root, _ = chain(s)
+    states = s.spark.read.parquet(f"{root}/iteration_0/chains/work/102/state")
+    return states.groupBy("iteration", F.get("values", F.lit(0)).alias("selected_value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("i5_mice_apply")
@@ -347,16 +353,11 @@ def i6(s):
         FROM hist h JOIN answer_codes c ON c.attribute = h.attribute AND c.attribute_value = h.value""",
 )
 def i7(s):
-    from panelfill.operators.shares import class_histogram, wave_list
+    from panelfill.operators.shares import wave_list
 
     sizes = s.spark.createDataFrame(list(MICE_VARIABLES.sizes.items()), "attribute string, num_class int")
-    cells = class_histogram(complete(s), wave_list(s.respondents), "selected_value", "attribute", sizes)
-    mean = cells.groupBy("attribute", "selected_value").agg(F.avg("share").alias("imputed_distribution"))
-    named = s.answer_codes.select("attribute", F.col("attribute_value").alias("selected_value"), "sakey", "svkey")
-    return (
-        cells.join(mean.join(named, ["attribute", "selected_value"]), ["attribute", "selected_value"])
-        .select(F.lit("102").alias("target_attribute"), "attribute", "sakey", "svkey", "wavekey", r6("share"), r6("imputed_distribution"))
-    )
+    shares = och.mice_shares(complete(s), wave_list(s.respondents), sizes, s.answer_codes, "102")
+    return shares.withColumns({"share": r6("share"), "imputed_distribution": r6("imputed_distribution")})
 
 
 @query(
@@ -371,11 +372,62 @@ def i8(s):
     return both.select("attribute_model", "attribute", "output", "uid", "wavekey", "label", "selected_value")
 
 
+CHAINED = "(SELECT attribute_model AS attribute, num_class FROM model_sizes WHERE attribute_model IN ('102', '104_1041', '104_1042', '104_1043'))"
+
+
+@query(
+    "i6_chain_complete",
+    f"""SELECT r.uid, r.wavekey, r.set_uid, v.attribute, l.label, coalesce(l.label, -1) AS kept, true AS valid
+        FROM respondents r CROSS JOIN {CHAINED} v LEFT JOIN coded_labels l ON l.uid = r.uid AND l.attribute = v.attribute""",
+)
+def i6_chain(s):
+    """Every cell of the finished chain: observed values are kept (-1 stands for a drawn one), drawn ones are classes of their variable."""
+    total = chain(s)[1]["totalPredictions"]
+    sizes = s.spark.createDataFrame(list(MODELS.items()), "attribute string, num_class int")
+    return total.join(sizes, "attribute").select(
+        "uid", "wavekey", "set_uid", "attribute", "label", F.when(F.col("label").isNull(), -1).otherwise(F.col("selected_value")).alias("kept"),
+        (F.col("selected_value").isNotNull() & (F.col("selected_value") >= 0) & (F.col("selected_value") < F.col("num_class"))).alias("valid"),
+    )
+
+
+@query(
+    "i7_chain_shares",
+    f"""SELECT '102' AS target_attribute, v.attribute, w.wavekey, v.num_class AS n_answers, 1.0::DOUBLE AS total, true AS above_observed
+        FROM {CHAINED} v CROSS JOIN (SELECT DISTINCT wavekey FROM respondents) w WHERE v.num_class = 5
+        UNION ALL SELECT '102', v.attribute, w.wavekey, 1, NULL, true FROM {CHAINED} v CROSS JOIN (SELECT DISTINCT wavekey FROM respondents) w WHERE v.num_class = 2""",
+)
+def i7_chain(s):
+    """Shares of the finished chain: all answers of a question add up to 1, and none has less than its observed weight."""
+    shares = chain(s)[1]["distributions"]
+    people = s.respondents.select("uid", "wavekey", F.col("respondentweight").cast("double").alias("weight"))
+    totals = people.groupBy("wavekey").agg(F.sum("weight").alias("all_weight"))
+    seen = s.labels.select("uid", "attribute", "label").join(people, "uid").groupBy("attribute", "label", "wavekey").agg(F.sum("weight").alias("w"))
+    seen = seen.join(s.answer_codes.select("attribute", F.col("attribute_value").alias("label"), "svkey"), ["attribute", "label"])
+    seen = seen.join(totals, "wavekey").select("svkey", "wavekey", (F.col("w") / F.col("all_weight")).alias("observed"))
+    both = shares.join(seen, ["svkey", "wavekey"], "left")
+    whole = F.when(~F.contains("attribute", F.lit("_")), F.round(F.sum("share"), 6))
+    return both.groupBy("target_attribute", "attribute", "wavekey").agg(
+        F.count(F.lit(1)).cast("int").alias("n_answers"), whole.alias("total"), F.bool_and(F.col("share") >= F.coalesce("observed", F.lit(0.0)) - 1e-9).alias("above_observed")
+    )
+
+
+@query(
+    "i8_chain_predictions",
+    f"""SELECT '102' AS attribute_model, v.attribute, o.output, count(*) AS n, count(l.label) AS n_observed
+        FROM respondents r CROSS JOIN {CHAINED} v LEFT JOIN coded_labels l ON l.uid = r.uid AND l.attribute = v.attribute
+        JOIN (VALUES ('total'), ('focal')) o(output) ON o.output = 'total' OR v.attribute = '102' GROUP BY ALL""",
+)
+def i8_chain(s):
+    """Rows of the two prediction tables of the finished chain, and how many hold an observed value unchanged."""
+    out = chain(s)[1]
+    both = out["totalPredictions"].withColumn("output", F.lit("total")).unionByName(out["focalPredictions"].withColumn("output", F.lit("focal")))
+    return both.groupBy("attribute_model", "attribute", "output").agg(F.count("selected_value").alias("n"), F.count_if(F.col("label") == F.col("selected_value")).alias("n_observed"))
+
+
 @query("i9_mice_importance")
 def i9(s):
-    frame, labels, fixed = mice_inputs(s)
-    run = och.mice(frame, labels, MICE_VARIABLES, fixed, iterations=1, trees=5, depth=4)
-    return och.mice_importance(run.models, MICE_VARIABLES, fixed, "102", s.spark).withColumn("feature_importance", r6("feature_importance"))
+    """Importance of every feature for every variable, after the last sweep of the finished chain."""
+    return chain(s)[1]["featureImportance"].withColumn("feature_importance", r6("feature_importance"))
 
 
 # ---- rounds ----------------------------------------------------------------------------------

@@ -17,8 +17,8 @@ from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.session import stored
 from panelfill.sources.survey import MODELS
 
-REPS = 100
-EVALS = 8
+REPS = 1000
+EVALS = 20
 G3 = "attribute_model, value, set_uid"
 LATENT = ("ld_0", "ld_1", "ld_2", "ld_3")
 

@@ -48,9 +48,12 @@ class Survey:
 
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that the pipeline takes as stored input: written once per application, then read."""
+        return materialize_once(self.spark, self.place(name), build)
+
+    def place(self, name: str) -> str:
+        """A path of this survey and application in the shared folder."""
         place = hashlib.md5(self.folder.encode()).hexdigest()[:12]
-        root = f"{shared_dir(self.spark).rstrip('/')}/survey-{self.spark.sparkContext.applicationId}-{place}"
-        return materialize_once(self.spark, f"{root}/{name}", build)
+        return f"{shared_dir(self.spark).rstrip('/')}/survey-{self.spark.sparkContext.applicationId}-{place}/{name}"
 
     @cached_property
     def orders(self) -> DataFrame:

@@ -9,6 +9,7 @@ from panelfill.functions import focal
 from panelfill.operators import boosting as ob
 from panelfill.operators import chained as och
 from panelfill.operators.features import FeatureSpec, assemble_features
+from panelfill.plans import chains as pc
 from panelfill.plans import rounds as pr
 from panelfill.session import new_folder
 from panelfill.sources import tables
@@ -305,6 +306,49 @@ def test_chained_imputation_keeps_observed_and_recovers_structure(spark):
     assert {r.uid: tuple(r["values"]) for r in applied.collect()} == final
 
 
+def test_a_chain_resumes_after_the_last_committed_sweep(spark, monkeypatch):
+    s = Survey(spark, FOLDER)
+    labels = s.labels.select("uid", "wavekey", "attribute", "label", "kind")
+    inputs = pr.RoundInputs(s.respondents, labels, s.model_plan, s.answer_codes, s.latent, ("ld_0", "ld_1"), MODELS, ("101", "103_1031"))
+    config = pc.ChainConfig(iterations=2, covariates=1, trees=3, depth=2)
+    root, steps, real = new_folder(spark, "chain"), [], och.mice_step
+
+    def step(state, variables, target, fixed, iteration, *args):
+        steps.append((iteration, target))
+        if len(steps) == 4:
+            raise RuntimeError("lost")
+        return real(state, variables, target, fixed, iteration, *args)
+
+    monkeypatch.setattr(och, "mice_step", step)
+    with pytest.raises(RuntimeError):
+        pc.run_chain(spark, inputs, root, 0, "102", config)
+    work = f"{root}/iteration_0/chains/work/102"
+    assert steps == [(1, 0), (1, 1), (2, 0), (2, 1)] and och.finished_sweeps(spark, work) == 1
+    first = sorted(map(tuple, spark.read.parquet(f"{work}/state/iteration=1").collect()))
+    out = pc.run_chain(spark, inputs, root, 0, "102", config)
+    assert steps[4:] == [(2, 0), (2, 1)] and sorted(map(tuple, spark.read.parquet(f"{work}/state/iteration=1").collect())) == first
+    total, n = out["totalPredictions"], s.respondents.count()
+    assert total.count() == 2 * n and total.where("label IS NOT NULL AND label <> selected_value OR selected_value IS NULL").isEmpty()
+    assert out["focalPredictions"].count() == n and {r.attribute for r in out["featureImportance"].select("attribute").distinct().collect()} == {r.attribute for r in total.select("attribute").distinct().collect()}
+    assert out["distributions"].where("attribute = '102'").groupBy("wavekey").agg(F.sum("share").alias("x")).where("abs(x - 1) > 1e-9").isEmpty()
+    # a finished target is not run again, unless asked to
+    pc.run_chain(spark, inputs, root, 0, "102", config)
+    assert len(steps) == 6
+    pc.run_chain(spark, inputs, root, 0, "102", config, redo=True)
+    assert steps[6:] == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_start_state_is_the_start_of_every_cell(spark):
+    s = Survey(spark, FOLDER)
+    variables = och.Variables({"102": 5, "104_1041": 2})
+    labels = s.labels.where(F.col("attribute").isin(variables.names)).select("uid", "attribute", "label")
+    frame = och.mice_frame(s.respondents.select("uid"), labels, variables)
+    sizes = spark.createDataFrame([(n,) for n in variables.names], "attribute string")
+    cells = {(r.uid, r.attribute): r.start for r in och.mice_init(labels, s.respondents, sizes, 5).collect()}
+    state = {r.uid: r["values"] for r in och.start_state(frame, labels, variables, 5).collect()}
+    assert len(state) * 2 == len(cells) and all(v == [cells[u, n] for n in variables.names] for u, v in state.items())
+
+
 # ---- rounds ----------------------------------------------------------------------------------
 
 
