@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from panelfill.catalog.base import predictions_of, query, r6
 from panelfill.catalog.sources import COLUMN_OF
 from panelfill.functions import survey as fs
-from panelfill.functions.rng import hash_uniform
 from panelfill.operators import labels as ol
 from panelfill.operators import shares as osh
 from panelfill.operators.joins import in_keys, not_in_keys
-from panelfill.catalog.base import u
 
 
 def coded(s):
@@ -243,18 +241,13 @@ def b20(s):
     )
 
 
-
-
 @query(
     "b21_share_outliers",
-    f"""SELECT uid, attribute, round(production, 6) AS production, round(imputed, 6) AS imputed
-        FROM (SELECT uid, attribute_model AS attribute, {u('uid', 'attribute_model', "'production'")} AS production, probs[2] AS imputed FROM scores)
-        WHERE production BETWEEN 0.45 AND 0.55 AND imputed > 0.75""",
+    """SELECT w.svkey, w.wavekey, round(d.prod_distribution, 6) AS production, round(w.wave_share, 6) AS imputed
+       FROM wave_shares w JOIN distributions d ON d.svkey = w.svkey WHERE d.prod_distribution BETWEEN 0.45 AND 0.55 AND w.wave_share > 0.75""",
 )
 def b21(s):
-    rows = s.scores.select(
-        "uid", F.col("attribute_model").alias("attribute"),
-        hash_uniform(F.col("uid"), F.col("attribute_model"), "production").alias("production"),
-        F.col("probs")[1].alias("imputed"),
-    )
-    return rows.where(fs.suspicious_share(F.col("production"), F.col("imputed"))).select("uid", "attribute", r6("production"), r6("imputed"))
+    """Answers with a production share of about one half whose imputed share of a wave is far above it."""
+    shares = osh.univariate_shares(predictions_of(s), s.answer_codes, s.respondents)
+    both = shares.join(s.distributions.select("svkey", F.col("prod_distribution").alias("production")), "svkey")
+    return both.where(fs.suspicious_share(F.col("production"), F.col("wave_share"))).select("svkey", "wavekey", r6("production"), r6("wave_share", "imputed"))

@@ -67,12 +67,11 @@ def c5(s):
 
 @query(
     "c6_known_respondents",
-    """SELECT b.uid, l.set_uid, b.svkey FROM bsm b JOIN (SELECT DISTINCT uid, set_uid FROM latent WHERE ld_1 IS NOT NULL) l ON l.uid = b.uid
-       WHERE b.label = 1.0""",
+    """SELECT b.uid, l.set_uid, b.svkey FROM bsm b JOIN (SELECT DISTINCT uid, set_uid FROM latent WHERE ld_1 IS NOT NULL) l ON l.uid = b.uid""",
 )
 def c6(s):
     people = s.latent.where(F.col("ld_1").isNotNull())
-    return ol.known_respondents(s.bsm.where(F.col("label") == 1.0), people).select("uid", "set_uid", "svkey")
+    return ol.known_respondents(s.bsm, people).select("uid", "set_uid", "svkey")
 
 
 @query("c7_anti_join", "SELECT uid, wavekey FROM respondents WHERE uid NOT IN (SELECT uid FROM matrix WHERE attribute = '102')")
@@ -166,12 +165,12 @@ def e6(s):
 
 @query(
     "e7_random_top_n",
-    f"SELECT DISTINCT sakey_1, svkey_1, sakey_2, svkey_2 FROM answer_pairs ORDER BY {hashed('sakey_1', 'svkey_1', 'sakey_2', 'svkey_2', '7')} LIMIT 50"
+    f"SELECT DISTINCT sakey_1, svkey_1, sakey_2, svkey_2 FROM answer_pairs ORDER BY {hashed('sakey_1', 'svkey_1', 'sakey_2', 'svkey_2', '7')} LIMIT 5000"
     .replace("SELECT DISTINCT", "SELECT * FROM (SELECT DISTINCT").replace(" ORDER BY", ") ORDER BY"),
 )
 def e7(s):
     keys = ["sakey_1", "svkey_1", "sakey_2", "svkey_2"]
-    return osa.random_sample(s.answer_pairs.select(*keys).distinct(), 50, keys, seed=7)
+    return osa.random_sample(s.answer_pairs.select(*keys).distinct(), 5000, keys, seed=7)
 
 
 @query("e8_sample_respondents", f"SELECT uid, wavekey FROM respondents ORDER BY {hashed('uid', '8')} LIMIT 2000")

@@ -5,15 +5,18 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from panelfill.catalog.base import query, r6, u
+from panelfill.catalog.base import predictions_of, query, r6, u
+from panelfill.catalog.statistics import FINAL, OBSERVED, chi2_sql, long_features, targets
 from panelfill.functions import focal
 from panelfill.operators import boosting as ob
 from panelfill.operators import chained as och
 from panelfill.operators import scores as osc
+from panelfill.operators.association import chi2_before_after
 from panelfill.operators.features import FeatureSpec, assemble_features, covered_levels
 from panelfill.plans import chains as pc
 from panelfill.plans import rounds as pr
 from panelfill.session import new_folder
+from panelfill.sources import tables
 from panelfill.sources.survey import MODELS
 
 LATENT = ("ld_0", "ld_1", "ld_2", "ld_3")
@@ -294,7 +297,7 @@ def i3(s):
     """One variable refitted and redrawn: counts of its values among observed and missing cells."""
     frame, labels, fixed = mice_inputs(s)
     state = och.start_state(frame, labels, MICE_VARIABLES, 42)
-    after, _ = och.mice_step(state, MICE_VARIABLES, 0, fixed, 1, 42, trees=5, depth=4)
+    after, _ = och.mice_step(state, MICE_VARIABLES, 0, fixed, 1, 42)
     return (
         och.long_state(after, MICE_VARIABLES, 1).where(F.col("attribute") == "102")
         .groupBy(F.col("label").isNotNull().alias("observed"), "selected_value").agg(F.count(F.lit(1)).alias("n"))
@@ -321,9 +324,9 @@ def i5(s):
     """Models fitted on train respondents impute everyone."""
     frame, labels, fixed = mice_inputs(s)
     train = frame.where(F.col("set_uid") == "train")
-    run = och.mice(train, labels, MICE_VARIABLES, fixed, iterations=1, trees=5, depth=4)
+    run = och.mice(train, labels, MICE_VARIABLES, fixed)
     after = och.mice_apply(run.models, frame, labels, MICE_VARIABLES, fixed)
-    return och.long_state(after, MICE_VARIABLES, 1).select("uid", "attribute", "label", "selected_value")
+    return och.long_state(after, MICE_VARIABLES, 5).select("uid", "attribute", "label", "selected_value")
 
 
 def complete(s):
@@ -440,13 +443,85 @@ def round_inputs(s):
     )
 
 
+def rounds(s):
+    """Folder and predictions of two rounds, run once in an application and then found finished.
+
+    Smaller than the defaults, which are 200 boosting rounds and 20 search trials a class: 2 boosting rounds without search.
+    Bounds and calibration are those of the defaults.
+    """
+    config = pr.RoundConfig(params=ob.replace(SMALL, rounds=2), search_trials=0, threads=4)
+    root = s.place("rounds")
+    return root, pr.run_rounds(s.spark, round_inputs(s), root, 2, config)
+
+
 @query("j6_run_rounds")
 def j6(s):
     """Two rounds; answers per round, attribute and value."""
-    config = pr.RoundConfig(params=ob.replace(SMALL, rounds=1), search_trials=0, reps=50, evals=5, threads=4)
-    root = new_folder(s.spark, "rounds")
-    done = pr.run_rounds(s.spark, round_inputs(s), root, 2, config)
-    parts = [df.withColumn("round", F.lit(i)) for i, df in enumerate(done)]
+    parts = [df.withColumn("round", F.lit(i)) for i, df in enumerate(rounds(s)[1])]
     return parts[0].unionByName(parts[1]).groupBy("round", "attribute_model", "selected_value").agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("n_observed")
     )
+
+
+@query(
+    "j6_round_rows",
+    """SELECT r.round, p.uid, p.wavekey, p.set_uid, m.attribute AS attribute_model, l.label, coalesce(l.label, -1) AS kept, true AS valid
+       FROM respondents p CROSS JOIN (SELECT DISTINCT attribute FROM model_plan WHERE needs_imputation AND proposed_round = 0) m
+       CROSS JOIN (VALUES (0), (1)) r(round) LEFT JOIN coded_labels l ON l.uid = p.uid AND l.attribute = m.attribute""",
+)
+def j6_rows(s):
+    """Every cell that the two rounds filled: observed answers are kept (-1 stands for an imputed one), imputed ones are classes of their model."""
+    parts = [df.withColumn("round", F.lit(i)) for i, df in enumerate(rounds(s)[1])]
+    sizes = s.spark.createDataFrame(list(MODELS.items()), "attribute_model string, num_class int")
+    valid = F.col("selected_value").isNotNull() & (F.col("selected_value") >= 0) & (F.col("selected_value") < F.col("num_class"))
+    return parts[0].unionByName(parts[1]).join(sizes, "attribute_model").select(
+        "round", "uid", "wavekey", "set_uid", "attribute_model", "label",
+        F.when(F.col("label").isNull(), -1).otherwise(F.col("selected_value")).alias("kept"), valid.alias("valid"),
+    )
+
+
+@query(
+    "a13_pending_models",
+    """SELECT DISTINCT attribute AS model, n_respondents FROM model_plan WHERE NOT (needs_imputation AND proposed_round = 0)""",
+)
+def a13(s):
+    """Attributes of the plan without a record in the ledger of the first round."""
+    root, _ = rounds(s)
+    ledger = pr.read_journal(s.spark, f"{root}/ledger", 0)
+    return tables.pending_models(s.model_plan.select(F.col("attribute").alias("model"), "n_respondents").distinct(), ledger)
+
+
+@query(
+    "a14_write_result_bundle",
+    f"""SELECT 'predictions' AS kind, attribute_model, count(*) AS n FROM predictions GROUP BY attribute_model
+        UNION ALL SELECT 'probabilities', attribute_model, count(*) FROM scores GROUP BY attribute_model
+        UNION ALL SELECT 'metrics', attribute_model, count(*) FROM auc GROUP BY attribute_model
+        UNION ALL SELECT 'featureImportance', '104_1043', 4
+        UNION ALL SELECT 'chiSquare', attribute_model, count(*) FROM (SELECT attribute_model FROM {chi2_sql(OBSERVED)} UNION ALL SELECT attribute_model FROM {chi2_sql(FINAL)}) GROUP BY attribute_model
+        UNION ALL SELECT 'distributions', h.attribute_model, count(*) FROM histogram h JOIN answer_codes c ON c.attribute = h.attribute_model AND c.attribute_value = h.value GROUP BY h.attribute_model""",
+)
+def a14(s):
+    """All six kinds of results; a second write of one model replaces that model only."""
+    from panelfill.catalog.aggregates import classes_of, weighted_predictions
+    from panelfill.operators.joins import with_answer_codes
+    from panelfill.operators.shares import class_histogram, wave_list
+
+    root = new_folder(s.spark, "results")
+    final = predictions_of(s).select("uid", "attribute_model", F.col("selected_value").alias("label"))
+    cells = class_histogram(weighted_predictions(s), wave_list(s.respondents), "selected_value", "attribute_model", classes_of(s))
+    _, model = one_split(s)
+    frames = {
+        "predictions": predictions_of(s),
+        "probabilities": s.scores.drop("weight", "num_class"),
+        "metrics": osc.metrics_table(s.scores).withColumn("attribute_model", F.col("model")),
+        "featureImportance": ob.feature_importance(s.spark, {("104_1043", 1): model}, FeatureSpec(CORE).names),
+        "chiSquare": chi2_before_after(long_features(s), targets(s), final),
+        "distributions": with_answer_codes(cells, s.answer_codes).drop("attribute"),
+    }
+    tables.write_result_bundle(root, frames)
+    tables.write_result_bundle(root, {"predictions": predictions_of(s).where(F.col("attribute_model") == "102")})
+    out = None
+    for kind in frames:
+        part = pr.read_kind(s.spark, root, kind).groupBy("attribute_model").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "attribute_model", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

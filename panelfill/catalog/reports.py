@@ -89,6 +89,12 @@ def j2_half(s):
     return ol.coverage_matrix(s.matrix, 0.5)
 
 
+@query("j2_coverage_long", f"SELECT uid, wavekey, set_uid, attribute, label FROM matrix WHERE attribute IN {COVERED.format(share=0.5)}")
+def j2_long(s):
+    """The same labels in long form, however many attributes there are."""
+    return ol.covered_labels(s.matrix, 0.5).select("uid", "wavekey", "set_uid", "attribute", "label")
+
+
 def core_matrix(s):
     return ol.wide_labels(s.matrix, ["101", "103_1031"])
 
@@ -131,6 +137,19 @@ def j5(s):
     return pr.next_round_features(predictions_of(s), s.model_plan, core_matrix(s))
 
 
+@query(
+    "j5_next_round_long",
+    """SELECT uid, set_uid, attribute, label AS code FROM coded_labels WHERE attribute IN ('101', '103_1031')
+       UNION ALL SELECT uid, set_uid, attribute_model, selected_value FROM predictions
+       WHERE attribute_model NOT IN (SELECT attribute FROM model_plan WHERE NOT needs_imputation AND proposed_round = 0)""",
+)
+def j5_long(s):
+    """Features of the next round in long form: core answers and the answers of the last round."""
+    core = s.labels.where(F.col("attribute").isin("101", "103_1031")).select("uid", "set_uid", "attribute", F.col("label").alias("code"))
+    filled = pr.next_round_long(predictions_of(s), s.model_plan)
+    return core.unionByName(filled.select("uid", "set_uid", F.col("attribute_model").alias("attribute"), F.col("selected_value").alias("code")))
+
+
 _waves = ", ".join(f"round(max(CASE WHEN wavekey = '{w}' THEN wave_share END), 6) AS \"{w}\"" for w in WAVES)
 
 
@@ -219,12 +238,12 @@ def j11(s):
 @query(
     "j12_sample_audiences",
     f"""WITH {COMMON} SELECT attribute1, attribute2, sakey_1, sakey_2, svkey_1, svkey_2 FROM {CANDIDATE_PAIRS}
-        ORDER BY {hashed('sakey_1', 'svkey_1', 'sakey_2', 'svkey_2', '12')} LIMIT 40""",
+        ORDER BY {hashed('sakey_1', 'svkey_1', 'sakey_2', 'svkey_2', '12')} LIMIT 5000""",
 )
 def j12(s):
     """The sample is stored once; later reads see the same audiences."""
     path = new_folder(s.spark, "audiences")
-    return tables.materialize_once(s.spark, path, lambda: oau.sample_audiences(candidates(s), 40, seed=12))
+    return tables.materialize_once(s.spark, path, lambda: oau.sample_audiences(candidates(s), seed=12))
 
 
 @query(
@@ -274,9 +293,9 @@ def j14(s):
     )
 
 
-@query("j15_round_drift", f"""SELECT set_uid AS "set", round(avg(roc1 / roc0), 6) AS mean_roc_ratio FROM {METRICS_1} WHERE contains(attribute_model, '_') GROUP BY set_uid""")
+@query("j15_round_drift", f"""SELECT set_uid AS "set", round(avg(roc1 / roc0), 6) AS mean_roc_ratio FROM {METRICS_1} GROUP BY set_uid""")
 def j15(s):
-    """Drift of the binomial models, from metric reports joined to the taxonomy."""
+    """Drift of all models, from metric reports joined to the taxonomy."""
     older = osc.class_scores(s.scores)
     newer = older.withColumn("p", F.col("p") * 0.9 + F.col("y") * 0.1)
 
@@ -284,7 +303,7 @@ def j15(s):
         metrics = osc.roc_auc(scores).select(
             F.concat_ws("_", "value", "set_uid").alias("data_slice"), F.lit(0.0).alias("log_loss"), "roc_score", F.col("attribute_model").alias("model")
         )
-        return osc.metrics_report(metrics, s.answer_codes, n).where(F.col("attribute").contains("_"))
+        return osc.metrics_report(metrics, s.answer_codes, n)
 
     return osc.round_drift(report(newer, 1), report(older, 0)).select("set", r6("mean_roc_ratio"))
 

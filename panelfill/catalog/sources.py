@@ -143,46 +143,3 @@ def a12(s):
 
     tables.materialize_once(s.spark, path, lambda: wave_totals(s.respondents))
     return tables.materialize_once(s.spark, path, refuse).select("wavekey", F.round("wave_total_weight", 2).alias("wave_total_weight"))
-
-
-@query(
-    "a13_pending_models",
-    """SELECT DISTINCT attribute AS model, n_respondents FROM model_plan
-       WHERE attribute NOT IN (SELECT attribute FROM matrix GROUP BY attribute HAVING count(DISTINCT uid) = (SELECT count(*) FROM respondents))""",
-)
-def a13(s):
-    """Attributes answered by everyone are entered as finished; the others are pending."""
-    path = new_folder(s.spark, "ledger")
-    everyone = s.respondents.select(F.count(F.lit(1))).scalar()
-    done = s.matrix.groupBy("attribute").agg(F.countDistinct("uid").alias("n")).where(F.col("n") == everyone)
-    start = F.col("n").cast("double")
-    tables.append_ledger(
-        done.select(
-            F.col("attribute").alias("model"), F.lit(2).alias("num_class"), F.lit(0).alias("iteration"),
-            start.alias("start_time"), (start + 1.0).alias("finish_time"), F.lit(1.0).alias("total_time"), F.lit(False).alias("retried"),
-        ),
-        path,
-    )
-    expected = s.model_plan.select(F.col("attribute").alias("model"), "n_respondents").distinct()
-    return tables.pending_models(expected, s.spark.read.schema(schemas.LEDGER).parquet(path))
-
-
-@query(
-    "a14_write_result_bundle",
-    """SELECT 'predictions' AS kind, attribute_model, count(*) AS n FROM predictions GROUP BY attribute_model
-       UNION ALL SELECT 'probabilities', attribute_model, count(*) FROM scores GROUP BY attribute_model""",
-)
-def a14(s):
-    root = new_folder(s.spark, "results")
-    frames = {"predictions": predictions_of(s), "probabilities": s.scores.drop("weight", "num_class")}
-    tables.write_result_bundle(root, frames)
-    # a second write of one model replaces that model only
-    tables.write_result_bundle(root, {"predictions": predictions_of(s).where(F.col("attribute_model") == "102")})
-    parts = [
-        s.spark.read.option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}")
-        .groupBy(F.col("attribute_model").cast("string").alias("attribute_model"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(kind).alias("kind"), "attribute_model", "n")
-        for kind in frames
-    ]
-    return parts[0].unionByName(parts[1])

@@ -89,6 +89,11 @@ def coverage_matrix(matrix: DataFrame, min_share: float) -> DataFrame:
     return wide_labels(kept, names)
 
 
+def covered_labels(matrix: DataFrame, min_share: float) -> DataFrame:
+    """Long labels of the attributes that reach ``min_share``; no column and no literal for each attribute."""
+    return matrix.join(covered_attributes(matrix, min_share).select("attribute"), "attribute", "left_semi")
+
+
 def exclude_attributes(df: DataFrame, excluded: Iterable[str], target: str | None = None, name: str = "attribute") -> DataFrame:
     """Drop a fixed list of attributes and the target itself from a long feature table."""
     return df.where(~F.col(name).isin([*excluded, *([target] if target else [])]))

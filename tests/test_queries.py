@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import compare, oracle_connection
+from panelfill.catalog import QUERIES as REPORTS
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
@@ -22,6 +23,12 @@ def test_rows_equal_the_sql(spark, con, name):
     assert ok, note
 
 
+@pytest.mark.parametrize("name", sorted(set(REPORTS) - set(entry.oracle_sql())))
+def test_queries_without_sql_give_rows(spark, name):
+    rows = entry.queries()[name](spark, FOLDER)
+    assert rows.columns == [c for c, _ in rows.dtypes] and rows.count() > 0
+
+
 def test_entry_is_lazy_and_stable(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["attribute", "sakey", "svkey"] and df.count() > 0
