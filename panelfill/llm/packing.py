@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,18 +97,44 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(i, capacity) for i in range(head, n, capacity)]
 
 
-def _pieces(path: str, capacity: int):
+def added_tokens(path: str | None) -> dict[str, int]:
+    """Ids of the tokens that a tokenizer file adds to its vocabulary: a text is split at them before anything else. No file, none."""
+    if path is None:
+        return {}
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take in more than their own text are not handled")
+    return {t["content"]: t["id"] for t in added if t["content"]}
+
+
+def _ids(texts, encoder: Encoder) -> tuple[memoryview, list[int]]:
+    chunks = Chunks(texts, GAPS)
+    return chunks.joined(encoder.of(chunks.values))
+
+
+def _split(text: str, added: dict[str, int], pattern, encoder: Encoder) -> bytes:
+    """Ids of a text that holds added tokens."""
+    parts = pattern.split(text)
+    ids, bounds = _ids(pa.array([p if p not in added else "" for p in parts], pa.large_string()), encoder)
+    return b"".join(np.array([added[p]], "<u4").tobytes() if p in added else ids[a:b] for p, a, b in zip(parts, bounds, bounds[1:]))
+
+
+def _pieces(path: str, added: dict[str, int], capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
+        pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         for table in slices(batches):
-            chunks = Chunks(table["text"], GAPS)
-            ids, bounds = chunks.joined(encoder.of(chunks.values))
+            texts = table["text"]
+            ids, bounds = _ids(texts, encoder)
+            holds = pc.match_substring_regex(texts, pattern.pattern).to_numpy() if pattern else np.zeros(len(texts), bool)
             rows: list[tuple] = []
-            for doc, a, b in zip(table["doc_id"].to_pylist(), bounds, bounds[1:]):
-                n = (b - a) // 4 + 1
+            for row, (doc, a, b) in enumerate(zip(table["doc_id"].to_pylist(), bounds, bounds[1:])):
+                own = _split(texts[row].as_py(), added, pattern, encoder) if holds[row] else ids[a:b]
+                n = len(own) // 4 + 1
                 for i, (start, length) in enumerate(cut(n, capacity)):
                     last = start + length == n
-                    crc = zlib.crc32(ids[a + 4 * start : a + 4 * (start + length - last)])
+                    crc = zlib.crc32(own[4 * start : 4 * (start + length - last)])
                     rows.append((doc, i, start, length, zlib.crc32(end, crc) if last else crc))
             columns = zip(*rows) if rows else [[]] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -131,10 +160,10 @@ def _placed(capacity: int, open_bins: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lane_tokens: int = LANE_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str, tokenizer: str | None = None, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lane_tokens: int = LANE_TOKENS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``path``: ranks of a byte-level BPE vocabulary. Pieces are dealt by a hash into lanes of about
+    ``path``: ranks of a byte-level BPE vocabulary; ``tokenizer``: the file that says which tokens are added to it. Pieces are dealt by a hash into lanes of about
     ``lane_tokens``; each lane is packed online by best fit with ``open_bins`` open bins, and a lane ends
     with at most that many sequences that are not full. A document of one token and more always gives a
     piece: its text's ids (none for a null or empty text) and the end id. Rows that repeat a doc_id are
@@ -145,7 +174,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
     """
     spark = docs.sparkSession
     ship(spark)
-    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), PIECES), "pieces")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(_pieces(path, added_tokens(tokenizer), capacity), PIECES), "pieces")
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     lanes = max(1, tokens // lane_tokens)
     return (

@@ -52,10 +52,12 @@ def test_pieces_hold_the_tokenizer_ids_and_fill_sequences(spark, table):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    files = [public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json")]
+    special = "<|endoftext|>"
+    specials = [special, special + " x", f"a{special}{special} b\n{special}", f"  {special}  ", special[:-1], f"é {special}é", f"x{special}" * 2000]
     r = random.Random(3)
-    rows = list(enumerate(ODD)) + [(100 + i, " ".join(r.choice(["alpha", "béta", "x1", "\n", "  gamma"]) for _ in range(r.randrange(1500)))) for i in range(60)]
-    got = packing.pack(table(rows), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    rows = list(enumerate(ODD)) + list(enumerate(specials, 50)) + [(100 + i, " ".join(r.choice(["alpha", "béta", "x1", "\n", "  gamma"]) for _ in range(r.randrange(1500)))) for i in range(60)]
+    got = packing.pack(table(rows), *files).collect()
     text = dict(rows)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for x in got:
@@ -76,7 +78,38 @@ def test_pieces_hold_the_tokenizer_ids_and_fill_sequences(spark, table):
             at += length
         assert at <= 1024
     assert len(by_sequence) <= 1.05 * -(-sum(x.length for x in got) // 1024) + 1
-    assert packing.pack(table([]), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packing.pack(table([]), *files).count() == 0
+
+
+def test_packing_like_a_plain_search():
+    """Each piece into the open bin with the least room that suffices, the newest of equal ones; the fullest closes first."""
+    r = random.Random(4)
+    for limit in (1, 3, 40):
+        bins, free, count = packing.Bins(50, limit), [], 0  # (room, order of being put there, number)
+        for step in range(3000):
+            length = r.choice([r.randrange(1, 51), r.randrange(1, 20), 50])
+            fits = [x for x in free if x[0] >= length]
+            if fits:
+                room = min(x[0] for x in fits)
+                best = max(x for x in fits if x[0] == room)
+                free.remove(best)
+            else:
+                best, count = (50, step, count), count + 1
+                if length < 50 and len(free) == limit:
+                    room = min(x[0] for x in free)
+                    free.remove(max(x for x in free if x[0] == room))
+            if best[0] > length:
+                free.append((best[0] - length, step, best[2]))
+            assert bins.put(length) == (best[2], 50 - best[0])
+
+
+def test_packing_null_and_repeated_ids(spark, table):
+    files = [public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("tiktoken", "json")]
+    rows = [(None, "a"), (None, "b c"), (None, None), (7, "x " * 3000), (7, "y"), (7, "y")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, lane int, piece int, length int")
+    got = packing.pack(docs, *files).collect()
+    assert sum(x.doc_id is None for x in got) == 3 and sum(x.length == 2 and x.doc_id == 7 for x in got) == 2
+    assert sorted(x.piece for x in got if x.doc_id == 7 and x.length > 2) == [0, 1, 2]
 
 
 def test_the_fullest_bin_closes_first():
