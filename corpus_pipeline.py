@@ -31,7 +31,7 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact), ("ngram_jaccard", drop_near), ("pii", hide_personal), ("packing", pack)]
