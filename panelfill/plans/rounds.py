@@ -16,7 +16,7 @@ from panelfill.operators import boosting as ob
 from panelfill.operators import calibration as ocal
 from panelfill.operators import scores as osc
 from panelfill.operators import shares as osh
-from panelfill.operators.association import chi2_before_after
+from panelfill.operators.association import chi2_before_after, closest_features, ks_two_sample
 from panelfill.operators.bootstrap import bootstrap_share_bounds
 from panelfill.operators.features import FeatureSpec, assemble_features, covered_levels
 from panelfill.operators.joins import not_in_keys
@@ -85,6 +85,7 @@ class RoundConfig:
     seed: int = 0
     keep_own_imputation: bool = False
     excluded: tuple[str, ...] = ()  # attributes that are never features, such as demographics
+    latent_top: int | None = None  # latent columns a model may use: those that tell respondents with and without its answer least
     min_share: float = 0.6  # round-0 features, where no core is given: attributes that more respondents than this answered
 
 
@@ -112,13 +113,30 @@ def core_levels(inputs: RoundInputs, config: RoundConfig) -> dict[str, int]:
     return covered_levels(inputs.labels, config.min_share, inputs.sizes, inputs.plan.where("proposed_round = 0"))
 
 
-def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: FeatureSpec, config: RoundConfig):
+def closest_latent(inputs: RoundInputs, attributes: Sequence[str], k: int) -> dict[str, tuple[str, ...]]:
+    """Of each attribute the ``k`` latent columns whose distributions differ least between respondents with and without a label.
+
+    One statistic job for all attributes and columns; what comes back are ``k`` names an attribute.
+    """
+    spark = inputs.latent.sparkSession
+    asked = spark.createDataFrame([(a,) for a in attributes], "attribute string")
+    known = inputs.labels.where(F.col("label").isNotNull()).select("uid", "attribute").distinct().withColumn("has", F.lit(True))
+    long = inputs.latent.select("uid", *inputs.latent_columns).unpivot(["uid"], list(inputs.latent_columns), "feature", "value")
+    rows = long.withColumn("attribute", F.explode(F.array(*[F.lit(a) for a in attributes]))).join(known, ["uid", "attribute"], "left")
+    ks = ks_two_sample(rows.withColumn("has", F.coalesce("has", F.lit(False))), "value", "has", ["attribute", "feature"])
+    found = closest_features(ks, k, ["attribute"]).join(asked, "attribute").groupBy("attribute").agg(F.collect_list("feature").alias("features")).collect()
+    return {r.attribute: tuple(r.features) for r in found}
+
+
+def fit_attribute(frame: DataFrame, attribute: str, num_class: int, spec: FeatureSpec, config: RoundConfig, latent: Sequence[str] | None = None):
     """Search and final fit of every class of one attribute: (models, best trials, retried).
 
     Every respondent of ``frame`` is scored along the final fit; only train and test rows with a label are searched on.
+    ``latent`` lists the latent columns to use, all unless given.
     """
     own = [] if config.keep_own_imputation else [attribute]
-    allowed = tuple(i for i, n in enumerate(spec.names) if n not in (*config.excluded, *own))
+    unused = [n for c in spec.latent if latent is not None and c not in latent for n in (c, f"{c}_missing")]
+    allowed = tuple(i for i, n in enumerate(spec.names) if n not in (*config.excluded, *own, *unused))
     classes = [1] if "_" in attribute else list(range(num_class))
     used = F.col("set_uid").isin("train", "test") & F.col("label").isNotNull()
 
@@ -183,13 +201,15 @@ def run_round(
     )
     base = assemble_features(people, answers, spec, inputs.latent).persist(StorageLevel.MEMORY_AND_DISK)
 
+    latent = closest_latent(inputs, unfitted, config.latent_top) if config.latent_top and unfitted else {}
+
     def fit(attribute):
         """Fit one attribute, write what belongs to it to its own partitions, and record it."""
         start = time.time()
         num_class = inputs.sizes[attribute]
         own = inputs.labels.where(F.col("attribute") == attribute).select("uid", F.col("label").cast("int").alias("label"))
         frame = base.join(own, "uid", "left").persist(StorageLevel.MEMORY_AND_DISK)
-        models, trials, retried = fit_attribute(frame, attribute, num_class, spec, config)
+        models, trials, retried = fit_attribute(frame, attribute, num_class, spec, config, latent.get(attribute))
         scores = ob.state_proba(models, frame, "_" in attribute).select(
             "uid", "set_uid", "wavekey", "respondentweight", "weight", F.lit(attribute).alias("attribute_model"), F.lit(num_class).alias("num_class"), "label", "probs"
         )

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from panelfill.functions import focal
+from panelfill.operators import association
 from panelfill.operators import boosting as ob
 from panelfill.operators import chained as och
 from panelfill.operators.features import FeatureSpec, assemble_features
@@ -385,6 +386,31 @@ def test_rounds_fill_hidden_answers(spark):
     assert all(0 <= r.share <= 1 and r.lower_bound_distribution <= r.upper_bound_distribution for r in report)
 
 
+def test_latent_columns_of_a_model_are_the_closest(spark, monkeypatch):
+    s = Survey(spark, FOLDER)
+    labels = s.labels.select("uid", "wavekey", "attribute", "label", "kind")
+    inputs = pr.RoundInputs(s.respondents, labels, s.model_plan, s.answer_codes, s.latent, ("ld_0", "ld_1", "ld_2", "ld_3"), MODELS, ("101",))
+    picked = pr.closest_latent(inputs, ["102", "104_1043"], 2)
+    for attribute, names in picked.items():
+        flagged = s.latent.unpivot(["uid"], ["ld_0", "ld_1", "ld_2", "ld_3"], "feature", "value")
+        flagged = flagged.join(s.labels.where(F.col("attribute") == attribute).select("uid", F.lit(True).alias("has")), "uid", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+        ks = {r.feature: (r.p_value, -r.statistic) for r in association.ks_two_sample(flagged, "value", "has", ["feature"]).collect() if r.p_value is not None}
+        assert set(names) == set(sorted(ks, key=lambda f: ks[f], reverse=True)[:2])
+    seen = {}
+    monkeypatch.setattr(ob, "final_fit", lambda rows, params: seen.setdefault("features", params.features))
+    spec = FeatureSpec({"101": 5}, ("ld_0", "ld_1"))
+    frame = spark.createDataFrame([(1, "train", 1)], "uid long, set_uid string, label int")
+    pr.fit_attribute(frame, "104_1043", 2, spec, pr.RoundConfig(search_trials=0), ("ld_1",))
+    assert [spec.names[i] for i in seen["features"]] == ["101", "ld_1", "ld_1_missing"]
+
+
+def test_default_boosting_stops_early_and_improves(rows):
+    """The defaults, once: 200 rounds with a patience of 30."""
+    model = ob.fit_newton_boost(rows, ob.BoostParams())
+    assert 30 < len(model.history) <= 200 and model.best_iteration < len(model.history)
+    assert model.history[model.best_iteration - 1][1] < model.history[0][1]
+
+
 def test_a_round_resumes_after_the_last_committed_model(spark, monkeypatch):
     """The second fit fails; the next run keeps the first model and fits the others."""
     s = Survey(spark, FOLDER)
@@ -397,6 +423,7 @@ def test_a_round_resumes_after_the_last_committed_model(spark, monkeypatch):
     real = pr.fit_attribute
 
     def failing(frame, attribute, *args):
+        assert args[-1] is None
         fitted.append(attribute)
         if len(fitted) == 2:
             raise RuntimeError("lost")
