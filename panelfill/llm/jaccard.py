@@ -539,7 +539,8 @@ def _unmet(cand: DataFrame, rows: DataFrame, sketches: DataFrame, found: DataFra
     A missed link joins two documents that met under one key with the same smallest document, so their
     components hang together through pairs of different components. Where some do, the documents of all but
     the largest component search count-vector R-trees over all of them, dealt by bands of set size, and by a
-    hash where a band has more than ``POINTS_A_TREE`` sets. The trees are searched twice: first on count vectors
+    hash where a band has more than ``POINTS_A_TREE`` sets. Queries of a leaf are dealt into parts of as many, each with all
+    points of the leaf, so that no task has more than that of either however many sets hang together. The trees are searched twice: first on count vectors
     alone, then with the shingles of the sets that the bounds leave, so that hits are verified in the task.
     """
 
@@ -552,23 +553,39 @@ def _unmet(cand: DataFrame, rows: DataFrame, sketches: DataFrame, found: DataFra
     tops = tops.union(tops.select(F.col("root").alias("component"), "root").distinct())
     # linked sets differ in size by less than one band
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    members = stored(named(sketches.select("doc", band.alias("band")), "doc", "component").join(tops, "component"), "members")
-    sizes = members.groupBy("root", "component").agg(F.count("*").alias("size"))
+    owned = named(sketches.select("doc", band.alias("band")), "doc", "component")
+    sizes = owned.groupBy("component").agg(F.count("*").alias("size")).join(tops, "component")
     main = sizes.groupBy("root").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    leaves = members.groupBy("root", "band").agg(F.ceil(F.count("*") / POINTS_A_TREE).cast("long").alias("leaves"))
-    points = members.join(main, "root").join(leaves, ["root", "band"]).withColumn("query", F.col("component") != F.col("main"))
-    points = points.withColumn("leaf", F.pmod(F.xxhash64("doc"), "leaves"))
+    tops = stored(tops.join(main, "root"), "tops")  # a row a component: a document finds root and main by its component
+    members = stored(owned.join(tops, "component").withColumn("query", F.col("component") != F.col("main")), "members")
+    # bands of so many sets or queries that they are cut: of each how many leaves, and parts of the queries
+    bands = members.groupBy("root", "band").agg(F.count("*").alias("n"), F.count_if("query").alias("queries"))
+    reach = bands.select("root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "queries")
+    reach = reach.groupBy("root", "band").agg(F.sum("queries").alias("queries"))
+    share = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / POINTS_A_TREE)).cast("long")
+    cut = bands.drop("queries").join(reach, ["root", "band"]).select("root", "band", share("n").alias("leaves"), share("queries").alias("parts"))
+    cut = stored(cut.filter("leaves > 1 OR parts > 1"), "leaves")
+
+    def with_leaves(df):
+        one = F.lit(1).cast("long")
+        return df.join(cut, ["root", "band"], "left").withColumns({"leaves": F.coalesce("leaves", one), "parts": F.coalesce("parts", one)})
+
+    own_part = F.pmod(F.xxhash64("doc", F.lit("part")), "parts")
+    points = with_leaves(members).withColumn("leaf", F.pmod(F.xxhash64("doc"), "leaves"))
     asked = points.filter("query").select("root", "query", "doc", "component", F.col("band").alias("own"), F.col("leaf").alias("home"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    asked = asked.join(leaves, ["root", "band"]).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
-    asked = asked.filter("band <> own OR leaf <> home")
-    columns = ["root", "band", "leaf", "role", "query", "doc", "component"]
+    known = bands.select("root", "band")  # a band without sets has no leaf
+    asked = with_leaves(asked.join(known, ["root", "band"], "left_semi")).withColumn("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("leaves") - 1)))
+    asked = asked.filter("band <> own OR leaf <> home").withColumn("part", own_part)
+    points = points.withColumn("own_part", own_part).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    points = points.withColumn("query", F.col("query") & (F.col("part") == F.col("own_part")))
+    columns = ["root", "band", "leaf", "part", "role", "query", "doc", "component"]
     placed = points.withColumn("role", F.lit(0)).select(columns).union(asked.withColumn("role", F.lit(1)).select(columns))
     tasks = max(1, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def by_leaf(df):
         return df.repartition(tasks, "root", "leaf").sortWithinPartitions("root", "leaf", "role", "doc")
 
-    full = placed.withColumn("leaf", F.xxhash64("band", "leaf")).join(sketches, "doc").select([c.split(" ")[0] for c in NEAR.split(", ")])
+    full = placed.withColumn("leaf", F.xxhash64("band", "leaf", "part")).join(sketches, "doc").select([c.split(" ")[0] for c in NEAR.split(", ")])
     near = stored(by_leaf(full).mapInArrow(_near(percent), NEAR), "near")
     sets = _sets_of(rows, near.select("doc"), size)
     return by_leaf(near.join(sets, "doc")).mapInArrow(_searched(percent), "a long, b long")

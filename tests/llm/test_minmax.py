@@ -62,6 +62,23 @@ def test_near_copies_like_brute_force(spark, table):
     assert kept.columns == ["doc_id", "text", "key", "n"] and sorted(x.doc_id for x in kept.collect()) == [w[0] for w in want if w[3]]
 
 
+def test_no_link_is_lost_where_leaves_and_queries_are_cut(spark, table, monkeypatch):
+    monkeypatch.setattr(jaccard, "POINTS_A_TREE", 4)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(120):  # a crowd around one text, each with changes of its own
+        words = list(base)
+        for _ in range(r.randrange(1, 9)):
+            words[r.randrange(len(words))] = f"c{r.randrange(60)}"
+        rows.append((i * 3 + 1, " ".join(words)))
+    sets = {i: _set(t) for i, t in rows}
+    least = _least(sets, 80)
+    assert len(set(least.values())) > 5
+    for got in (minmax.near_copies(table(rows)), jaccard.jaccard_join(table(rows), 4, 80)):
+        assert {x.doc_id: x.component_id for x in got.collect()} == least
+
+
 def test_near_copies_of_nulls_repeats_and_nothing(spark, table):
     assert minmax.near_copies(table([])).count() == 0
     a, b = ("".join(f" {x}{i}" for i in range(30)) for x in "ab")
