@@ -1,4 +1,4 @@
-"""Substring dedup: documents are factored against an index of reference blocks."""
+"""Substring dedup: windows of words are grouped in an index of reference blocks."""
 
 from __future__ import annotations
 
@@ -241,10 +241,10 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
 def drop_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
-    Documents are parsed against every reference block: a factor is a maximal run of words that an earlier
-    text holds, found window by window, so that a factor's boundary never hides a window that lies across
-    it. Factors of ``window`` words and more are duplicate spans, and their words go; what counts as earlier
-    is the place in the input (document id, then word), not what is left. Words stay byte for byte.
+    Every window of ``window`` words is looked up among all windows, dealt to reference blocks by its anchor. Windows that
+    also start earlier are duplicate; runs of them are spans, and their words go. What counts as earlier is the place in
+    the input (document id, then word), not what is left. Words stay byte for byte. This takes the place of a greedy
+    Lempel-Ziv parse, whose factors may end inside such a window.
 
     Null text has no words; texts shorter than a window keep all theirs. A null doc_id counts as smaller than
     any other. Rows that repeat a doc_id and text are one document and get the same answer; rows that share an id,
