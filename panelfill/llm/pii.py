@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GENERALISE = 0.85
 REMOVE = 0.95
 FILTER_BITS = 22
+IDENTIFIERS = 8
+BITS = 7
 
 # The base patterns, written so that no text makes them go back: a run of characters that a match may begin with
 # is entered at its first character or where the last match ended.
@@ -115,14 +117,16 @@ def disclosure(total: int, incidences: int) -> Column:
     A term of ``n_term`` documents meets the value's documents, which hold ``held`` of all ``incidences`` of a term in a
     document, ``both`` times by chance with a Poisson probability; ``terms`` terms of that many documents exist, so that
     probability times ``terms`` of them are expected to, with two standard deviations above, and ``alike`` of them do. The share
-    beyond chance, times both / n_term, is a lower bound of the probability of the value where the term stands; the
-    result is its pointwise mutual information over the information of the value, 0 to 1.
+    beyond chance, times both / n_term, is a lower bound of the probability of the value where the term stands. Of many terms
+    with the same numbers, as in copies of one text, ``IDENTIFIERS`` may belong to the value, so each has their share of the
+    probability only. The result is its pointwise mutual information over the information of the value, 0 to 1; of that, what
+    tells the value from more than 2 ** ``BITS`` others is not counted, so that the result does not rise with the corpus.
     """
     rate = F.col("n_term") * F.col("held") / F.lit(float(max(1, incidences)))
     expected = F.col("terms") * F.exp(F.col("both") * F.log(rate) - rate - _log_factorial(F.col("both")))
     chance = F.least(F.lit(1.0), (expected + 2 * F.sqrt(expected)) / F.col("alike"))
-    probability = (1 - chance) * F.col("both") / F.col("n_term")
-    worth = F.log2(F.lit(float(total)) / F.col("n_value"))
+    probability = (1 - chance) * F.least(F.lit(1.0), F.lit(float(IDENTIFIERS)) / F.col("alike")) * F.col("both") / F.col("n_term")
+    worth = F.least(F.lit(float(BITS)), F.log2(F.lit(float(total)) / F.col("n_value")))
     return F.when((worth > 0) & (probability > 0), F.greatest(F.lit(0.0), 1 + F.log2(probability) / worth)).otherwise(0.0)
 
 
