@@ -17,8 +17,10 @@ def _bits(value: Column, shift: int) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Hash of each word; of the empty text one hash."""
-    return F.transform(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+    """Hash of each word, of the empty text one hash; of a text without white space between words, of each character."""
+    parts = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    many = F.rlike(text, F.lit(r"[^\x20\x09-\x0D][\x20\x09-\x0D]++[^\x20\x09-\x0D]"))
+    return F.when(many | (F.length(text) == 0), F.transform(parts, lambda w: F.xxhash64(w))).otherwise(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)))
 
 
 def _word_runs(words: str, gram: int) -> Column:
@@ -88,12 +90,18 @@ def likeness(a: str, b: str) -> Column:
     return F.size(F.array_intersect(one, two)) / F.size(F.array_union(cells(one), cells(two)))
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Documents with the number of their range of ids; ranges hold about as many documents each."""
-    spark = docs.sparkSession
-    ranges = BUCKETS_A_TASK * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def cut_points(docs: DataFrame) -> list[int]:
+    """Ids that cut the documents into ranges of about as many each, four ranges a shuffle partition.
+
+    The points are approximate, and another run may find others: whoever places documents by them must use one list.
+    """
+    ranges = BUCKETS_A_TASK * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     points = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    points = sorted(set(points or []))
+    return sorted(set(points or []))
+
+
+def _bucketed(docs: DataFrame, points: list[int]) -> DataFrame:
+    """Documents with the number of their range of ids."""
     if not points:
         return docs.withColumn("range", F.lit(0))
     bounds = F.array(*[F.lit(p).cast("long") for p in points])
@@ -110,31 +118,30 @@ def _bucketed(docs: DataFrame) -> DataFrame:
 def next_document(docs: DataFrame) -> DataFrame:
     """Add next_text and next_print: the text and fingerprint of the next document by id, of the first after the last.
 
-    Documents are sorted inside ranges of ids; a range's last document finds the next range's first through a
-    table of one id a range. Rows that share an id, also null, follow each other by text; nulls come first.
+    Documents are sorted inside ranges of ids. Of each range the first document is found by its id and sent along with the
+    range before it, as a row behind its last, so no text is broadcast. Rows that share an id, also null, follow each
+    other by text; nulls come first.
     """
-    rows = with_fingerprint(_bucketed(docs), "text", "fingerprint")
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("place", F.row_number().over(order))
-    inner = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("fingerprint").over(order)).withColumn("last", F.lead("place").over(order).isNull())
-    # the first document of each range: its id from the ids alone, then its row
-    low = _bucketed(docs).groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).getField("doc_id").alias("doc_id"))
+    points = cut_points(docs)
+    rows = _bucketed(docs, points)
+    low = rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).getField("doc_id").alias("doc_id"))
     ranges = low.withColumn("before", F.lag("range").over(Window.orderBy("range"))).withColumn("top", F.max("range").over(Window.partitionBy()))
-    ranges = ranges.withColumn("before", F.coalesce("before", "top"))
+    ranges = ranges.select("doc_id", F.coalesce("before", "top").alias("before"))
     heads = docs.join(F.broadcast(ranges), docs.doc_id.eqNullSafe(ranges.doc_id)).groupBy("before").agg(F.min("text").alias("text"))
-    heads = with_fingerprint(heads, "text", "head_print").select(F.col("before").alias("range"), F.col("text").alias("head_text"), "head_print", F.lit(True).alias("last"))
-    joined = inner.join(F.broadcast(heads), ["range", "last"], "left")
-    return joined.select(
-        "doc_id", "text", "fingerprint", F.coalesce("next_text", "head_text").alias("next_text"), F.coalesce("next_print", "head_print").alias("next_print")
-    )
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("range"), F.lit(True).alias("sent"))
+    both = with_fingerprint(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "range", F.lit(False).alias("sent")).union(heads), "text", "fingerprint")
+    order = Window.partitionBy("range").orderBy("sent", F.col("doc_id").asc_nulls_first(), "text")
+    both = both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("fingerprint").over(order))
+    return both.filter("NOT sent").select("doc_id", "text", "fingerprint", "next_text", "next_print")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text whose second half (the smaller, in code points) gives way to the beginning of
-    the next document. All in DataFrame functions; one shuffle of the texts, by ranges of ids. What is broadcast
-    has one row a range, ranges being four a shuffle partition.
+    the next document. All in DataFrame functions; one shuffle of the texts, by ranges of ids. What is broadcast is one id a
+    range, ranges being four a shuffle partition. Of a text without white
+    space between words the characters are taken for words.
 
     Null text counts as empty; empty texts have equal fingerprints. A table of one row is its own next document.
     An empty table gives an empty table; further columns are ignored.
