@@ -175,12 +175,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     """Fit on at most ``rows`` labelled documents, the first by a hash of their id, none of the held-out fold.
 
     Only their features reach the driver. Labels without a document, and null labels, are left out; of a document
-    labelled more than once the smallest label counts.
+    labelled more than once the smallest label counts, of an id with several texts the smallest text.
     """
     ship(docs.sparkSession)
     known = labels.filter("quality IN (0, 1)").filter(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_featured, "quality int, columns array<int>, values array<float>").toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    found = texts.mapInArrow(_featured, "quality int, columns array<int>, values array<float>").toArrow()
     columns, values = found["columns"].combine_chunks(), found["values"].combine_chunks()
     if not found.num_rows:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), [])
