@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from panelfill.llm import fingerprint, pages, pii, quality
+from panelfill.llm import exact, fingerprint, jaccard, pages, pii, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,6 +61,72 @@ def test_fingerprints(spark, table):
     assert fingerprint.fingerprints(table([])).count() == 0
 
 
+def test_quality_of_repeated_ids_and_long_texts(spark, monkeypatch):
+    """A labelled id that many rows repeat is one row of the fit; every row is scored, equal ones alike."""
+    rows = [(i, "good text with many words of it. " * 4 if i % 2 else "spam !!! $$$ " * 9) for i in range(40)]
+    rows += [(1, rows[1][1])] * 300 + [(3, "another text of the same id")] * 50 + [(7, "long words " * 60_000), (None, "x")]
+    inner = ["quality", "score", "held_out", "columns", "values"]
+    docs = spark.createDataFrame([(i, t, *([1] * 5)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in inner))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    seen, real = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda bounds, *rest: seen.append(len(bounds) - 1) or real(bounds, *rest))
+    got = quality.score(docs, quality.train(docs, labels, 20)).collect()
+    assert seen[0] <= 20 and len(got) == len(rows)
+    assert len({x.score for x in got if x.doc_id == 1}) == 1
+
+
+def test_next_documents_whatever_cut_points_a_run_finds(spark, table, monkeypatch):
+    """Two calls may find different points, as merging sketches in another order does; one document's next must not depend on it."""
+    rows = [(3 * i, f"text of {i} here") for i in range(200)]
+    real, calls = fingerprint.cut_points, []
+
+    def other(docs):
+        calls.append(1)
+        return real(docs) if len(calls) % 2 else [p + 1 + 7 * (p % 3) for p in real(docs)]
+
+    monkeypatch.setattr(fingerprint, "cut_points", other)
+    for _ in range(2):
+        got = {x.doc_id: x for x in fingerprint.fingerprints(table(rows)).collect()}
+        for k, (i, t) in enumerate(rows):
+            after = rows[(k + 1) % len(rows)][1]
+            half = len(t) // 2
+            assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+    assert len(calls) == 2
+
+
+def _plain_print(words, gram=3, cells=32):
+    """Order sketches without Spark, on names for hashes: which runs each cell selects, in text order."""
+    runs = [tuple(words[i : i + gram]) for i in range(len(words) - gram + 1)] if len(words) >= gram else [tuple(words)]
+    seen, numbered = Counter(), []
+    for place, run in enumerate(runs):
+        numbered.append((run, seen[run], place))
+        seen[run] += 1
+    return numbered
+
+
+def test_fingerprint_depends_on_numbered_runs_and_their_order_only(spark, table):
+    """Equal selections give equal sketches: texts whose numbered runs agree agree in all, and one lost run costs its cell only."""
+    words = [f"w{i % 90}" for i in range(400)]
+    same = "  ".join(words) + "\n"
+    rows = [(1, " ".join(words)), (2, same), (3, " ".join(words + ["extra"])), (4, " ".join(words[::-1])), (5, " ".join(words * 2))]
+    got = {x.doc_id: x for x in fingerprint.fingerprints(table(rows)).collect()}
+    assert _plain_print(words) == _plain_print(same.split()) and got[1].fingerprint == got[2].fingerprint
+    new = set(_plain_print(words + ["extra"])) - set(_plain_print(words))
+    changed = set(got[2].fingerprint.split()) ^ set(got[3].fingerprint.split())
+    assert len(new) == 1 and len(changed) <= 2 and got[2].near_next >= 31 / 33
+    assert got[3].near_next < 0.2  # the same words backwards
+    assert got[4].near_next < 0.2
+    assert len(got[1].fingerprint.split()) == 32
+
+
+def test_fingerprint_of_texts_without_white_space(spark):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefghijklmnop") for _ in range(3000))
+    rows = [(1, long, 1, 2), (2, long[:1500] + "X" + long[1500:], 1, 2), (3, "x" * 200_000, 1, 2), (4, "y z " * 100_000, 1, 2)]
+    got = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, range int, sent int")).collect()}
+    assert got[1].near_next > 0.5 and got[2].near_next == 0.0 and got[3].n_chars == 200_000
+
+
 def test_order_counts_in_a_fingerprint(spark, table):
     words = [f"w{i}" for i in range(400)]
     rows = [(1, " ".join(words)), (2, " ".join(words[200:] + words[:200])), (3, " ".join(reversed(words)))]
@@ -87,6 +153,66 @@ def test_pages(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _site(r, host, n):
+    """Pages of one invented host with the article text of each, known since they are made from it."""
+    words = [f"{r.choice('bcdfglmnprst')}{r.choice('aeiou')}{r.choice('lmnrst')}{r.choice(['', 'a', 'en', 'ing'])}" for _ in range(300)]
+    prose = lambda k: " ".join(r.choice(words) for _ in range(k)).capitalize() + "."
+    tag, name = r.choice([("article", "post"), ("div", "story-text"), ("section", "body-copy"), ("div", "col main-copy")])
+    odd = r.choice(["notice-board-history", "art-form", "banner-year", "search-for-meaning", "social-contract-theory"])
+    menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in words[:6])
+    notice, form = prose(12), '<form class="newsletter-box"><p>' + prose(15) + '</p><input name="x"></form>'
+    pages_ = []
+    for i in range(n):
+        blocks_ = [("h1", prose(4))] + [("p", prose(r.randrange(15, 40))) for _ in range(r.randrange(2, 6))]
+        inner = [f"<{t}>{x}</{t}>" for t, x in blocks_]
+        extra = prose(25)
+        inner.insert(r.randrange(1, len(inner) + 1), None)
+        at = inner.index(None)
+        inner[at] = f'<div class="{odd}"><p>{extra}</p></div>'
+        truth = [x for _, x in blocks_]
+        truth.insert(at, extra)
+        noise = r.choice(['<div class="ad-slot-3">' + prose(20) + "</div>", '<span class="ad">' + prose(5) + "</span>", f'<div class="share-this-tool"><a href="#">{prose(3)}</a></div>', ""])
+        inner.insert(r.randrange(1, len(inner) + 1), noise)
+        comments = '<div class="comments">' + "".join(f'<div class="comment-{k}"><p>{prose(30)}</p></div>' for k in range(r.randrange(4))) + "</div>"
+        html = f"""<html><head><title>{words[0]}</title></head><body><div class="site-header"><ul class="menu">{menu}</ul></div><nav>{menu}</nav>
+        <div id="cookie-notice">{notice}</div><div class="related-reading-tips"><p>{notice} {notice}</p></div><{tag} class="{name}" id="p{i}">{chr(10).join(inner)}</{tag}>
+        {form}{comments}<aside><p>{prose(30)}</p></aside><footer><p>{notice}</p></footer></body></html>"""
+        pages_.append((f"https://{host}/{i}", html, "\n".join(truth)))
+    return pages_
+
+
+def test_pages_of_known_articles(spark):
+    """Articles keep their blocks with odd class names; what repeats on a host, links, adverts and comments stay out."""
+    r = random.Random(12)
+    made = [p for k in range(8) for p in _site(r, f"h{k}.example", r.choice([1, 5, 20]))]
+    rows = [(i, url, html, 5, "p") for i, (url, html, _) in enumerate(made)]
+    got = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, kind int, path string")).collect()}
+    wrong = [(got[i], text) for i, (_, _, text) in enumerate(made) if got[i] != text]
+    assert not wrong, wrong[0]
+
+
+def test_a_name_with_other_words_is_judged_by_its_text(spark):
+    long = "Many words of this very article about the history of the town stand in this place, %s."
+    page = '<article><p>Opening words of an article, long enough to count, %s.</p><div class="%s"><p>%s</p></div><p>Closing words of it.</p></article>'
+    rows = [(i, f"http://a.org/{i}", page % (i, "notice-board-history", long % i)) for i in range(4)]
+    rows += [(10 + i, f"http://b.org/{i}", page % (i, "notice-board-history", long % "always the same")) for i in range(4)]
+    rows += [(20 + i, f"http://c.org/{i}", page % (i, "art-form", f'<a href="x">{long % i}</a>')) for i in range(4)]
+    rows += [(30 + i, f"http://d.org/{i}", page % (i, "art-form comments", long % i)) for i in range(4)]
+    got = {x.page_id: x.text.split("\n") for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == [f"Opening words of an article, long enough to count, {i}.", long % i, "Closing words of it."]
+        assert all(len(got[k + i]) == 2 for k in (10, 20, 30))
+
+
+def test_votes_have_no_cap(spark):
+    """One page with a very long article outweighs three short ones in another place."""
+    big = '<div class="long-read"><p>' + "word " * 60_000 + "</p></div>"
+    small = '<div class="short-read"><p>' + "brief " * 100 + '</p></div><div class="long-read"><p>tiny</p></div>'
+    rows = [(0, "http://a.org/0", big)] + [(i, f"http://a.org/{i}", small) for i in (1, 2, 3)]
+    paths = pages.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [x.label for x in paths] == ["div.long-read"]
+
+
 def test_broken_markup_does_not_stop_a_page():
     for text in ("<", "<<<>", "<a", "<!-- x", "<div " * 50, "</p></div>", "<p" + "<b>" * 2000, "<script>x", "&#xD800;&#0;&bogus;"):
         elements, found = pages.blocks(text)
@@ -176,9 +302,9 @@ def test_disclosure_like_a_plain_count(spark, table):
             k = n_term[t]
             rate = k * held / incidences
             expected = spectrum[k] * math.exp(-rate) * rate**j / math.factorial(j)
-            p = (1 - min(1, (expected + 2 * math.sqrt(expected)) / kinds[j, k])) * j / k
+            p = (1 - min(1, (expected + 2 * math.sqrt(expected)) / kinds[j, k])) * min(1, 8 / kinds[j, k]) * j / k
             if p > 0:
-                want[t] = max(want.get(t, 0), 1 + math.log2(p) / math.log2(len(rows) / len(docs)))
+                want[t] = max(want.get(t, 0), 1 + math.log2(p) / min(7, math.log2(len(rows) / len(docs))))
     want = {t: x for t, x in want.items() if x >= pii.GENERALISE}
     docs = table(rows)
     found = pii.base_spans(docs).select("text", F.xxhash64("doc_id", "text").alias("key"), F.concat(*map(pii._mentions, pii.KINDS)).alias("mentions")).filter(F.size("mentions") > 0)
@@ -191,6 +317,19 @@ def test_disclosure_like_a_plain_count(spark, table):
         assert [s for s in spans[i].split(",") if s.startswith("term")] == [f"term:{a}:{b}" for a, b in hidden]
 
 
+def test_copies_do_not_give_their_words_away(spark, table):
+    """A long text with a value and its near copy: their rare words are no identifiers, and stay in other texts too; a name stays one."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(4))
+    rare = [word() for _ in range(200)]
+    rows = [(0, " ".join(rare) + " mail q@z.org"), (1, " ".join(rare[:190]) + " mail q@z.org")]
+    rows += [(10 + i, f"{r.choice(rare)} {word()} wrote the usual mail from the day") for i in range(300)]
+    rows += [(400 + i, f"{word()} Quint wrote the usual mail from x@y.org to {word()}") for i in range(6)]
+    spans = {x.doc_id: x.spans for x in pii.personal_data(table(rows)).collect()}
+    assert all("term" not in spans[i] for i, _ in rows if i < 400)
+    assert all(spans[400 + i].count("term") == 1 for i in range(6))
+
+
 def test_personal_data_with_clashing_names_nulls_and_repeats(spark):
     inner = ["_marks", "_mark_key", "key", "row", "maybe", "marks", "_word", "_bits", "email", "terms"]
     rows = [(1, "to a@b.org"), (1, "to a@b.org"), (None, "from 10.0.0.1 on"), (None, None), (2, ""), (3, "x" * 200_000 + " a@b.org")]
@@ -219,6 +358,19 @@ def test_pipeline_stages_keep_documents_and_clean_text(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids and 0 < len(ids) < before.count()
 
 
+def test_pipeline_stages_with_clashing_names_nulls_and_nothing(spark):
+    """Each stage that returns documents, on columns named as inner ones are, nulls, repeated rows and an empty table."""
+    inner = ["score", "held_out", "predicted", "quality", "norm", "salt", "place", "row", "text_sha256", "_node", "_gone", "_marks", "_mark_key", "maybe", "key"]
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a  b c d e f g"), (None, None), (None, "to x@y.org"), (3, ""), (4, "word " * 50_000)]
+    docs = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in inner]) for i, t in rows], ["doc_id", "text", *inner])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: quality.keep_good(d, labels), exact.drop_copies, lambda d: jaccard.drop_near_copies(d, 5, 80), pii.sanitise):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        assert all(x[c] == f"{c}{x.doc_id}" for x in got.collect() for c in inner)
+        assert stage(docs.limit(0)).count() == 0
+
+
 def test_registered():
     numbered = [n for n in entry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in numbered] == list(range(1, 14)) and "pipeline" in entry.queries()

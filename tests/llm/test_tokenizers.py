@@ -48,6 +48,14 @@ def test_query_gives_the_library_digests(spark, table, library):
     assert pieces.encode_documents(table([]), MODEL).count() == 0
 
 
+def test_encoding_of_null_and_repeated_ids_and_clashing_names(spark, library):
+    rows = [(None, "a b"), (None, "a b"), (None, None), (3, "one"), (3, "two"), (4, "long text " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, ids_sha256 string, n_tokens int, ids string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(i, len(ids := library.encode(t or "")), sha(",".join(map(str, ids))), sha(library.decode(ids))) for i, t in rows]
+    assert sorted(map(tuple, pieces.encode_documents(docs, MODEL).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pieces_hold_the_tokenizer_ids_and_fill_sequences(spark, table):
     from tokenizers import Tokenizer
 
