@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,14 +58,25 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One row of each normalised text, with the columns of ``docs``: the smallest id, null last, then the smallest text.
+    """One row of each normalised text, with the columns of ``docs``: the smallest id, null last, then the smallest text, then the other columns.
 
-    Rows are combined as in :func:`exact_dedup`: in the tasks, by salt, then the salts' winners.
+    Rows are combined as in :func:`exact_dedup`: in the tasks, by salt, then the salts' winners. A row travels as one
+    struct in the order it is compared in, so beside the normalised text the text goes along once. Columns that have
+    no order (maps) do not decide and follow the row that wins.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    rows = docs.select(normalised(F.col("text")).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), place.alias("place"), F.struct(*docs.columns).alias("row"))
-    salted = rows.groupBy("norm", "salt").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place"))
-    return salted.groupBy("norm").agg(F.min_by("row", "place").alias("row")).select("row.*")
+    col = lambda c: F.col(f"`{c}`")
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    loose = [f.name for f in others if re.search("map<|variant", f.dataType.simpleString())]
+    firm = [f.name for f in others if f.name not in loose]
+    first = [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text").alias("text")]
+    columns = {"row": F.struct(*first, *([F.struct(*map(col, firm)).alias("firm")] if firm else []))}
+    if loose:
+        columns["loose"] = F.struct(*map(col, loose))
+    rows = docs.select(normalised(F.col("text")).alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), *[c.alias(n) for n, c in columns.items()])
+    best = [F.min("row").alias("row"), *([F.min_by("loose", "row").alias("loose")] if loose else [])]
+    found = rows.groupBy("norm", "salt").agg(*best).groupBy("norm").agg(*best)
+    place = {"doc_id": "row.id", "text": "row.text"} | {c: f"row.firm.`{c}`" for c in firm} | {c: f"loose.`{c}`" for c in loose}
+    return found.select(*[F.col(place[c]).alias(c) for c in docs.columns])
 
 
 SQL = r"""

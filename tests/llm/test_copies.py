@@ -37,6 +37,20 @@ def test_one_row_of_each_text_stays(spark, table):
     assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([(None, "only  null"), (2, "one"), (2, "own of two"), (None, "x"), (4, None)], key=repr)
 
 
+def test_the_row_that_stays_is_whole(spark):
+    rows = [(2, "a  b", "z", {"k": 1}, 5), (1, "a b", "y", {"k": 2}, 6), (1, "a b", "x", {"k": 3}, 7), (None, "a\tb", "w", None, 8), (9, "own", None, {}, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, loose map<string,int>, `firm.norm` int")
+    for some, want in (
+        (docs, [(1, "a b", "x", {"k": 3}, 7), (9, "own", None, {}, None)]),
+        (docs.select("loose", "text", "doc_id"), None),
+        (docs.select("text", "doc_id"), [("a b", 1), ("own", 9)]),
+    ):
+        got = exact.drop_copies(some.repartition(3))
+        assert got.schema.simpleString() == some.schema.simpleString()
+        found = sorted(map(tuple, got.collect()), key=repr)
+        assert found == sorted(want, key=repr) if want else len(found) == 2
+
+
 def test_sharding(spark, table):
     r = random.Random(1)
     rows = EDGES + [(100 + i, "x" * r.randrange(300)) for i in range(700)] + [(1000 + i, "copy") for i in range(100)] + [(1000, "copy")]
