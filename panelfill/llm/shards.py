@@ -137,32 +137,36 @@ def shard(docs: DataFrame, shards: int = 8, crates_a_shard: int = CRATES_A_SHARD
     own into crates of a ``crates_a_shard``-th of a shard by best fit decreasing; a larger group is a crate of
     its own. The crates, at most ``2 * shards * crates_a_shard`` plus one a lane, are then packed into the
     shards at the smallest capacity that does. So no task holds more groups than a lane, and the driver only
-    the crates. Shards differ by about one crate, unless a group alone is larger than a shard.
+    the crates. Shards differ by about one crate, unless a group alone is larger than a shard. Rows find the shard of
+    their group by digest and salt, the salts a group has only, so the rows of one text are spread over as many
+    tasks as there are shuffle partitions.
 
     Null text: size 1, crc of the empty text, in one group with empty texts. Rows that repeat a doc_id get a
     slot each. An empty table gives an empty table; further columns are ignored.
     """
     spark = docs.sparkSession
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("digest"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(tasks)).cast("int").alias("salt"),
     )
     rows = stored(rows, "shard-rows")
-    groups = stored(rows.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-groups")
+    salted = rows.groupBy("digest", "salt").agg(F.sum("size").alias("bytes"))
+    groups = stored(salted.groupBy("digest").agg(F.sum("bytes").alias("bytes"), F.collect_set("salt").alias("salts")), "shard-groups")
     total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     capacity, lanes = max(1, total // (shards * crates_a_shard)), max(1, -(-count // lane_groups))
     placed = stored(crates(groups, capacity, lanes), "shard-crates")
     found = placed.groupBy("lane", "crate").agg(F.sum("bytes").alias("bytes")).orderBy("lane", "crate").collect()
     at = into_shards([r.bytes for r in found], shards)
     table = pa.table({"lane": pa.array([r.lane for r in found], pa.int64()), "crate": pa.array([r.crate for r in found], pa.int64()), "shard": pa.array(at, pa.int32())})
-    where = placed.join(spark.createDataFrame(table), ["lane", "crate"]).select("digest", "shard")
-    dealt = stored(rows.join(where, "digest").select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
+    where = placed.join(spark.createDataFrame(table), ["lane", "crate"]).join(groups, "digest").select("digest", F.explode("salts").alias("salt"), "shard")
+    dealt = stored(rows.join(where, ["digest", "salt"]).select("doc_id", "size", "text_crc32", "shard"), "shard-dealt")
     # slots: rows are numbered inside (shard, chunk); a chunk starts where the chunks before it end
-    chunks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(chunks)))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(tasks)))
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
