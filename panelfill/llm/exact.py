@@ -18,18 +18,20 @@ def normalised(text: Column) -> Column:
     return F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat)
 
 
-def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Three stages, each comparing the whole normalised text and not only its digest: rows are combined
     inside each task (the map side of the first grouping), then by salted digest, then the salts' winners
-    by digest. A group that holds a third of all rows so reaches the last stage as at most ``salts`` rows.
+    by digest. A group that holds a third of all rows so reaches the last stage as at most ``salts`` rows; by
+    default there are as many salts as shuffle partitions, 64 at least, so the group is spread over all tasks.
     Rows find their group again through digest, second hash, length and salt, so that join is spread as well.
 
     Null text counts as empty. A null doc_id never wins unless all of a group are null; then all of them
     stay. Rows that repeat both doc_id and text count as rows of the group and get the same answer. An empty
     table gives an empty table; further columns are ignored.
     """
+    salts = salts or max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).select(
         "doc_id",
         "norm",
