@@ -19,6 +19,7 @@ RANK = 8
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
 FOLDS = 5
+SCORED_BYTES = 1 << 20  # text at once: arrays of a byte or a word are some fifty times as large
 STATISTICS = (
     "words", "bytes", "lines", "word_length", "distinct", "commonest", "echo", "symbols", "bars", "digits", "capitals", "stops", "commas", "wide", "line_copies", "long_words",
 )
@@ -162,7 +163,7 @@ def in_training(doc_id) -> F.Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in slices(batches):
+    for table in slices(batches, size=SCORED_BYTES):
         bounds, column, value = features(table["text"])
         offsets = pa.array(bounds, pa.int32())
         yield pa.record_batch(
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 def _scored(machine):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = machine.value
-        for table in slices(batches):
+        for table in slices(batches, size=SCORED_BYTES):
             score = model.scores(table["text"])
             yield pa.record_batch(
                 [table["doc_id"].combine_chunks().cast(pa.int64()), table["held_out"].combine_chunks(), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
@@ -228,7 +229,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [s >= THRESHOLD for table in slices(iter([batch])) for s in model.value.scores(table["text"])]
+            good = [s >= THRESHOLD for table in slices(iter([batch]), size=SCORED_BYTES) for s in model.value.scores(table["text"])]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

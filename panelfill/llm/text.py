@@ -17,8 +17,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.Table]:
-    """Tables of about ``SLICE_BYTES`` of text; a longer text comes alone and whole. Null texts become empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Tables of about ``size`` bytes of text; a longer text comes alone and whole. Null texts become empty."""
     for batch in batches:
         table = pa.Table.from_batches([batch]).combine_chunks()
         texts = pc.fill_null(table[column].cast(pa.large_string()), "")
@@ -27,7 +27,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         at = 0
         while at < table.num_rows:
             before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield table.slice(at, to - at).combine_chunks()
             at = to
 

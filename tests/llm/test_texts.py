@@ -374,3 +374,24 @@ def test_pipeline_stages_with_clashing_names_nulls_and_nothing(spark):
 def test_registered():
     numbered = [n for n in entry.queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in numbered] == list(range(1, 14)) and "pipeline" in entry.queries()
+
+
+def test_scoring_holds_little_beside_its_batch():
+    """A worker's arrays are bounded by a slice of the text, not by the four megabytes that other operators take at once."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from panelfill.llm import quality
+
+    machine = quality.fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), [])
+    texts = ["some words of a page, " * 100 + str(i) for i in range(3000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(3000), pa.int64()), "text": texts, "held_out": [False] * 3000})
+    run = quality._scored(SimpleNamespace(value=machine))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and peak < 100e6
