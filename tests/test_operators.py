@@ -288,3 +288,15 @@ def test_samples_do_not_depend_on_partitions(spark):
     picked = sampling.pick_covariates(spark.createDataFrame([(c,) for c in "abcdef"], "attribute string"), "a", ["b"], 3, 5)
     names = [r.attribute for r in picked.collect()]
     assert len(names) == 4 and names.count("a") == 1 and "b" not in names
+
+
+def test_known_respondents_are_not_broadcast(spark):
+    """However small their files look: a list of respondents grows with the survey."""
+    from panelfill.operators.labels import known_respondents
+    from panelfill.session import stored
+
+    people = stored(spark.range(2000).selectExpr("id AS uid", "'train' AS set_uid"), "people")
+    answers = spark.range(4000).selectExpr("id % 3000 AS uid", "id AS svkey")
+    kept = known_respondents(answers, people)
+    assert kept.count() == 3000 and kept.columns == ["uid", "svkey", "set_uid"]
+    assert "BroadcastHashJoin" not in kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
