@@ -130,3 +130,29 @@ def test_winners(spark):
     assert value(spark, fs.observed_wins(F.lit(None).cast("int"), F.lit(2))) == 2
     assert value(spark, fs.observed_wins(F.lit(0), F.lit(2))) == 0
     assert value(spark, fs.mean_with_zeros([F.lit(0.6), F.lit(None).cast("double"), F.lit(0.3)])) == pytest.approx(0.3)
+
+
+def test_poisson_matrix_gives_the_counts_of_the_uniform_draws():
+    keys, columns = np.arange(5000, 9000), np.arange(1, 1001)
+    assert np.array_equal(rng.poisson_matrix(keys, columns, 3), rng.poisson_counts(rng.uniform_matrix(keys, columns, 3)))
+    # a table entry holds for the first and the last draw of its 16 bits
+    whole = np.flatnonzero(rng._COUNTS != rng.SPLIT)
+    for low in (0, (1 << 16) - 1):
+        assert np.array_equal(rng._COUNTS[whole], rng.poisson_counts(((whole << 16) + low) / 2**32))
+
+
+def test_poisson_matrix_takes_less_than_half_the_time():
+    import time
+
+    keys, columns = np.arange(64), np.arange(1, 1001)
+
+    def best(f):
+        taken = []
+        for _ in range(15):
+            start = time.perf_counter()
+            f()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    plain = best(lambda: rng.poisson_counts(rng.uniform_matrix(keys, columns, 0)))
+    assert best(lambda: rng.poisson_matrix(keys, columns, 0)) < plain / 2
