@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelfill.catalog.base import predictions_of, query, r6
+from panelfill.catalog.base import answers_of, predictions_of, query, r6
 from panelfill.catalog.sources import COLUMN_OF
 from panelfill.functions import survey as fs
 from panelfill.operators import labels as ol
@@ -161,7 +161,7 @@ def b13(s):
        FROM wave_shares w JOIN distributions d ON d.svkey = w.svkey""",
 )
 def b14(s):
-    shares = osh.univariate_shares(predictions_of(s), s.answer_codes, s.respondents).select("svkey", "wavekey", r6("wave_share"))
+    shares = osh.univariate_shares(answers_of(s), s.answer_codes, s.respondents).select("svkey", "wavekey", r6("wave_share"))
     limits = s.distributions.select("svkey", (F.col("calc_distribution") - 0.02).alias("lower"), (F.col("calc_distribution") + 0.02).alias("upper"))
     return shares.join(limits, "svkey").select(
         "svkey", "wavekey", "wave_share", fs.in_bounds(F.col("wave_share"), F.col("lower"), F.col("upper")).alias("bounded")
@@ -200,7 +200,7 @@ def tag(df, **literals):
 
 @query("b17_tag", "SELECT svkey, wavekey, round(wave_share, 6) AS wave_share, 0 AS round, 'imputed' AS source FROM wave_shares")
 def b17(s):
-    shares = osh.univariate_shares(predictions_of(s), s.answer_codes, s.respondents)
+    shares = osh.univariate_shares(answers_of(s), s.answer_codes, s.respondents)
     return tag(shares.select("svkey", "wavekey", r6("wave_share")), round=0, source="imputed")
 
 
@@ -235,7 +235,7 @@ def b19(s):
        FROM wave_shares w JOIN distributions d ON d.svkey = w.svkey""",
 )
 def b20(s):
-    shares = osh.univariate_shares(predictions_of(s), s.answer_codes, s.respondents)
+    shares = osh.univariate_shares(answers_of(s), s.answer_codes, s.respondents)
     return shares.join(s.distributions.select("svkey", "prod_distribution"), "svkey").select(
         "svkey", "wavekey", fs.within_tolerance(F.col("wave_share"), F.col("prod_distribution")).alias("within")
     )
@@ -248,6 +248,6 @@ def b20(s):
 )
 def b21(s):
     """Answers with a production share of about one half whose imputed share of a wave is far above it."""
-    shares = osh.univariate_shares(predictions_of(s), s.answer_codes, s.respondents)
+    shares = osh.univariate_shares(answers_of(s), s.answer_codes, s.respondents)
     both = shares.join(s.distributions.select("svkey", F.col("prod_distribution").alias("production")), "svkey")
     return both.where(fs.suspicious_share(F.col("production"), F.col("wave_share"))).select("svkey", "wavekey", r6("production"), r6("wave_share", "imputed"))

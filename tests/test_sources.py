@@ -119,3 +119,18 @@ def test_round0_inputs(spark, rows):
     responses = spark.range(rows).select(F.col("id").alias("uid"), F.lit("w").alias("wavekey"), F.lit("0 1:3 2:1").alias("libsvm"))
     latent = spark.range(rows - 1).select(F.col("id").alias("uid"), F.lit("train").alias("set_uid"))
     assert pr.round0_inputs(responses, latent, 2).count() == 2 * (rows - 1)
+
+
+def test_reports_join_no_respondents_row_by_row(spark):
+    """Scores carry the weight and are made of one row a respondent: neither joins models or reports by respondent and model."""
+    from panelfill.catalog.base import answers_of, predictions_of
+    from panelfill.operators.shares import with_weights
+    from panelfill.sources.survey import Survey
+
+    s = Survey(spark, "/root/testdata/sf0.001")
+    plan = s._scores()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("uid#" in line and "attribute_model#" in line for line in joins)
+    joined = with_weights(predictions_of(s), s.respondents)
+    assert with_weights(answers_of(s), s.respondents).exceptAll(joined.select(answers_of(s).columns)).isEmpty()
+    assert "Join" not in with_weights(answers_of(s), s.respondents)._jdf.queryExecution().optimizedPlan().toString()
