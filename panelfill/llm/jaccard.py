@@ -25,6 +25,7 @@ BLOCKS_A_TASK = 4
 COUNTER_BITS = 18
 COUNTER_PARTS = 256
 FILTER_BITS = 25
+SHINGLED_BYTES = 1 << 20  # text at once: arrays of a byte, a word or a shingle are some fifty times as large
 NO_ID = 1 << 62
 SIZE, EQUAL, CANDIDATE = 0, 1, 2
 DEALT = "block int, keys binary, docs binary, kinds binary, left binary, right binary"
@@ -173,7 +174,7 @@ def _counted(size: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << COUNTER_BITS, "<i4")
-        for table in slices(batches):
+        for table in slices(batches, size=SHINGLED_BYTES):
             s = Shingles(table["text"], size)
             for key, _, _ in _lanes(s, _distinct(s)[1], percent):
                 np.add.at(seen, _counter(key), 1)
@@ -240,7 +241,7 @@ def _dealt(blocks: int, size: int, keyed):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "keys", "docs", "kinds", "left", "right"]
-        for table in slices(batches):
+        for table in slices(batches, size=SHINGLED_BYTES):
             table = table.sort_by("key").combine_chunks()
             ids = table["key"].to_numpy()
             s = Shingles(table["text"], size)
@@ -301,7 +302,7 @@ def _sketches(size: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, size=SHINGLED_BYTES):
             s = Shingles(table["text"], size)
             groups = GROUPS << np.ceil(np.log2((s.n >> 10) + 1)).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(groups)])
@@ -319,7 +320,7 @@ def _sketches(size: int):
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in slices(batches):
+        for table in slices(batches, size=SHINGLED_BYTES):
             s = Shingles(table["text"], size)
             yield pa.record_batch([table["key"].combine_chunks(), _binary(s.value, s.first, 8)], ["doc", "shingles"])
 
