@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from panelfill.functions.survey import pair_key, ratio
 from panelfill.operators.joins import lookup_both_sides
+from panelfill.operators.running import bucket_count
+from panelfill.operators.runs import packed_runs
 from panelfill.operators.sampling import random_sample
 from panelfill.operators.shares import wave_totals, with_weights
 from panelfill.session import ship, stored
@@ -181,11 +183,27 @@ def audience_shares(
 
 
 def observed_crosstab(predictions: DataFrame, bsm: DataFrame, sakey: int, values: Sequence[int]) -> DataFrame:
-    """Respondents per imputed value and observed answer of another question."""
-    observed = bsm.where((F.col("sakey") == sakey) & (F.col("label") == 1.0)).select("uid", "wavekey", F.col("svkey").alias("observed"))
-    return (
-        predictions.join(observed, ["uid", "wavekey"])
-        .groupBy("attribute_model", "selected_value")
-        .pivot("observed", list(values))
-        .agg(F.countDistinct("uid"))
+    """Respondents per imputed value and observed answer of another question.
+
+    Every respondent becomes one row with the codes of the imputed answers and the observed answers of each wave, so that rows are
+    dealt once: neither the meeting of the two tables nor the distinct count moves a row for each imputed answer.
+    """
+    respondent = F.col("uid").isNotNull() & F.col("wavekey").isNotNull()
+    answers = predictions.where(respondent).select("attribute_model", "selected_value")
+    names = stored(answers.distinct().withColumn("code", F.monotonically_increasing_id()), "imputed-answers")
+    same = F.col("p.attribute_model").eqNullSafe(F.col("n.attribute_model")) & F.col("p.selected_value").eqNullSafe(F.col("n.selected_value"))
+    coded = predictions.where(respondent).alias("p").join(names.alias("n"), same).select("uid", "wavekey", "code")
+    held = packed_runs(coded, ["uid", "wavekey"], "code").select("uid", F.struct("wavekey", "code").alias("held"))
+    asked = bsm.where((F.col("sakey") == sakey) & (F.col("label") == 1.0) & respondent)
+    seen = asked.select("uid", F.struct("wavekey", F.col("svkey").alias("observed")).alias("seen"))
+    n = bucket_count(predictions)  # a number given is kept: rows so small are not merged into partitions too large to sort in memory
+    people = (
+        held.unionByName(seen, allowMissingColumns=True).repartition(n, "uid").groupBy("uid")
+        .agg(F.collect_list("held").alias("held"), F.collect_list("seen").alias("seen"))
     )
+    each = people.where(F.size("held") > 0).select("held", "seen", F.explode(F.array_distinct("seen.observed")).alias("observed"))
+    waves = F.transform(F.filter("seen", lambda s: s.observed.eqNullSafe(F.col("observed"))), lambda s: s.wavekey)
+    codes = F.flatten(F.transform(F.filter("held", lambda h: F.array_contains(F.col("waves"), h.wavekey)), lambda h: h.code))
+    pairs = each.withColumn("waves", waves).select("observed", F.explode(F.array_distinct(codes)).alias("code"))
+    counts = pairs.groupBy("code", "observed").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(names, "code").groupBy("attribute_model", "selected_value").pivot("observed", list(values)).agg(F.sum("n"))
