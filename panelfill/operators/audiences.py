@@ -125,14 +125,17 @@ def _audience_sums(index):
 def held_answers(predictions: DataFrame, codes: DataFrame, respondents: DataFrame, audiences: DataFrame) -> DataFrame:
     """One row per respondent: uid, wavekey, the sorted answers that occur in an audience, and the weight in hundredths.
 
-    Answers are shuffled once, by respondent, however many audiences there are. Predictions that carry their weight need no
-    join with the respondents.
+    Answers are shuffled once, by respondent, however many audiences there are, and grouped after the shuffle: the tasks that
+    read them, whose share grows with the table, sort nothing. Predictions that carry their weight need no join with the respondents.
     """
     weight = ["respondentweight"] if "respondentweight" in predictions.columns else []
     asked = codes.join(either_side(audiences, "svkey"), "svkey", "left_semi")
     named = asked.select(F.col("attribute").alias("attribute_model"), F.col("attribute_value").alias("selected_value"), "svkey")
     rows = predictions.select("uid", "wavekey", "attribute_model", "selected_value", *weight).join(stored(named, "asked-answers"), ["attribute_model", "selected_value"])
-    held = rows.groupBy("uid", "wavekey").agg(F.sort_array(F.collect_set(F.col("svkey").cast("int"))).alias("held"), *[F.max(w).alias(w) for w in weight])
+    runs = packed_runs(rows.withColumn("held", F.col("svkey").cast("int")), ["uid", "wavekey", *weight], "held")
+    dealt = runs.repartition(bucket_count(predictions), "uid", "wavekey")
+    answers = F.sort_array(F.array_distinct(F.flatten(F.collect_list("held"))))
+    held = dealt.groupBy("uid", "wavekey").agg(answers.alias("held"), *[F.max(w).alias(w) for w in weight])
     cents = (F.col("respondentweight").cast("decimal(18,2)") * 100).cast("long")
     return with_weights(held, respondents).select("wavekey", "held", F.coalesce(cents, F.lit(0)).alias("cents"))
 

@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from panelfill.operators.audiences import observed_crosstab
+from panelfill.operators.audiences import held_answers, observed_crosstab
 from panelfill.operators.runs import packed_runs
 
 
@@ -44,3 +45,19 @@ def test_packed_runs_lose_nothing(spark):
     got = [tuple(r) for r in packed_runs(table, ["uid", "wavekey"], "x").collect()]
     assert [(u, w, x) for u, w, xs in got for x in xs] == rows and len(got) < len(rows)
     assert packed_runs(table.where("uid = 9"), ["uid", "wavekey"], "x").count() == 0
+
+
+def test_answers_are_grouped_after_they_are_dealt(spark):
+    rows = [(1, "a", "m", 0, 2.5), (1, "a", "n", 1, 2.5), (1, "a", "m", 0, 2.5), (2, "a", "n", 1, 1.0), (1, "a", "n", 0, 2.5), (2, "b", "m", 0, 1.0), (3, "a", "n", 0, 1.0)]
+    codes = spark.createDataFrame([("m", 0, 12), ("n", 1, 11), ("n", 0, 10)], "attribute string, attribute_value int, svkey int")
+    audiences = spark.createDataFrame([(11, 12)], "svkey_1 int, svkey_2 int")
+    people = spark.createDataFrame([(1, "a", 2.5), (2, "a", 1.0), (2, "b", 1.0), (3, "a", 1.0)], "uid long, wavekey string, w double")
+    people = people.select("uid", "wavekey", F.col("w").cast("decimal(18,2)").alias("respondentweight"))
+    predictions = spark.createDataFrame(rows, "uid long, wavekey string, attribute_model string, selected_value int, w double")
+    carried = predictions.withColumn("respondentweight", F.col("w").cast("decimal(18,2)")).drop("w")
+    for table in (carried, predictions.drop("w")):
+        held = held_answers(table, codes, people, audiences)
+        assert sorted((r.wavekey, r.held, r.cents) for r in held.collect()) == [("a", [11], 100), ("a", [11, 12], 250), ("b", [12], 100)]
+    plan = held_answers(carried, codes, people, audiences)._jdf.queryExecution().executedPlan().toString()
+    before_shuffle = plan[plan.index("hashpartitioning(uid#") :]
+    assert "MapInArrow" in before_shuffle and "collect_" not in before_shuffle
