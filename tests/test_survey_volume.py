@@ -34,3 +34,8 @@ def test_lines_are_not_moved_to_the_customers(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plan.index("hashpartitioning(uid#") < plan.index("hashpartitioning(o_custkey#")  # written from its end
+
+
+def test_stored_tables_are_compressed_well(spark):
+    files = Survey(spark, FOLDER).scores.inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
