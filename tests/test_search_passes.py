@@ -4,6 +4,7 @@ import re
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from panelfill.operators import boosting as ob
 
@@ -30,8 +31,10 @@ def test_filters_by_gradient_read_a_stored_number(rows, monkeypatch):
 
 
 def test_qualities_of_all_trials_are_those_of_each(rows, monkeypatch):
+    rows = rows.withColumn("uid", F.when(F.col("uid") < 390, F.col("uid")))  # ten rows without a key
     models = {k: ob.fit_newton_boost(rows, ob.BoostParams(rounds=k + 1, max_depth=2, seed=k)) for k in (0, 2)}
     both = ob.qualities(models, 50)
+    assert ob.qualities(models, 1000)[2][2] == ob.constancy(models[2], 1000) and both.keys() == models.keys()
     for k, model in models.items():
         assert both[k] == (*map(pytest.approx, ob.test_quality(model)), ob.constancy(model, 50))
     asked, real = [], ob.osc.roc_auc
